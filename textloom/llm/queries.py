@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import extraction, packing, pieces, quality, secrets, simhash, toxicity
+from textloom.llm import extraction, imatch, packing, pieces, quality, secrets, simhash, toxicity
 from textloom.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -24,6 +24,11 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "log_weight", "gumbel_key", "kept")
 
 
+@_query
+def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edit_report(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, budget=2)
