@@ -28,15 +28,28 @@ def _shape(token: str) -> str:
 
 
 class _Hashes(dict):
-    """Token to (hash of its lower case, hash of its shape); emptied when it has ``most`` entries."""
+    """Token to its row in two tables: the hash of its lower case, and of its shape."""
 
     most = 500_000
 
-    def __missing__(self, token: str) -> tuple[int, int]:
+    def __init__(self):
+        super().__init__()
+        self.word, self.shape = np.empty(1024, np.uint64), np.empty(1024, np.uint64)
+
+    def __missing__(self, token: str) -> int:
+        self[token] = n = len(self)
+        if n == len(self.word):
+            self.word, self.shape = np.resize(self.word, 2 * n), np.resize(self.shape, 2 * n)
+        self.word[n] = xxhash.xxh64_intdigest(token.lower())
+        self.shape[n] = xxhash.xxh64_intdigest("shape " + _shape(token))
+        return n
+
+    def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of a text's tokens; between texts the tables are emptied when they are full."""
         if len(self) >= self.most:
             self.clear()
-        self[token] = out = (xxhash.xxh64_intdigest(token.lower()), xxhash.xxh64_intdigest("shape " + _shape(token)))
-        return out
+        rows = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        return self.word[rows], self.shape[rows]
 
 
 def _ngrams(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -55,12 +68,11 @@ def buckets_of(text: str, hashes: _Hashes) -> np.ndarray:
     tokens = _TOKEN.findall(text)
     if not tokens:
         return np.empty(0, np.int64)
-    pairs = np.array([hashes[t] for t in tokens], np.uint64)
-    shapes = pairs[:, 1]
+    words, shapes = hashes.of(tokens)
     pair = (shapes[:-1] * _MIX) ^ shapes[1:]
     pair = (pair ^ (pair >> np.uint64(29))) * _AGAIN
     of_shape = ((np.concatenate([shapes, pair]) >> np.uint64(17)) % np.uint64(SHAPE_BUCKETS)).astype(np.int64)
-    return np.concatenate([_ngrams(pairs[:, 0], WORD_BUCKETS), WORD_BUCKETS + of_shape])
+    return np.concatenate([_ngrams(words, WORD_BUCKETS), WORD_BUCKETS + of_shape])
 
 
 def fit_importance(docs: DataFrame, target_ids: list[int], smooth: float = 1.0) -> np.ndarray:
