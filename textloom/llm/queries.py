@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import extraction, imatch, packing, pieces, quality, secrets, simhash, toxicity
+from textloom.llm import extraction, imatch, multi_index, packing, pieces, quality, quotes, secrets, simhash, toxicity
 from textloom.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -29,6 +29,11 @@ def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edit_report(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op3_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 @_query
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, budget=2)
@@ -42,6 +47,12 @@ def op5_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
+@_query
+def op6_multi_index_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = multi_index.clean_vectors(table(spark, sf_dir, "embeddings"))
+    return multi_index.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 @_query
 def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
