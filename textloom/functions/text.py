@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: One white-space character as str.split() and str.strip() see it.
-SPACE = r"[\s\x1c-\x1f\x85   -     　]"
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def java_pattern(pattern: str, flags: str = "") -> str:
@@ -52,7 +52,7 @@ def ngrams(words: Column, n: int) -> Column:
 def normalise_output(c: Column | str) -> Column:
     """Lines stripped, blank ones dropped, joined by one space."""
     c = F.col(c) if isinstance(c, str) else c
-    lines = F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
+    lines = F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
     return F.array_join(F.filter(F.transform(lines, strip), lambda s: s != ""), " ")
 
 
