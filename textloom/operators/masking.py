@@ -17,7 +17,7 @@ PLAIN_LAYERS = (
     ("emails", K.EMAIL, "", K.MASK_EMAIL),
     ("telefones", K.PHONE, "", K.MASK_PHONE),
 )
-OPEN, CLOSE = "\u0001", "\u0002"
+OPEN, CLOSE = "\x01", "\x02"
 
 
 def has_context_marker(c: Column) -> Column:
