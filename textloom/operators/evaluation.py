@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -297,8 +298,6 @@ def lcs_length(a, b) -> int:
 
 
 def _lcs_udf():
-    import pandas as pd
-
     @F.pandas_udf("int")
     def f(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([lcs_length(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")

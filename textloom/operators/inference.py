@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import constants as K
+from textloom.operators.contracts import missing_keys, require_empty
 
 
 def bootstrap_interval(deltas: np.ndarray, iterations: int = K.ITERATIONS, seed: int = K.SEED) -> tuple[float, float]:
@@ -98,8 +99,6 @@ def adjust(comparisons: DataFrame, primary: list[str], alpha: float = K.ALPHA) -
 
 def require_primary(comparisons: DataFrame, primary: list[str]) -> None:
     """Every family has to have all primary metrics."""
-    from textloom.operators.contracts import missing_keys, require_empty
-
     dim = comparisons.sparkSession.createDataFrame([(m,) for m in primary], "metric string")
     grid = comparisons.select("family").distinct().crossJoin(F.broadcast(dim))  # families by metrics: a few rows
     require_empty(missing_keys(grid, comparisons, "family", "metric"), "missing primary metrics")
@@ -112,4 +111,4 @@ def success_by_family(adjusted: DataFrame) -> DataFrame:
 
 def direction_consistency(comparisons: DataFrame) -> DataFrame:
     """(metric, families, consistent): whether the families' differences don't point both ways."""
-    return comparisons.groupBy("metric").agg(F.count_distinct("family").alias("families"), ~(F.bool_or(F.col("delta") > 0) & F.bool_or(F.col("delta") < 0)).alias("consistent"))
+    return comparisons.groupBy("metric").agg(F.count_distinct("family").alias("families"), (~(F.bool_or(F.col("delta") > 0) & F.bool_or(F.col("delta") < 0))).alias("consistent"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -198,8 +199,6 @@ def length_overflow(df: DataFrame, text: str, count_tokens, limit: int = K.MAX_I
     ``count_tokens`` takes a list of texts and returns their token counts; it runs
     in batches on the executors.
     """
-    import pandas as pd
-
     @F.pandas_udf("long")
     def count(s: pd.Series) -> pd.Series:
         return pd.Series(count_tokens(s.fillna("").tolist()))
