@@ -225,8 +225,8 @@ def rouge_tokens(c: Column | str) -> Column:
 
 
 def _f1(overlap: Column, candidate: Column, reference: Column) -> Column:
-    p, r = F.try_divide(overlap.cast("double"), candidate), F.try_divide(overlap.cast("double"), reference)
-    return F.coalesce(F.try_divide(2.0 * p * r, p + r), F.lit(0.0))
+    """Harmonic mean of overlap / candidate and overlap / reference: 2 overlap / (candidate + reference)."""
+    return F.coalesce(F.try_divide(2.0 * overlap, candidate + reference), F.lit(0.0))
 
 
 def _clipped_overlap(a: Column, b: Column) -> Column:
@@ -278,9 +278,9 @@ def rouge(df: DataFrame, reference: str, candidate: str, lcs: str = "arrow") ->
     df = df.withColumns({"tmp_r": rouge_tokens(reference), "tmp_c": rouge_tokens(candidate)})
     for n in (1, 2):
         r, c = _grams(F.col("tmp_r"), n), _grams(F.col("tmp_c"), n)
-        df = df.withColumn(f"rouge{n}_f1", _f1(_clipped_overlap(c, r), F.nullif(F.size(c), F.lit(0)), F.nullif(F.size(r), F.lit(0))))
+        df = df.withColumn(f"rouge{n}_f1", _f1(_clipped_overlap(c, r), F.size(c), F.size(r)))
     length = _lcs_length(F.col("tmp_r"), F.col("tmp_c")) if lcs == "native" else _lcs_udf()(F.col("tmp_r"), F.col("tmp_c"))
-    df = df.withColumn("rougeL_f1", _f1(length, F.nullif(F.size("tmp_c"), F.lit(0)), F.nullif(F.size("tmp_r"), F.lit(0))))
+    df = df.withColumn("rougeL_f1", _f1(length, F.size("tmp_c"), F.size("tmp_r")))
     return df.drop("tmp_r", "tmp_c")
 
 

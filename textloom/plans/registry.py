@@ -233,7 +233,7 @@ def scatter_sample(spark, d):
 
 
 @_query(
-    r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(html, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
+    r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '&middot;?', '·', 'g'), '&copy;?', '©', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'),
     '[<][^>]+[>]', ' ', 'g'), '[\r\n\t]+', ' ', 'g'), ' {2,}', ' ', 'g')) AS text FROM pages"""
 )
 def clean_html(spark, d):
