@@ -98,13 +98,16 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     # pointer doubling: after k rounds a message points 2^k steps up, or at its root
     at = tree.select("conv_id", "turn", F.coalesce("parent_conv", "conv_id").alias("to_conv"), F.coalesce("parent_turn", "turn").alias("to_turn"), F.when(F.col("parent_conv").isNull(), 0).otherwise(1).cast("long").alias("steps"))
     at = materialise(at)
-    while at.filter("steps > 0").select("to_conv", "to_turn").distinct().join(
-        at.filter("steps > 0").select(F.col("conv_id").alias("to_conv"), F.col("turn").alias("to_turn")), ["to_conv", "to_turn"], "left_semi"
-    ).take(1):
-        up = at.filter("steps > 0").select(F.col("conv_id").alias("to_conv"), F.col("turn").alias("to_turn"), F.col("to_conv").alias("up_conv"), F.col("to_turn").alias("up_turn"), F.col("steps").alias("more"))
-        at = materialise(at.join(up, ["to_conv", "to_turn"], "left").select(
-            "conv_id", "turn", F.coalesce("up_conv", "to_conv").alias("to_conv"), F.coalesce("up_turn", "to_turn").alias("to_turn"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")
+    settled, active = at.filter("steps = 0"), at.filter("steps > 0")
+    while active.take(1):  # those whose target is a root leave; only deep threads go on
+        up = at.select(F.col("conv_id").alias("to_conv"), F.col("turn").alias("to_turn"), F.col("to_conv").alias("up_conv"), F.col("to_turn").alias("up_turn"), F.col("steps").alias("more"))
+        stepped = materialise(active.join(up, ["to_conv", "to_turn"]).select(
+            "conv_id", "turn", F.col("up_conv").alias("to_conv"), F.col("up_turn").alias("to_turn"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("moved")
         ))
+        settled = settled.union(stepped.filter("NOT moved").drop("moved"))
+        active = stepped.filter("moved").drop("moved")
+        at = settled.union(active)
+    at = settled
     placed = tree.join(at, ["conv_id", "turn"]).withColumnsRenamed({"to_conv": "thread_conv", "to_turn": "thread_turn", "steps": "reply_depth"})
     out = parsed.join(placed, ["conv_id", "turn"], "left")
     return out.select(
