@@ -14,15 +14,25 @@ from textloom.llm import packing, quality, secrets, simhash, toxicity
 from textloom.llm.common import materialise, table
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all else in one column, so that no name clashes with an operator's."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("doc_id"), *rest).alias("carried"))
+
+
+def _restored(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*(F.col(c) if c in ("doc_id", "text") else F.col("carried").getField(c).alias(c) for c in docs.columns))
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that importance resampling draws."""
-    drawn = quality.importance_resampling(docs, table(spark, sf_dir, "labels"))
-    return drawn.filter("kept").select(docs.columns)
+    drawn = quality.importance_resampling(_carried(docs), table(spark, sf_dir, "labels"))
+    return _restored(drawn.filter("kept"), docs)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the factorization machine scores below 0.5."""
-    return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select(docs.columns)
+    return _restored(toxicity.toxicity(_carried(docs), table(spark, sf_dir, "labels")).filter("predicted = 0"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the texts; n_chars is counted anew."""
-    masked = secrets.redact_secrets(docs)
+    masked = _restored(secrets.redact_secrets(_carried(docs)), docs)
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
     return masked.select(docs.columns)

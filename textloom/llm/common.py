@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` begins with it (whatever the case)."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name) for c in taken):
+        name += "_"
+    return name
+
+
+def with_fields(df: DataFrame, **kinds: str) -> StructType:
+    """Schema of ``df`` with further fields."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"{k} {v}" for k, v in kinds.items())).fields])
+
+
 def fold(id_col: Column) -> Column:
     """crc32 of the id as text, modulo 5; fold 0 is held out from every fit."""
     return F.pmod(F.crc32(F.encode(id_col.cast("string"), "UTF-8")), F.lit(5))

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from textloom.llm.common import with_fields
+
 BLOCK = set(
     """address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption
     figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html input label legend li main menu nav ol optgroup option p
@@ -185,14 +187,9 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
             continue
         if tag in CONTAINER and not (not closing and attributes.rstrip().endswith("/") and tag in ("svg", "iframe")):
             if not closing:
-                if tag == "span":
-                    inner = _zone(tag, attributes, zone, seen_main)
-                    if inner != zone:
-                        close()
-                else:
-                    inner = _zone(tag, attributes, zone, seen_main)
-                    if inner != zone:
-                        close()
+                inner = _zone(tag, attributes, zone, seen_main)
+                if inner != zone:
+                    close()
                 stack.append((tag, zone))
                 seen_main |= tag in MAIN_TAGS
                 zone = inner
@@ -237,5 +234,4 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
             yield b.append_column("text", pa.array(texts, pa.string())).append_column("n_chars", pa.array([len(t) for t in texts], pa.int64()))
 
     pages = pages.drop("text", "n_chars")
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.schema if f.name != html_col)
-    return pages.mapInArrow(run, schema + "text string, n_chars long")
+    return pages.mapInArrow(run, with_fields(pages.drop(html_col), text="string", n_chars="long"))

@@ -10,10 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from textloom.llm.common import with_fields
+
 SPACE = "▁"
 #: What an unknown character costs below the worst piece (a fixed value of the unigram model).
 UNKNOWN_PENALTY = 10.0
-#: Places are turned into automaton keys up to this many characters at a time.
+#: A run of space marks and what follows it up to the next one.
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -152,8 +154,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield b.append_column("pieces", pa.array(ids, pa.list_(pa.int32())))
 
     docs = docs.drop("pieces")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, schema + ", pieces array<int>")
+    return docs.mapInArrow(run, with_fields(docs, pieces="array<int>"))
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -167,8 +168,7 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
             yield b.append_column("decoded", pa.array(texts, pa.string()))
 
     rows = rows.drop("decoded")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, schema + ", decoded string")
+    return rows.mapInArrow(run, with_fields(rows, decoded="string"))
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialise, sampled_labels
+from textloom.llm.common import free_name, materialise, sampled_labels, with_fields
 
 WORD_BUCKETS, SHAPE_BUCKETS = 10_000, 2_000
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
@@ -30,7 +30,7 @@ def _shape(token: str) -> str:
 class _Hashes(dict):
     """Token to its row in two tables: the hash of its lower case, and of its shape."""
 
-    most = 500_000
+    most = 300_000
 
     def __init__(self):
         super().__init__()
@@ -122,8 +122,7 @@ def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             yield b.append_column("log_weight", pa.array(w, pa.float64()))
 
     docs = docs.drop("log_weight")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, schema + ", log_weight double")
+    return docs.mapInArrow(run, with_fields(docs, log_weight="double"))
 
 
 def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> int | None:
@@ -141,7 +140,7 @@ def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> int | None
     lo, hi = int(lo), int(hi)
     while lo < hi:
         width = -(-(hi - lo + 1) // bins)
-        rows = df.filter(x.between(F.lit(lo), F.lit(hi))).groupBy(F.floor((x - F.lit(lo)) / F.lit(width)).cast("int").alias("b")).count().collect()
+        rows = df.filter(f"cast(`{col}` AS decimal(38,0)) BETWEEN {lo}BD AND {hi}BD").groupBy(F.expr(f"cast((cast(`{col}` AS decimal(38,0)) - ({lo}BD)) div {width}BD AS int)").alias("b")).count().collect()
         for b, c in sorted(((r["b"], r["count"]) for r in rows), reverse=True):
             if k <= c:
                 lo, hi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
@@ -164,19 +163,20 @@ def resample(weighted: DataFrame, keep: int | None = None, seed: int = 29) -> Da
     """
     u = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     key = F.round((F.col("log_weight") - F.log(-F.log(u))) * UNIT).cast("long")
-    keyed = weighted.withColumn("key", key)
+    k = free_name(weighted, "tmp_key")
+    keyed = weighted.withColumn(k, key)
     if keep is None:
         # in fixed point: the sum of floats depends on their order
         share = F.round(F.least(F.lit(1.0), F.exp(F.least(F.lit(0.0), "log_weight"))) * UNIT).cast("long")
         keep = round((keyed.agg(F.sum(share)).first()[0] or 0) / UNIT)
-    edge = kth_largest(keyed, "key", keep)
+    edge = kth_largest(keyed, k, keep)
     if edge is None:
         kept = F.lit(keep > 0)
     else:
-        above = keyed.filter(F.col("key") > edge).count()
-        last = kth_largest(keyed.filter(F.col("key") == edge).select((-F.coalesce("doc_id", F.lit(-1)).cast("decimal(38,0)")).alias("i")), "i", keep - above)
-        kept = (F.col("key") > edge) | ((F.col("key") == edge) & (-F.coalesce("doc_id", F.lit(-1)).cast("decimal(38,0)") >= F.lit(last)))
-    return keyed.withColumn("kept", kept).withColumn("gumbel_key", F.col("key") / float(UNIT)).drop("key")
+        above = keyed.filter(F.col(k) > edge).count()
+        last = kth_largest(keyed.filter(F.col(k) == edge).select((-F.coalesce("doc_id", F.lit(-1)).cast("decimal(38,0)")).alias("i")), "i", keep - above)
+        kept = (F.col(k) > edge) | ((F.col(k) == edge) & (-F.coalesce("doc_id", F.lit(-1)).cast("decimal(38,0)") >= F.lit(last)))
+    return keyed.withColumn("kept", kept).withColumn("gumbel_key", F.col(k) / float(UNIT)).drop(k)
 
 
 def importance_resampling(docs: DataFrame, labels: DataFrame, bound: int = 20_000, keep: int | None = None, texts: bool = True) -> DataFrame:
@@ -188,7 +188,7 @@ def importance_resampling(docs: DataFrame, labels: DataFrame, bound: int = 20_00
     columns and repeated rows pass; an empty table gives an empty result; former
     columns of the three names are replaced.
     """
-    docs = docs.drop("log_weight", "gumbel_key", "kept", "key")
+    docs = docs.drop("log_weight", "gumbel_key", "kept")
     ids = [i for i, y in sampled_labels(labels.filter("quality = 1"), "quality", bound)]
     ratios = fit_importance(docs, ids)
     weighted = log_weights(docs, ratios)

@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import free_name
+
 # The base patterns. AKIA and hex runs are maximal, so a least
 # length inside the pattern finds the same matches as a filter after it.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -127,19 +129,20 @@ def find_secrets(docs: DataFrame, text_col: str = "text", threshold: float = 0.5
     are, but for a former column named secret_spans, which is replaced.
     """
     ratios = ",".join(f"{x:.4f}" for x in (model or log_ratios()))
-    df = docs.drop("secret_spans", *(f"tmp_{k}" for k in "tacxmd")).withColumn("tmp_t", F.coalesce(F.col(text_col), F.lit("")))
+    tmp = free_name(docs, "tmp_")
+    df = docs.drop("secret_spans").withColumn(f"{tmp}t", F.coalesce(F.col(text_col), F.lit("")))
     df = (
-        df.withColumn("tmp_a", _located("tmp_t", ASSIGN, _rlike("tmp_t", ASSIGN)))
-        .withColumn("tmp_c", _located("tmp_t", ACCESS, "contains(tmp_t, 'AKIA')"))
-        .withColumn("tmp_x", _located("tmp_t", HEX, _rlike("tmp_t", HEX)))
-        .withColumn("tmp_m", _located("tmp_t", CANDIDATE, _rlike("tmp_t", CANDIDATE)))
+        df.withColumn(f"{tmp}a", _located(f"{tmp}t", ASSIGN, _rlike(f"{tmp}t", ASSIGN)))
+        .withColumn(f"{tmp}c", _located(f"{tmp}t", ACCESS, f"contains({tmp}t, 'AKIA')"))
+        .withColumn(f"{tmp}x", _located(f"{tmp}t", HEX, _rlike(f"{tmp}t", HEX)))
+        .withColumn(f"{tmp}m", _located(f"{tmp}t", CANDIDATE, _rlike(f"{tmp}t", CANDIDATE)))
     )
     group2 = "regexp_extract(x.v, '" + ASSIGN.replace("\\", "\\\\").replace("'", "\\'") + "', 2)"
 
     def kept(col: str, k: int, where: str) -> str:
         return f"transform(filter({col}, x -> {where}), x -> named_struct('s', x.s, 'k', {k}, 'e', x.e, 'kind', '{KINDS[k]}'))"
 
-    base = f"concat({kept('tmp_a', 0, f'length({group2}) >= 12')}, {kept('tmp_c', 1, 'true')}, {kept('tmp_x', 2, 'true')})"
+    base = f"concat({kept(tmp + 'a', 0, f'length({group2}) >= 12')}, {kept(tmp + 'c', 1, 'true')}, {kept(tmp + 'x', 2, 'true')})"
 
     def symbol(at: str) -> str:
         c = f"substr(x.v, {at}, 1)"
@@ -147,11 +150,11 @@ def find_secrets(docs: DataFrame, text_col: str = "text", threshold: float = 0.5
 
     ratio = f"""aggregate(sequence(1, length(x.v) - 1), cast(0 AS double), (sum, i) -> sum +
         element_at(cast(split('{ratios}', ',') AS array<double>), ({symbol('i')}) * {SIZE} + ({symbol('i + 1')}) + 1))"""
-    clear = "NOT exists(tmp_d, b -> b.s < x.e AND x.s < b.e)"
-    df = df.withColumn("tmp_d", F.expr(base))
-    extra = kept("tmp_m", 3, f"{clear} AND {ratio} > {threshold} * (length(x.v) - 1)")
-    df = df.withColumn("secret_spans", F.expr(f"array_sort(concat(tmp_d, CASE WHEN size(tmp_m) > 0 THEN {extra} ELSE array() END))"))
-    return df.drop(*(f"tmp_{k}" for k in "tacxmd"))
+    clear = f"NOT exists({tmp}d, b -> b.s < x.e AND x.s < b.e)"
+    df = df.withColumn(f"{tmp}d", F.expr(base))
+    extra = kept(f"{tmp}m", 3, f"{clear} AND {ratio} > {threshold} * (length(x.v) - 1)")
+    df = df.withColumn("secret_spans", F.expr(f"array_sort(concat({tmp}d, CASE WHEN size({tmp}m) > 0 THEN {extra} ELSE array() END))"))
+    return df.drop(*(tmp + k for k in "tacxmd"))
 
 
 def span_text(spans: str) -> str:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import sampled_labels
+from textloom.llm.common import sampled_labels, with_fields
 
 DIMENSIONS = 1 << 18
 _WORD = re.compile(r"\w+")
@@ -19,7 +19,7 @@ _WORD = re.compile(r"\w+")
 class _Terms(dict):
     """Word to the indices of its terms: itself and, for longer ones, its first letters."""
 
-    most = 500_000
+    most = 200_000
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.most:
@@ -68,11 +68,14 @@ class FactorizationMachine:
         share = y.mean()
         off = np.abs(hit - df * share) / np.sqrt(np.maximum(df, 1) * share * (1 - share))
         used = np.flatnonzero((df >= least) & (off >= sure))
+        self.w0 = float(np.log(share / (1 - share)))
+        if not len(used):
+            return self
         place = np.full(DIMENSIONS, -1)
         place[used] = np.arange(len(used))
         rows = [(p := place[r])[p >= 0] for r in rows]
         d, k = len(used), self.factors
-        w, v, w0 = np.zeros(d), rng.normal(0, 0.01, (d, k)), float(np.log(y.mean() / (1 - y.mean())))
+        w, v, w0 = np.zeros(d), rng.normal(0, 0.01, (d, k)), self.w0
         gw, gv, g0 = np.full(d, 1e-6), np.full((d, k), 1e-6), 1e-6
         for _ in range(max(1, -(-self.steps * self.batch // max(len(rows), self.batch)))):
             order = rng.permutation(len(rows))
@@ -139,8 +142,7 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
             yield b.append_column("score", pa.array(p, pa.float64())).append_column("predicted", pa.array((p >= 0.5).astype(np.int32)))
 
     docs = docs.drop("score", "predicted")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, schema + ", score double, predicted int")
+    return docs.mapInArrow(run, with_fields(docs, score="double", predicted="int"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, bound: int = 16_000) -> DataFrame:
