@@ -17,12 +17,9 @@ ENOUGH = 10
 
 
 def terms(text: str) -> str:
-    """SQL for the sorted distinct terms of a text: runs of letters and digits in lower case."""
-    return f"array_sort(array_distinct(filter(split(lower(coalesce({text}, '')), '[^\\\\p{{L}}\\\\p{{N}}]+'), x -> x <> '')))"
-
-
-def _slot(x: str) -> str:
-    return f"pmod(xxhash64({x}), {SLOTS})"
+    """SQL for the distinct terms of a text, as (h, t) with a hash: runs of letters and digits in lower case."""
+    words = f"array_distinct(filter(split(lower(coalesce({text}, '')), '[^\\\\p{{L}}\\\\p{{N}}]+'), x -> x <> ''))"
+    return f"transform({words}, x -> named_struct('t', x, 'h', xxhash64(x)))"
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", least: int = 2, share: float = 0.05) -> str:
@@ -33,7 +30,7 @@ def lexicon(docs: DataFrame, text_col: str = "text", least: int = 2, share: floa
     each slot and task; SLOTS / 64 longs come to the driver.
     """
     text = f"`{text_col}`"
-    slots = docs.select(F.explode(F.expr(f"array_distinct(transform({terms(text)}, x -> cast({_slot('x')} AS int)))")).alias("slot"))
+    slots = docs.select(F.explode(F.expr(f"array_distinct(transform({terms(text)}, x -> cast(x.h & {SLOTS - 1} AS int)))")).alias("slot"))
     n = docs.count()
     counts = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("df"))
     band = counts.filter((F.col("df") >= least) & (F.col("df") <= max(least, share * n)))
@@ -50,21 +47,25 @@ def with_fingerprint(df: DataFrame, bitmap: str, text_col: str, out: str, few: i
     The terms in the band are kept, or all terms of a text with fewer than ``few``
     of those. Equal texts get equal fingerprints.
     """
-    w, kept, s = (f"tmp_{out}_{x}" for x in ("terms", "kept", "at"))
-    inside = f"(shiftright(element_at({bitmap}, cast({_slot('x')} div 64 AS int) + 1), cast({_slot('x')} % 64 AS int)) & 1) = 1"
+    w, kept = f"tmp_{out}_terms", f"tmp_{out}_kept"
+    inside = f"(shiftright(element_at({bitmap}, cast((x.h & {SLOTS - 1}) div 64 AS int) + 1), cast(x.h & 63 AS int)) & 1) = 1"
     df = df.withColumn(w, F.expr(terms(f"`{text_col}`")))
     df = df.withColumn(kept, F.expr(f"filter({w}, x -> {inside})"))
-    df = df.withColumn(s, F.expr(f"transform(CASE WHEN size({kept}) < {few} THEN {w} ELSE {kept} END, x -> named_struct('t', x, 'g', pmod(xxhash64(x, 7), {LEVELS[-1]})))"))
-    parts, drop = [], [w, kept, s]
-    before = s
+    # sorted by term; a term's place in the levels comes from other bits of its hash
+    df = df.withColumn(kept, F.expr(f"transform(sort_array(CASE WHEN size({kept}) < {few} THEN {w} ELSE {kept} END), x -> named_struct('t', x.t, 'g', cast(shiftrightunsigned(x.h, 40) AS int)))"))
+    parts, drop, before = [], [w, kept], kept
     for k, size in enumerate(LEVELS):
         name = f"tmp_{out}_{k}"
         if size > SUBSETS:
-            df = df.withColumn(name, F.expr(f"filter({before}, x -> x.g % {size} < {SUBSETS})"))
+            df = df.withColumn(name, F.expr(f"filter({before}, x -> x.g & {size - 1} < {SUBSETS})"))
             drop.append(name)
             before = name
-        digest = "lower(lpad(hex(pmod(xxhash64(transform(y, x -> x.t)), 65536)), 4, '0'))"
-        parts.append(f"transform(transform(sequence(0, {SUBSETS - 1}), j -> filter({before}, x -> x.g % {size} = j)), y -> CASE WHEN size(y) = 0 THEN '{NONE}' ELSE {digest} END)")
+        digest = "lower(right(hex(xxhash64(transform(y, x -> x.t)) | 1152921504606846976), 4))"
+        # eight subsets at a time, so that a term isn't tried for each
+        eights = f"transform(sequence(0, {SUBSETS // 8 - 1}), q -> named_struct('q', 8 * q, 'f', filter(a, x -> shiftright(x.g & {size - 1}, 3) = q)))"
+        # bound as a, for a column named inside a lambda may be worked out at every call
+        subsets = f"element_at(transform(array({before}), a -> flatten(transform({eights}, e -> transform(sequence(0, 7), r -> filter(e.f, x -> x.g & {size - 1} = e.q + r))))), 1)"
+        parts.append(f"transform({subsets}, y -> CASE WHEN size(y) = 0 THEN '{NONE}' ELSE {digest} END)")
     return df.withColumn(out, F.expr(f"concat({', '.join(parts)})")).drop(*drop)
 
 
