@@ -7,12 +7,13 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from textloom.functions import constants as K
 from textloom.functions.text import is_blank, java_pattern, strip, word_count
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type, not its name: that would need a session at import
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else html.unescape(t))
 

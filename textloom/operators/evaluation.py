@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from textloom.functions import constants as K
@@ -24,7 +25,7 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
     ranged = df.withColumns({f"tmp_o{k}": c for k, c in enumerate(order)})
     keys = [f"tmp_o{k}" for k in range(len(order))]
     indexed = ranged.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys).rdd.zipWithIndex()
-    schema = df.schema.add(name, "long")
+    schema = StructType([*df.schema.fields, StructField(name, LongType())])
     return spark.createDataFrame(indexed.map(lambda x: (*x[0], x[1] + 1)), schema)
 
 
@@ -82,7 +83,7 @@ def seeded_sample(df: DataFrame, stratum: str, case: str, order: list[str], per_
     """
     import numpy as np
 
-    ids = df.select(stratum, case, *order).toPandas().sort_values([stratum, *order])
+    ids = df.select(*dict.fromkeys((stratum, case, *order))).toPandas().sort_values([stratum, *order])
     rng = np.random.default_rng(seed)
     drawn: list[str] = []
     for _, group in ids.groupby(stratum, sort=True):

@@ -247,17 +247,21 @@ def rank_by_value(df: DataFrame, value: str, out: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row (n, rho): Pearson's correlation of average ranks over rows with both values."""
+    """One row (n, rho): Pearson's correlation of average ranks over rows with both values; null where a side is constant."""
     both = df.select(x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = rank_by_value(rank_by_value(both, x, "tmp_x"), y, "tmp_y")
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("tmp_x", "tmp_y").alias("rho"))
+    rho = F.try_divide(F.covar_pop("tmp_x", "tmp_y"), F.stddev_pop("tmp_x") * F.stddev_pop("tmp_y"))
+    return ranked.agg(F.count(F.lit(1)).alias("n"), rho.alias("rho"))
 
 
 def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: n, slope, intercept, r2 of y on x, and the line's ends (x0, y0, x1, y1)."""
-    fit = df.agg(
-        F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"),
-        F.min(F.when(F.col(y).isNotNull(), F.col(x))).cast("double").alias("x0"), F.max(F.when(F.col(y).isNotNull(), F.col(x))).cast("double").alias("x1"),
+    """One row: n, slope, intercept, r2 of y on x, and the line's ends (x0, y0, x1, y1); null where x is constant."""
+    both = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null")
+    cov, vx, vy = F.covar_pop("x", "y"), F.var_pop("x"), F.var_pop("y")
+    slope = F.try_divide(cov, vx)
+    fit = both.agg(
+        F.count(F.lit(1)).alias("n"), slope.alias("slope"), (F.avg("y") - slope * F.avg("x")).alias("intercept"), F.try_divide(cov * cov, vx * vy).alias("r2"),
+        F.min("x").alias("x0"), F.max("x").alias("x1"),
     )
     return fit.withColumns({"y0": F.col("intercept") + F.col("slope") * F.col("x0"), "y1": F.col("intercept") + F.col("slope") * F.col("x1")})
 

@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from textloom.operators.contracts import check_runner
 from textloom.operators.evaluation import pending, upsert_latest
@@ -39,7 +40,7 @@ def generate(df: DataFrame, make_client: Callable[[], Callable[[dict], str]], ou
                 pdf[out] = None
             yield pdf
 
-    return df.mapInPandas(run, df.schema.add(out, "string"))
+    return df.mapInPandas(run, StructType([*df.schema.fields, StructField(out, StringType())]))
 
 
 def score_batches(df: DataFrame, a: str, b: str, scorer: Callable[[list[str], list[str]], list[float]], out: str = "bertscore_f1", batch: int = 32) -> DataFrame:
@@ -52,7 +53,7 @@ def score_batches(df: DataFrame, a: str, b: str, scorer: Callable[[list[str], li
                 scores += list(scorer(pdf[a].iloc[at : at + batch].tolist(), pdf[b].iloc[at : at + batch].tolist()))
             yield pdf.assign(**{out: scores})
 
-    return df.mapInPandas(run, df.schema.add(out, "double"))
+    return df.mapInPandas(run, StructType([*df.schema.fields, StructField(out, DoubleType())]))
 
 
 def resume(
@@ -81,7 +82,7 @@ def resume(
         todo = todo.orderBy(*order)
         if limit is not None:
             todo = todo.limit(limit)
-        plan = spark.createDataFrame(todo.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), cases.schema.add("tmp_place", "long")).persist()
+        plan = spark.createDataFrame(todo.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), StructType([*cases.schema.fields, StructField("tmp_place", LongType())])).persist()
         total = plan.count()
         for at in range(0, total, flush_every):
             part = plan.filter(F.col("tmp_place").between(at, at + flush_every - 1)).drop("tmp_place")
@@ -108,7 +109,8 @@ def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
 def windowed_counts(stream: DataFrame, time_col: str, by: list[str], width: str = "1 day", late: str = "2 days", value: Column | None = None) -> DataFrame:
     """Counts (and sums of ``value``) in event-time windows; rows later than ``late`` are left out, which bounds the state."""
     aggs = [F.count(F.lit(1)).alias("n")] + ([F.sum(value).alias("total")] if value is not None else [])
-    return stream.withWatermark(time_col, late).groupBy(F.window(time_col, width), *by).agg(*aggs).select(F.col("window.start").alias("start"), *by, *[a for a in ("n", "total") if a == "n" or value is not None])
+    timed = stream.withColumn(time_col, F.col(time_col).cast("timestamp"))  # watermarks need an instant
+    return timed.withWatermark(time_col, late).groupBy(F.window(time_col, width), *by).agg(*aggs).select(F.col("window.start").alias("start"), *by, *[a for a in ("n", "total") if a == "n" or value is not None])
 
 
 def upsert_stream(stream: DataFrame, out: str, key: str, order: str, checkpoint: str):
