@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions import constants as K
 from textloom.functions import text as T
 from textloom.operators import audit, chat, cleaning, contracts, evaluation, inference, masking, profile
+from textloom.session import spread
 from textloom.sources import dump
 
 QUERIES: dict = {}
@@ -21,6 +22,10 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _docs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return spread(_t(spark, d, "documents").select(*columns))
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
@@ -69,7 +74,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     "mean std skew kurt cv_pct min max p5 p25 median p75 p95 sum",
 )
 def word_count_distribution(spark, d):
-    docs = _t(spark, d, "documents").select("lang", T.word_count("text").alias("n"))
+    docs = _docs(spark, d, "lang", "text").select("lang", T.word_count("text").alias("n"))
     return profile.distribution(docs, "n", ["lang"])
 
 
@@ -78,7 +83,7 @@ def word_count_distribution(spark, d):
     FROM (SELECT (len({_words('text')}) // 200)::BIGINT AS bin FROM documents) WHERE bin < 15 GROUP BY bin"""
 )
 def length_histogram(spark, d):
-    return profile.histogram(_t(spark, d, "documents").select(T.word_count("text").alias("n")), "n", 200)
+    return profile.histogram(_docs(spark, d, "text").select(T.word_count("text").alias("n")), "n", 200)
 
 
 @_query(
@@ -138,12 +143,12 @@ _TERMS = f"""SELECT term, count(*) AS weight FROM (SELECT trim(unnest({_words('l
 
 @_query(_TERMS)
 def top_terms(spark, d):
-    return profile.top_terms(_t(spark, d, "documents"), "text")
+    return profile.top_terms(_docs(spark, d, "text"), "text")
 
 
 @_query(f"WITH t AS ({_TERMS}) SELECT term, weight, greatest(12.0, weight / (SELECT max(weight) FROM t) * 72.0) AS size FROM t", "size")
 def term_font_sizes(spark, d):
-    return profile.font_weights(profile.top_terms(_t(spark, d, "documents"), "text"))
+    return profile.font_weights(profile.top_terms(_docs(spark, d, "text"), "text"))
 
 
 #: Topics of the test corpus, in the shape of the fixed rules.
@@ -169,7 +174,7 @@ def topic_distribution(spark, d):
     FROM (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents)"""
 )
 def anomaly_labels(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.array_join(profile.anomaly_labels("text"), ",").alias("labels"))
+    return _docs(spark, d, "doc_id", "text").select("doc_id", F.array_join(profile.anomaly_labels("text"), ",").alias("labels"))
 
 
 @_query(
@@ -185,7 +190,7 @@ def anomaly_summary(spark, d):
     f"""SELECT lang, count(*) AS total, count(*) FILTER (len({_words('text')}) > 500) AS over FROM documents GROUP BY lang"""
 )
 def length_overflow(spark, d):
-    return profile.length_overflow(_t(spark, d, "documents"), "text", lambda texts: [len(t.split()) for t in texts], 500, "lang")
+    return profile.length_overflow(_docs(spark, d, "lang", "text"), "text", lambda texts: [len(t.split()) for t in texts], 500, "lang")
 
 
 @_query(
@@ -238,12 +243,12 @@ def scatter_sample(spark, d):
 )
 def clean_html(spark, d):
     text = cleaning.collapse_spaces(cleaning.strip_tags(cleaning.unescape("html")))
-    return _t(spark, d, "pages").select("page_id", text.alias("text"))
+    return spread(_t(spark, d, "pages").select("page_id", "html")).select("page_id", text.alias("text"))
 
 
 @_query()
 def clean_documents(spark, d):
-    return _t(spark, d, "documents").select("doc_id", cleaning.clean_text("text").alias("text"))
+    return _docs(spark, d, "doc_id", "text").select("doc_id", cleaning.clean_text("text").alias("text"))
 
 
 #: Rules of the kinds of personal data in the test corpus; classes are spelled out, as engines differ on \w and \b.
@@ -254,7 +259,7 @@ _LAYERS = (("emails", _MAIL, "", "[EMAIL]"), ("ips", _ADDRESS, "", "[IP]"))
 
 @_query(f"SELECT doc_id, regexp_replace(regexp_replace(text, '{_MAIL}', '[EMAIL]', 'g'), '{_ADDRESS}', '[IP]', 'g') AS text FROM documents")
 def mask_pii(spark, d):
-    return _t(spark, d, "documents").select("doc_id", masking.mask_plain("text", _LAYERS).alias("text"))
+    return _docs(spark, d, "doc_id", "text").select("doc_id", masking.mask_plain("text", _LAYERS).alias("text"))
 
 
 @_query(
@@ -263,7 +268,7 @@ def mask_pii(spark, d):
     UNION ALL SELECT doc_id, 'cpf', regexp_extract_all(text, '[0-9]{{3}}[.][0-9]{{3}}[.][0-9]{{3}}-[0-9]{{2}}') FROM documents) GROUP BY category"""
 )
 def audit_pii(spark, d):
-    docs = _t(spark, d, "documents").withColumn("ordinal", F.col("doc_id"))
+    docs = _docs(spark, d, "doc_id", "text").withColumn("ordinal", F.col("doc_id"))
     patterns = (("mail", _MAIL, ""), ("ip", _ADDRESS, ""), ("cpf", "[0-9]{3}[.][0-9]{3}[.][0-9]{3}-[0-9]{2}", ""))
     report = audit.audit_report(docs, "text", patterns, names=False)
     return report.withColumn("examples", F.array_join("examples", " "))
@@ -271,12 +276,12 @@ def audit_pii(spark, d):
 
 @_query()
 def mask_documents(spark, d):
-    return masking.mask_text(_t(spark, d, "documents").select("doc_id", "text"), "text", "counts").select("doc_id", "text", "counts.*")
+    return masking.mask_text(_docs(spark, d, "doc_id", "text"), "text", "counts").select("doc_id", "text", "counts.*")
 
 
 @_query()
 def audit_documents(spark, d):
-    report = audit.audit_report(_t(spark, d, "documents").withColumn("ordinal", F.col("doc_id")), "text")
+    report = audit.audit_report(_docs(spark, d, "doc_id", "text").withColumn("ordinal", F.col("doc_id")), "text")
     return report.withColumn("examples", F.array_join("examples", " | "))
 
 
@@ -340,7 +345,7 @@ def judge_messages(spark, d):
     f"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l, {_TRIM})), lambda l: l <> ''), ' ') AS text FROM documents"""
 )
 def normalise_outputs(spark, d):
-    return _t(spark, d, "documents").select("doc_id", T.normalise_output("text").alias("text"))
+    return _docs(spark, d, "doc_id", "text").select("doc_id", T.normalise_output("text").alias("text"))
 
 
 # Order, samples, keys -------------------------------------------------------------------------
