@@ -60,7 +60,7 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     the whole table, in a conversation with a smaller id. Each hash has one
     original, its first message, found by a pre-aggregated minimum, so frequent
     passages make no pairs. The parent of a message is the latest original that
-    its outermost found quote names; without one, the turn before. Parents precede
+    its outermost found quote names; without one, the turn numbered one less, if it is there. Parents precede
     their replies in (conv_id, turn), so threads are trees, and every message
     finds its thread's first message by pointer doubling.
 
