@@ -147,8 +147,8 @@ def plain_lcs(a, b):
 def test_rouge(spark):
     rows = [("the cat sat", "the cat sat"), ("a b", "c d"), ("a a a b", "a a c"), ("decisão útil", "decisao util"), ("", "x"), ("p q r s t", "p x r y t")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, r string, c string")
-    for lcs in ("arrow", "native"):
-        got = {r["i"]: r for r in evaluation.rouge(df, "r", "c", lcs).collect()}
+    for method in ("arrow", "native"):
+        got = {r["i"]: r for r in evaluation.rouge(df, "r", "c", method).collect()}
         assert got[0]["rouge1_f1"] == got[0]["rouge2_f1"] == got[0]["rougeL_f1"] == 1.0
         assert got[1]["rouge1_f1"] == 0.0 and got[4]["rougeL_f1"] == 0.0
         assert got[2]["rouge1_f1"] == pytest.approx(2 * 2 / 7) and got[2]["rouge2_f1"] == pytest.approx(2 * 1 / 5) and got[2]["rougeL_f1"] == pytest.approx(2 * 2 / 7)

@@ -43,10 +43,18 @@ def is_blank(c: Column | str) -> Column:
     return F.coalesce(~c.rlike(f"(?!{SPACE})[\\s\\S]"), F.lit(True))
 
 
+#: Joins the words of an n-gram; it is white space here, so no word holds it.
+GLUE = "\x1f"
+
+
 def ngrams(words: Column, n: int) -> Column:
-    """Distinct n-grams of a word array, as arrays; empty if there are fewer words."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.slice(words, i, n))
-    return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<array<string>>"))
+    """Distinct n-grams of a word array; empty if there are fewer words.
+
+    An n-gram is its words joined by GLUE: arrays of strings are hashed by Spark's
+    set functions, arrays of arrays are compared pair by pair.
+    """
+    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), GLUE))
+    return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
 def normalise_output(c: Column | str) -> Column:

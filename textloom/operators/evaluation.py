@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -270,19 +272,24 @@ def _lcs_length(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.element_at(F.aggregate(a, zero, row), -1)).otherwise(0)
 
 
-def rouge(df: DataFrame, reference: str, candidate: str, lcs: str = "arrow") -> DataFrame:
+def rouge(df: DataFrame, reference: str, candidate: str, method: str = "arrow") -> DataFrame:
     """``df`` with rouge1_f1, rouge2_f1 and rougeL_f1 (0 where a side has no n-gram).
 
-    ROUGE-L's table has a cell for each pair of words; it runs in batches in Python,
-    or with lcs="native" as a fold in the JVM, which copies a row for each word.
+    Overlaps are counted in batches in Python: a multiset intersection and a
+    bit-parallel subsequence are linear there, while their folds in the JVM
+    (method="native") copy an array for each word.
     """
     df = df.withColumns({"tmp_r": rouge_tokens(reference), "tmp_c": rouge_tokens(candidate)})
-    for n in (1, 2):
-        r, c = _grams(F.col("tmp_r"), n), _grams(F.col("tmp_c"), n)
-        df = df.withColumn(f"rouge{n}_f1", _f1(_clipped_overlap(c, r), F.size(c), F.size(r)))
-    length = _lcs_length(F.col("tmp_r"), F.col("tmp_c")) if lcs == "native" else _lcs_udf()(F.col("tmp_r"), F.col("tmp_c"))
-    df = df.withColumn("rougeL_f1", _f1(length, F.size("tmp_c"), F.size("tmp_r")))
-    return df.drop("tmp_r", "tmp_c")
+    r, c = F.col("tmp_r"), F.col("tmp_c")
+    if method == "native":
+        found = F.struct(*(_clipped_overlap(_grams(c, n), _grams(r, n)).alias(f"o{n}") for n in (1, 2)), _lcs_length(r, c).alias("l"))
+    else:
+        found = _overlaps_udf()(r, c)
+    df = df.withColumn("tmp_o", found)
+    size = {n: (F.greatest(F.size(c) - (n - 1), F.lit(0)), F.greatest(F.size(r) - (n - 1), F.lit(0))) for n in (1, 2)}
+    return df.withColumns({
+        "rouge1_f1": _f1(F.col("tmp_o.o1"), *size[1]), "rouge2_f1": _f1(F.col("tmp_o.o2"), *size[2]), "rougeL_f1": _f1(F.col("tmp_o.l"), *size[1])
+    }).drop("tmp_r", "tmp_c", "tmp_o")
 
 
 def lcs_length(a, b) -> int:
@@ -298,10 +305,18 @@ def lcs_length(a, b) -> int:
     return len(a) - row.bit_count()
 
 
-def _lcs_udf():
-    @F.pandas_udf("int")
-    def f(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([lcs_length(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+def overlaps(a, b) -> tuple[int, int, int]:
+    """Shared words, shared pairs of neighbours (both as multisets) and the longest common subsequence."""
+    a, b = list(a), list(b)
+    one = Counter(a) & Counter(b)
+    two = Counter(zip(a, a[1:], strict=False)) & Counter(zip(b, b[1:], strict=False))
+    return one.total(), two.total(), lcs_length(a, b)
+
+
+def _overlaps_udf():
+    @F.pandas_udf("o1 int, o2 int, l int")
+    def f(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([overlaps(x, y) for x, y in zip(a, b, strict=True)], columns=["o1", "o2", "l"])
 
     return f
 
