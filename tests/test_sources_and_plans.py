@@ -64,6 +64,20 @@ def test_files(spark, tmp_path):
     assert sinks.object_uri("gs://b/", "/x/", "y") == "gs://b/x/y" and sinks.copy_report(p, str(tmp_path / "docs")).endswith("a.jsonl")
 
 
+def test_lines_of_several_files_and_blocks(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.txt").write_text("".join(f"{k}-{i}\n" + "\n" * (i % 3 == 0) for i in range(500 * (k + 1))), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        for skip in (False, True):
+            got = [r["value"] for r in dump.read_lines(spark, str(tmp_path), skip).orderBy("ordinal").collect()]
+            want = [line for k in range(3) for line in (tmp_path / f"{k}.txt").read_text(encoding="utf-8").split("\n")[:-1] if line or not skip]
+            assert got == want
+        assert [r["ordinal"] for r in dump.read_lines(spark, str(tmp_path)).orderBy("ordinal").limit(3).collect()] == [0, 1, 2]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_manifests(tmp_path):
     base = str(tmp_path)
     e = manifest.evaluation_artifacts(base, manifest.OFFICIAL)
@@ -175,3 +189,59 @@ def test_human_evaluation(spark):
     assert sample.count() == 40 and key.count() == 160 and grid.count() == 1280
     out = corpus.human_report(grid.withColumn("rating", F.lit(4)), grid, key, ["avaliador_1", "avaliador_2"])
     assert {r["kappa"] for r in out["kappa"].collect()} == {1.0} and {r["mean"] for r in out["means"].collect()} == {4.0}
+
+
+def test_judge_responses(spark):
+    from textloom.functions.constants import JUDGE_DIMENSIONS
+    from textloom.operators import generation
+
+    part = {"score": 4, "justificativa": "j"}
+
+    def response(content, finish="stop"):
+        return json.dumps({"choices": [{"finish_reason": finish, "message": {"content": content}}]})
+
+    good = json.dumps({d: part for d in JUDGE_DIMENSIONS})
+    rows = [("a", response(good)), ("b", response(good, "length")), ("c", response("")), ("d", response("oops")), ("e", response("{}")), ("f", response("[1]"))]
+    answers, failures = generation.judged(spark.createDataFrame([(c, "qwen_ft", r) for c, r in rows], "case_id string, condition_id string, response string"))
+    assert [r["case_id"] for r in answers.collect()] == ["a"] and answers.first()["answer"]["concisao"]["score"] == 4
+    assert {r["case_id"]: r["problem"] for r in failures.collect()} == {"b": "truncated", "c": "empty", "d": "not json", "e": "dimensions", "f": "not json"}
+    generation.require_aligned(answers, answers)
+    with pytest.raises(ValueError):
+        generation.require_aligned(answers, failures)
+    assert generation.absent_conditions(answers) == ["gemini_ft", "gemini_zero_shot", "qwen_zero_shot"]
+    assert generation.response_text({"candidates": [{"content": {"parts": [{"text": " "}, {"text": " x "}]}}]}) == "x"
+    with pytest.raises(ValueError):
+        generation.response_text({})
+    body = json.loads(answers.select(generation.chat_request("m", "sys", "case_id").alias("b")).first()["b"])
+    assert body["messages"][1] == {"role": "user", "content": "a"}
+    assert generation.tuning_manifest("m", "gs://b/t", "oficial", epochs=3)["hiperparametros"] == {"epochs": 3}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from textloom.__main__ import main
+    from textloom.functions.constants import CONDITION_IDS, JUDGE_DIMENSIONS, MARKER
+
+    chat_file = str(tmp_path / "chat.jsonl")
+    sinks.write_jsonl(chat_file, [{"contents": [{"role": "user", "parts": [{"text": f"PROMPT\n\n{MARKER}fonte {'p ' * i}"}]}, {"role": "model", "parts": [{"text": f"alvo {i}"}]}]} for i in range(40)])
+    (tmp_path / "prompt.txt").write_text("PROMPT", encoding="utf-8")
+    assert main(["view", chat_file, "3"]) == 0 and "fonte" in capsys.readouterr().out
+    assert main(["sft", chat_file, str(tmp_path / "prompt.txt"), str(tmp_path / "sft")]) == 0
+    assert main(["cases", chat_file, str(tmp_path / "cases")]) == 0
+    ids = [f"teste_{i:05d}" for i in range(40)]
+    sinks.write_jsonl(str(tmp_path / "p.jsonl"), [{"caso_id": c, "condicao_id": k, "ementa_gerada": "alvo"} for c in ids for k in CONDITION_IDS])
+    sinks.write_jsonl(str(tmp_path / "j.jsonl"), [{"caso_id": c, "condicao_id": k, "avaliacao": {d: {"score": 4, "justificativa": "j"} for d in JUDGE_DIMENSIONS}} for c in ids for k in CONDITION_IDS])
+    assert main(["metrics", str(tmp_path / "cases"), str(tmp_path / "j.jsonl"), str(tmp_path / "m.csv"), str(tmp_path / "p.jsonl")]) == 0
+    assert files.read_csv(spark, str(tmp_path / "m.csv"), files.METRICS).count() == 40 * 4 * 9
+    assert main(["human", str(tmp_path / "cases"), str(tmp_path / "human"), str(tmp_path / "p.jsonl")]) == 0
+    template = (tmp_path / "human" / "ratings.csv").read_text(encoding="utf-8").splitlines()
+    filled = [template[0]] + [",".join([*line.split(",")[:5], "4", "ok"]) for line in template[1:]]
+    (tmp_path / "filled.csv").write_text("\n".join(filled) + "\n", encoding="utf-8")
+    assert main(["agreement", str(tmp_path / "human"), str(tmp_path / "filled.csv"), str(tmp_path / "r.json")]) == 0
+    assert {r["kappa"] for r in files.load_json(str(tmp_path / "r.json"))["kappa"]} == {1.0}
+    assert main(["protocol", str(tmp_path / "base"), str(tmp_path / "prompt.txt")]) == 0 and main(["readiness", str(tmp_path / "base")]) == 0
+    (tmp_path / "d.sql").write_text(DUMP, encoding="utf-8")
+    assert main(["ingest", str(tmp_path / "d.sql"), "t", str(tmp_path / "records"), "--source", "votoementa"]) == 0
+    assert spark.read.json(str(tmp_path / "records")).count() == 3
+    with pytest.raises(ValueError, match="ementa_gerada"):
+        sinks.write_jsonl(str(tmp_path / "bad.jsonl"), [{"caso_id": "a", "condicao_id": "qwen_ft", "ementa_gerada": " "}])
+        files.read_records(spark, str(tmp_path / "bad.jsonl"), "prediction")

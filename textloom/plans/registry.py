@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import constants as K
 from textloom.functions import text as T
-from textloom.operators import audit, chat, cleaning, contracts, evaluation, inference, masking, profile
+from textloom.operators import audit, chat, cleaning, contracts, evaluation, generation, inference, masking, profile
 from textloom.session import spread
 from textloom.sources import dump
 
@@ -475,6 +475,17 @@ def judge_scores(spark, d):
     return _judged(spark, d).select("event_id", evaluation.judge_score().alias("score"))
 
 
+@_query(
+    """SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'truncated' WHEN 2 THEN 'empty' WHEN 3 THEN 'not json' ELSE CASE WHEN event_id % 9 = 0 THEN 'fidelidade_factual.score' END END AS problem FROM events WHERE event_id < 2000"""
+)
+def judge_responses(spark, d):
+    k = F.col("event_id") % 6
+    content = F.when(k == 2, " ").when(k == 3, "no json").otherwise(F.to_json("answer"))
+    choice = F.struct(F.when(k == 1, "length").otherwise("stop").alias("finish_reason"), F.struct(content.alias("content")).alias("message"))
+    df = _judged(spark, d).filter("event_id < 2000").withColumn("response", F.to_json(F.struct(F.array(choice).alias("choices"))))
+    return df.select("event_id", generation.judge_problem("response").alias("problem"))
+
+
 # Metrics and inference ---------------------------------------------------------------------------------
 
 #: Two families of the test events: their types as conditions, users as cases.

@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.operators.cleaning import drop_blank_pairs
 
@@ -26,16 +27,21 @@ def export_dump(dump: str, out: str, table: str, tool: str = "pg_restore") -> st
     return out
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, value): lines of text with their place, which stays the same on every read.
+def read_lines(spark: SparkSession, path: str, skip_blank: bool = False) -> DataFrame:
+    """(ordinal, value): lines of text with their place in order of file name, the same on every read.
 
-    The place is the file, the line's partition in order, and its place there; partitions
-    are counted once and their offsets added, so no task sees all lines. Lines end in
-    \\n alone, as a carriage return can be data.
+    A place is the lines of the blocks before plus the place in its block; blocks
+    are counted, and one row for each is all that is ordered. Lines end in \\n
+    alone, as a carriage return can be data. ``skip_blank`` numbers the rest only.
     """
-    lines = spark.read.option("lineSep", "\n").text(path)
-    indexed = lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(indexed, "ordinal long, value string")
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    if skip_blank:
+        lines = lines.filter(F.trim("value") != "")
+    numbered = lines.withColumn("id", F.monotonically_increasing_id())  # runs on without gaps in a block
+    blocks = numbered.groupBy("path", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return numbered.join(blocks, ["path", "start"]).select((F.col("before") + F.col("id") - F.col("first")).alias("ordinal"), "value")
 
 
 def copy_columns(header: str, table: str) -> list[str] | None:

@@ -8,8 +8,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators.contracts import ContractError
+from textloom.operators import contracts
 from textloom.operators.chat import CONTENTS
+from textloom.operators.contracts import ContractError
 from textloom.sources.dump import read_lines
 
 PAIRS = "id string, source string, target string, data_cadastro string"
@@ -33,15 +34,42 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, empty_ok: bool = Tru
     A malformed line raises with its path and line number, as does an empty file
     unless ``empty_ok``.
     """
-    lines = read_lines(spark, path).filter(F.trim("value") != "")
-    parsed = lines.select("ordinal", F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
-    bad = parsed.filter("r is null or r._corrupt is not null").agg(F.min("ordinal")).first()[0]
-    if bad is not None:
-        raise ContractError(f"{path}:{bad + 1}: malformed JSON")
+    lines = read_lines(spark, path, skip_blank=True)
+    broken = "r is null or r._corrupt is not null"
+    record = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    parsed = lines.select("ordinal", record.alias("r"))
+    if parsed.filter(broken).take(1):
+        at = read_lines(spark, path).filter(F.trim("value") != "").select("ordinal", record.alias("r")).filter(broken).agg(F.min("ordinal")).first()[0]
+        raise ContractError(f"{path}:{at + 1}: malformed JSON")
     if not empty_ok and not parsed.take(1):
         raise ContractError(f"{path}: no records")
-    packed = spark.createDataFrame(parsed.select("r").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])), parsed.select("ordinal", "r").schema)
-    return packed.select("ordinal", "r.*").drop("_corrupt")
+    return parsed.select("ordinal", "r.*").drop("_corrupt")
+
+
+#: Keys of records on disk and the columns they become.
+RENAMED = {
+    "caso_id": "case_id", "condicao_id": "condition_id", "indice_teste": "test_index", "fundamentacao": "source", "ementa_referencia": "reference",
+    "ementa_gerada": "candidate", "avaliacao": "answer", "model_id_api": "model", "mensagem_usuario": "message", "resposta_bruta": "response",
+}
+KINDS = {
+    "case": (CASES, contracts.case_violations), "prediction": (PREDICTIONS, contracts.prediction_violations), "judge": (JUDGED, contracts.judge_record_violations),
+}
+
+
+def read_records(spark: SparkSession, path: str, kind: str, **options) -> DataFrame:
+    """Records of a closed contract (case, prediction or judge), checked line by line, keys as columns of the engine."""
+    schema, check = KINDS[kind]
+    lines = read_lines(spark, path)
+    lines = lines.filter(F.trim("value") != "")
+    bad = contracts.broken_records(lines, check(F.col("value"), **options))
+    contracts.require_empty(bad.withColumn("violations", F.array_join("violations", ",")), path)
+    rows = read_jsonl(spark, path, schema, empty_ok=False)
+    return rows.withColumnsRenamed({k: v for k, v in RENAMED.items() if k in rows.columns})
+
+
+def records_of(df: DataFrame, *keys: str) -> DataFrame:
+    """The engine's columns as records on disk have them, in the given order of keys."""
+    return df.select(*(F.col(RENAMED.get(k, k)).alias(k) for k in keys))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
