@@ -122,7 +122,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 16_000, **opti
 
     picked = docs.select("doc_id", "text").join(ids, "doc_id")
     # in a fixed order, so that the fit doesn't depend on how rows are dealt to tasks
-    got = sorted((r["doc_id"], r["y"], bytes(r["terms"])) for r in picked.mapInArrow(run, "doc_id long, y int, terms binary").toLocalIterator())
+    got = sorted((r["doc_id"], r["y"], bytes(r["terms"])) for r in picked.mapInArrow(run, "doc_id long, y int, terms binary").collect())
     rows = [np.frombuffer(t, np.int32) for _, _, t in got]
     return FactorizationMachine(**options).fit(rows, np.array([y for _, y, _ in got], float))
 
