@@ -359,10 +359,10 @@ def chronological_split(spark, d):
 
 
 @_query(
-    """SELECT doc_id, p AS position, least(floor((p - 1) * 4 / n) + 1, 4)::INTEGER AS stratum FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS p, count(*) OVER () AS n FROM documents)"""
+    """SELECT doc_id, least(floor((p - 1) * 4 / n) + 1, 4)::INTEGER AS stratum FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS p, count(*) OVER () AS n FROM documents)"""
 )
 def quartile_strata(spark, d):
-    return evaluation.quartile_strata(_t(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id").select("doc_id", "position", "stratum")
+    return evaluation.quartile_strata(_t(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id").select("doc_id", "stratum")
 
 
 @_query(
