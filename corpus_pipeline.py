@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import packing, quality, secrets, simhash, toxicity
-from textloom.llm.common import materialise, table
+from textloom.llm.common import discard, materialise, table
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -71,5 +71,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        discard(before)  # the next table is whole and depends on nothing
     return STAGES[-1][1](spark, docs, sf_dir)

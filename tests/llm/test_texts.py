@@ -104,6 +104,9 @@ def test_articles_come_out_whole(spark):
     ("<div id=cookie-notice><p>We use cookies to improve your visit to this site</p></div><article><p>A.</p></article>", "A."),
     ("<article><p>One <!-- <p>not</p> --> two</p><form><label>Name</label><input></form><aside>Related</aside></article>", "One two"),
     ("<article><p>1 < 2 and 3 > 2</p><script>var x='<p>no</p>';</script><p>end</p><", "1 < 2 and 3 > 2 end <"),
+    ("<article><p class=notice>We use cookies on this site<p>One.<p>Two<br>more.<p class='share-bar'>Share this<h2>Three</h2></article>", "One. Two more. Three"),
+    ("<article><p>One.</p><section class=readerComments><p>What a great piece of writing this is</p></section><div hidden>Not shown</div><p aria-hidden=false>Two.</p></article>", "One. Two."),
+    ("<div id=sideBar1><p>Some words about nothing at all</p></div><main><div class=ad-slot2>Buy</div><p>Text</p></main>", "Text"),
     ("<nav><a href=/>Home</a></nav><article><p>See <a href=x>this</a> and that thing.</p></article><footer>c</footer>", "See this and that thing."),
 ])
 def test_pages(page, text):

@@ -38,7 +38,18 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialise() wrote, once nothing reads it any more; other frames are left alone."""
+    path = getattr(df, "written_path", None)
+    if path is not None:
+        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:

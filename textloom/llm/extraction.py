@@ -28,14 +28,23 @@ BOILER_NAMES = set(
     consent gdpr notice notices alert comment comments commentlist reply replies respond discussion disqus sidebar sidenav menu nav
     navbar navigation topbar footer foot header masthead share sharing social related recommended breadcrumb breadcrumbs newsletter
     subscribe subscription signup login popup modal overlay pagination pager widget copyright legal disclaimer toolbar skip
-    search outbrain taboola""".split()
+    search outbrain taboola notification toast paywall cookiebar cookiebanner cookienotice navmenu adsbygoogle""".split()
 )
 MAIN_NAMES = set("article content main post entry story body text".split())
 BOILER_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_NAME = re.compile(r"[a-z0-9]+")
+_HIDDEN = re.compile(r"""(?<![-\w])hidden(?![-\w]*=)|display\s*:\s*none""", re.I)
+_NAME = re.compile(r"[A-Za-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
+def _names(value: str) -> set[str]:
+    """Words of a class or id in lower case, and the parts of those in camel case; digits divide."""
+    words = _NAME.findall(value)
+    return {w.lower() for w in words} | {p.lower() for w in words for p in _HUMP.split(w)}
+
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "zone", "has_main", "heading")
 #: Small labelled sample: the features of a block and whether it is main text.
@@ -116,14 +125,13 @@ def _zone(tag: str, attributes: str, zone: int, seen_main: bool) -> int:
         return -1
     names: set[str] = set()
     for key, *value in _ATTRIBUTE.findall(attributes):
-        words = _NAME.findall("".join(value).lower())
+        words = _names("".join(value))
         if key.lower() == "role":
-            if BOILER_ROLES & set(words):
+            if BOILER_ROLES & words:
                 return -1
-            names |= {"main"} & set(words)
-        else:
-            names |= set(words)
-    if BOILER_NAMES & names:
+            words &= {"main"}
+        names |= words
+    if BOILER_NAMES & names or _HIDDEN.search(attributes):
         return -1
     if tag == "header":
         return zone if zone == 1 else -1
@@ -138,6 +146,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
     run: list[tuple[str, bool]] = []
     stack: list[tuple[str, int]] = []
     links, heading, zone, seen_main = 0, False, 0, False
+    outside: int | None = None  # zone around an open paragraph, which the next block ends
 
     def close():
         nonlocal run
@@ -177,6 +186,10 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
         closing, tag, attributes = bool(m[1]), m[2].lower(), m[3]
         if tag in BLOCK:
             close()
+            if outside is not None and tag != "br":
+                zone, outside = outside, None
+        if tag == "p" and not closing:
+            outside, zone = zone, _zone(tag, attributes, zone, seen_main)
         if tag == "a":
             links = max(0, links - 1) if closing else 1
         if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialise
+from textloom.llm.common import discard, materialise
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -29,12 +29,14 @@ def connected_components(links: DataFrame) -> DataFrame:
             .filter("u <> v").distinct()
         )
         large = materialise(large)
+        discard(edges)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
             .union(low.select("u", "m")).distinct()
         )
         small = materialise(small)
+        discard(large)
         # Done when every vertex points at a vertex that points nowhere, and at one only.
         chained = small.select(F.col("v").alias("u")).distinct().join(small, "u", "left_semi").limit(1).count()
         many = 0 if chained else small.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
