@@ -51,6 +51,23 @@ def test_models_tell_random_strings_from_names(spark, word, found):
     assert [(s["s"], s["e"], s["kind"]) for s in spans] == ([(4, 4 + len(word), "markov")] if found else [])
 
 
+def test_spans_equal_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    texts = [t for t in TEXTS if not t or "\u017f" not in t] + ["see xQ7vLp2ZtRk9WbNy4HsDf there", "token=zk3qv8xw1jh5pd7fg2bn6 and zk3qv8xw1jh5pd7fg2bn6 é ghp_R8sKq2LwZ5xVn7TbYc3DfJm9", "getCustomerAddressFromDatabase"]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    cur = con.execute(secrets.oracle())
+    names = [d[0] for d in cur.description]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").createOrReplaceTempView("secret_texts")
+    found = secrets.find_secrets(spark.table("secret_texts"))
+    spans = {r["doc_id"]: r["s"] for r in found.selectExpr("doc_id", f"{secrets.span_text('secret_spans')} AS s").collect()}
+    rows = cur.fetchall()
+    assert {r[names.index("doc_id")]: r[names.index("spans")] for r in rows} == spans
+    assert sum("markov" in s for s in spans.values()) >= 2
+
+
 def test_edge_rows_and_redaction(edge_docs, no_docs, spark):
     out = secrets.redact_secrets(edge_docs)
     assert out.count() == 9 and set(edge_docs.columns) - {"secret_spans"} == set(out.columns)

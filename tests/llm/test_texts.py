@@ -146,6 +146,35 @@ def test_threads(spark):
     assert quotes.link_quotes(df.limit(0)).count() == 0
 
 
+def test_threads_equal_sql(spark, tmp_path):
+    """A second engine finds the same threads, on the cases above and on conversations that quote each other at random."""
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(9)
+    said: list[str] = []
+    rows = [m for m in MESSAGES]
+    for conv in range(20, 60):
+        for turn in range(rng.randint(1, 6)):
+            lines = [f"line {rng.randint(0, 60)} of words"]
+            if said and rng.random() < 0.6:
+                lines = [f"{'> ' * rng.randint(1, 2)}{x}" for x in rng.choice(said).split("\n")] + lines
+                if rng.random() < 0.3:
+                    lines.insert(0, "Ann wrote:")
+            text = "\n".join(lines)
+            said.append(lines[-1])
+            rows.append((conv, turn, "user", text))
+    frame = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con = duckdb.connect()
+    con.register("conversations", frame)
+    cur = con.execute(quotes.ORACLE)
+    names = [d[0] for d in cur.description]
+    want = sorted(map(repr, cur.fetchall()))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(repr(tuple(r[c] for c in names)) for r in quotes.link_quotes(df).collect())
+    assert got == want and sum("None" not in r for r in got) > 60
+
+
 def test_long_conversations(spark):
     df = spark.range(700).selectExpr("5L AS conv_id", "id AS turn", "'u' AS role", "concat('t ', id) AS text")
     assert quotes.link_quotes(df).filter("reply_depth <> turn OR thread_turn <> 0").count() == 0

@@ -81,3 +81,7 @@ def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.expr(secrets.span_text("base")).cast("binary"), 256).alias("base_sha256"),
         F.expr(secrets.span_text("secret_spans")).alias("spans"),
     )
+
+
+ORACLE["op3_quotation_threads"] = quotes.ORACLE
+ORACLE["op10_secret_spans"] = secrets.oracle()

@@ -115,3 +115,36 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent_conv", "parent_turn",
         F.coalesce("thread_conv", "conv_id").alias("thread_conv"), F.coalesce("thread_turn", "turn").alias("thread_turn"), F.coalesce("reply_depth", F.lit(0)).cast("long").alias("reply_depth"),
     )
+
+
+def _norm_sql(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
+
+
+#: SQL of another dialect (lists, RE2, recursion) for the result: passages are joined as text, threads found by recursion.
+ORACLE = rf"""WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+    l AS (SELECT r, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS x FROM (SELECT r, string_split_regex(text, '\r\n|\n|\r') AS p FROM m)),
+    k AS (SELECT r, i, len(regexp_replace(regexp_extract(x, '^[ \t]*(>[ ]?)+'), '[^>]', '', 'g')) AS n, regexp_replace(x, '^[ \t]*(>[ ]?)+', '') AS t FROM l),
+    q AS (SELECT *, lead(n) OVER (PARTITION BY r ORDER BY i) AS after, i - row_number() OVER (PARTITION BY r, n ORDER BY i) AS island FROM k),
+    p AS (SELECT r, n AS level, min(i) AS i, {_norm_sql("string_agg(t, chr(10) ORDER BY i)")} AS passage FROM q WHERE n > 0 GROUP BY r, n, island),
+    quoted AS (SELECT r, level, passage, row_number() OVER (PARTITION BY r ORDER BY i) - 1 AS pos FROM p WHERE passage <> ''),
+    body AS (SELECT r, max(n) AS top, coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (n = 0 AND NOT (coalesce(after, 0) > 0 AND regexp_matches(t, '(wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$'))), '') AS t FROM q GROUP BY r),
+    c AS (SELECT m.r, conv_id, turn, role, trim(CASE WHEN top > 0 THEN t ELSE text END, chr(10) || chr(9) || ' ') AS clean_text,
+        coalesce((SELECT max(level) FROM quoted WHERE quoted.r = m.r), 0)::BIGINT AS quote_depth, (SELECT count(*) FROM quoted WHERE quoted.r = m.r) AS n_quotes FROM m JOIN body USING (r)),
+    known AS (SELECT * FROM c WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+    own AS (SELECT DISTINCT conv_id, turn, {_norm_sql("x")} AS passage FROM (SELECT conv_id, turn, unnest(list_concat([clean_text], list_concat(string_split_regex(clean_text, '\n\s*\n'), string_split(clean_text, chr(10))))) AS x FROM known)),
+    inside AS (SELECT passage, conv_id, min(turn) AS t FROM own WHERE passage <> '' GROUP BY ALL),
+    overall AS (SELECT passage, conv_id AS oc, turn AS ot FROM own WHERE passage <> '' QUALIFY row_number() OVER (PARTITION BY passage ORDER BY conv_id, turn) = 1),
+    asked AS (SELECT DISTINCT conv_id, turn, pos, level, passage FROM known JOIN quoted USING (r)),
+    linked AS (SELECT a.conv_id, a.turn, a.pos, a.level, CASE WHEN i.t < a.turn THEN a.conv_id WHEN o.oc < a.conv_id THEN o.oc END AS oc, CASE WHEN i.t < a.turn THEN i.t WHEN o.oc < a.conv_id THEN o.ot END AS ot
+        FROM asked a LEFT JOIN inside i ON i.passage = a.passage AND i.conv_id = a.conv_id LEFT JOIN overall o ON o.passage = a.passage),
+    parents AS (SELECT conv_id, turn, count(oc) OVER (PARTITION BY conv_id, turn) AS n_linked, oc, ot FROM linked
+        QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY (oc IS NULL)::INTEGER, level, oc DESC, ot DESC, pos) = 1),
+    keys AS (SELECT DISTINCT conv_id, turn FROM known),
+    tree AS (SELECT k.conv_id, k.turn, coalesce(n_linked, 0) AS n_linked, coalesce(oc, b.conv_id) AS parent_conv, coalesce(ot, b.turn) AS parent_turn
+        FROM keys k LEFT JOIN parents p ON p.conv_id = k.conv_id AND p.turn = k.turn LEFT JOIN keys b ON b.conv_id = k.conv_id AND b.turn = k.turn - 1),
+    up AS (SELECT conv_id, turn, conv_id AS thread_conv, turn AS thread_turn, 0::BIGINT AS reply_depth FROM tree WHERE parent_conv IS NULL
+        UNION ALL SELECT t.conv_id, t.turn, u.thread_conv, u.thread_turn, u.reply_depth + 1 FROM tree t JOIN up u ON t.parent_conv = u.conv_id AND t.parent_turn = u.turn)
+    SELECT c.conv_id, c.turn, role, clean_text, quote_depth, n_quotes, coalesce(n_linked, 0)::BIGINT AS n_linked, parent_conv, parent_turn, coalesce(thread_conv, c.conv_id) AS thread_conv,
+        coalesce(thread_turn, c.turn) AS thread_turn, coalesce(reply_depth, 0)::BIGINT AS reply_depth
+    FROM c LEFT JOIN tree t ON t.conv_id = c.conv_id AND t.turn = c.turn LEFT JOIN up u ON u.conv_id = c.conv_id AND u.turn = c.turn"""

@@ -172,3 +172,37 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
         acc -> concat(acc.out, substr({t}, acc.at + 1)))"""
     found = find_secrets(docs, text_col, **options)
     return found.withColumn(text_col, F.expr(f"CASE WHEN size(secret_spans) > 0 THEN {merged} ELSE {t} END")).drop("secret_spans")
+
+
+def oracle(threshold: float = 0.5) -> str:
+    """SQL of another dialect (lists, lambdas, RE2) for the digest columns of all documents."""
+
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    def located(pattern: str, k: int, kept: str = "true") -> str:
+        p = quoted(pattern)
+        before = "len(array_to_string(list_slice(g, 1, i), '')) + len(array_to_string(list_slice(m, 1, i - 1), ''))"
+        # gaps and matches are joined without a separator, so their lengths add up in code points
+        return f"""SELECT doc_id, t, {before} AS s, {k} AS k, {before} + len(m[i]) AS e, m[i] AS v FROM (
+            SELECT doc_id, t, g, m, unnest(range(1, len(m) + 1)) AS i, f FROM (
+                SELECT doc_id, t, string_split_regex(t, {p}) AS g, regexp_extract_all(t, {p}) AS m, {f"regexp_extract_all(t, {p}, 2)" if k == 0 else "[]"} AS f FROM texts)) WHERE {kept}"""
+
+    ratios = "[" + ",".join(f"{x:.4f}" for x in log_ratios()) + "]::DOUBLE[]"
+
+    def symbol(at: str) -> str:
+        c = f"v[{at}]"
+        return f"CASE WHEN {c} BETWEEN '0' AND '9' THEN {len(LETTERS)} WHEN instr('{LETTERS}', {c}) > 0 THEN instr('{LETTERS}', {c}) - 1 ELSE {len(LETTERS) + 1} END"
+
+    total = f"list_sum(list_transform(range(1, len(v)), lambda j: model[({symbol('j')}) * {SIZE} + ({symbol('j + 1')}) + 1]))"
+    names = " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(KINDS))
+    told = f"CASE k {names} END || ':' || s || ':' || e"
+    return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        base AS ({located(ASSIGN, 0, "len(f[i]) >= 12")} UNION ALL {located(ACCESS, 1)} UNION ALL {located(HEX, 2)}),
+        extra AS (SELECT c.* FROM ({located(CANDIDATE, 3)}) c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s < c.e AND c.s < b.e)),
+        scored AS (SELECT doc_id, t, s, k, e, v FROM (SELECT *, {ratios} AS model FROM extra) WHERE {total} > {threshold} * (len(v) - 1)),
+        spans AS (SELECT * FROM base UNION ALL SELECT * FROM scored),
+        told AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+            string_agg({told}, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg({told}, ',' ORDER BY s, k) AS spans FROM spans GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts LEFT JOIN told USING (doc_id)"""
