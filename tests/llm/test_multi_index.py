@@ -51,6 +51,10 @@ def test_copies_ties_and_bad_vectors(spark):
     few = M.clean_vectors(frame(spark, [(0, [1.0]), (20, [2.0]), (3, [-1.0])]))
     rows = [tuple(r) for r in M.search(few, few.filter("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
     assert rows == [(0, 1, 20, 2.0), (0, 2, 3, -1.0), (20, 1, 0, 2.0), (20, 2, 3, -2.0)]
+    twice = M.search(few.union(few), few.union(few).filter("vec_id % 20 = 0"))
+    assert [tuple(r) for r in twice.orderBy("query_id", "rank").collect()] == rows
+    odd = M.clean_vectors(frame(spark, [(k, [1.0, float(k)]) for k in range(60)] + [(60, [1.0, 2.0, 3.0])]))
+    assert M.search(odd, odd.filter("vec_id % 20 = 0")).count() == 60
     assert M.search(v.limit(0), v.limit(0)).count() == 0
 
 

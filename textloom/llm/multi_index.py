@@ -6,6 +6,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,16 +87,20 @@ def search(
     Cells are laid out in shards of about ``shard`` entries; a cell with more, such
     as one of copies, is dealt over several. Queries meet a shard in blocks of
     about ``block``, so a task holds a shard and a block, whatever the tables hold.
-    Empty tables give an empty result; the vectors' widths have to agree.
+    Repeated rows count once. Empty tables give an empty result; vectors of another
+    width than most of the sample take no part.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = vectors.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(fit_on).select("v").toArrow()
     if not sample.num_rows:
         return empty
-    width = len(sample.column(0)[0])
+    lengths = pc.list_value_length(sample.column(0))
+    width = int(np.bincount(lengths.to_numpy()).argmax())
     half = max(1, width // 2)
-    x = _matrix(sample.column(0), width)
+    vectors, queries = (df.filter(F.size("v") == width) for df in (vectors, queries))
+    queries = queries.dropDuplicates(["vec_id"])
+    x = _matrix(sample.filter(pc.equal(lengths, width)).column(0), width)
     one = kmeans(x[:, :half], centroids)
     two = kmeans(x[:, half:], centroids) if width > half else np.zeros((1, 0))
     cells = len(one) * len(two)
@@ -163,7 +168,7 @@ def search(
         out = ([], [], [])
         if left.num_rows and right.num_rows:
             ids, cell = left.column("id").to_numpy(), left.column("cell").to_numpy()
-            order = np.argsort(ids, kind="stable")
+            _, order = np.unique(ids, return_index=True)  # repeated rows meet in one shard
             m = np.frombuffer(b"".join(left.column("v").to_pylist()), np.float64).reshape(-1, width)[order]
             ids, cell = ids[order], cell[order]
             names, place_of = np.unique(cell, return_inverse=True)
