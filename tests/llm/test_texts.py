@@ -26,11 +26,12 @@ def test_edited_texts_and_neighbours(spark):
     assert sum(r["near_edited"] > r["near_next"] for r in rows.values()) > 0.9 * len(rows)
 
 
-def test_ranges_hand_rows_on(spark):
+@pytest.mark.parametrize("rows", [1, 7, 5000])
+def test_ranges_hand_rows_on(spark, rows):
     """Many ranges, ids with gaps: the next row is found across every border."""
     ids = sorted(random.Random(3).sample(range(10**9), 3000))
     df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")
-    got = {r["doc_id"]: r["next_text"] for r in imatch.with_next(imatch.dealt_by_range(df, rows=7), ["text"]).collect()}
+    got = {r["doc_id"]: r["next_text"] for r in imatch.with_next(imatch.dealt_by_range(df, rows=rows), ["text"]).collect()}
     assert got == {a: str(b) for a, b in zip(ids, [*ids[1:], ids[0]], strict=True)}
 
 

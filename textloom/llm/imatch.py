@@ -84,27 +84,45 @@ def likeness(a: str, b: str) -> str:
     return f"cast(CASE {' '.join(cases)} ELSE 1.0 END AS double)"
 
 
-def dealt_by_range(docs: DataFrame, most: int = 2000, rows: int = 500) -> DataFrame:
+def dealt_by_range(docs: DataFrame, most: int = 40_000, rows: int = 500) -> DataFrame:
     """``docs`` (doc_id, ...) dealt so that with_next() needs no further shuffle.
 
     Rows are dealt once, into ranges of ids (about ``rows`` each, at most ``most``
     ranges) that begin at ids which exist; the first row of a range is also sent to
     the range before, so that no range has to see another and none is sorted with
-    all. The first row of all also goes to the last range.
+    all. The first row of all also goes to the last range. A row finds its range
+    in two steps, each over about the square root of the number of ranges.
     """
     n = docs.count()
     ranges = max(1, min(most, n // rows))
-    cuts = sorted(set(docs.select(F.percentile_approx("doc_id", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]) if ranges > 1 else F.array(F.lit(0.5)), 100 * ranges)).first()[0] or [])) if ranges > 1 else []
     first = docs.agg(F.min("doc_id")).first()[0]
-    cuts = [c for c in cuts if c != first]
-    if cuts:
-        cut = "array(" + ",".join(f"{c}L" for c in cuts) + ")"
-        own = f"size(filter({cut}, c -> c <= doc_id))"
-        copies = f"CASE WHEN doc_id = {first}L THEN array(named_struct('range', 0, 'later', 0), named_struct('range', {len(cuts)}, 'later', 1)) WHEN array_contains({cut}, doc_id) THEN array(named_struct('range', {own}, 'later', 0), named_struct('range', {own} - 1, 'later', 1)) ELSE array(named_struct('range', {own}, 'later', 0)) END"
-    else:
-        copies = f"CASE WHEN doc_id = {first if first is not None else 0}L THEN array(named_struct('range', 0, 'later', 0), named_struct('range', 0, 'later', 1)) ELSE array(named_struct('range', 0, 'later', 0)) END"
-    dealt = docs.withColumn("tmp_to", F.explode(F.expr(copies))).withColumn("tmp_range", F.col("tmp_to.range")).withColumn("tmp_later", F.col("tmp_to.later")).drop("tmp_to")
-    return dealt.repartition("tmp_range")
+    cuts: list[int] = []
+    if ranges > 1:
+        shares = F.expr("cast(split('" + ",".join(repr(k / ranges) for k in range(1, ranges)) + "', ',') AS array<double>)")
+        # where ranges begin may come from a sample of ids; all rows are dealt
+        thin = max(1, n // 2_000_000)
+        ids = docs.select("doc_id").filter(F.pmod(F.xxhash64("doc_id"), F.lit(thin)) == 0)
+        found = ids.select(F.percentile_approx("doc_id", shares, 20 * ranges)).first()[0] or []
+        cuts = sorted(set(found) - {first})
+    step = max(1, round(len(cuts) ** 0.5))
+
+    def array(values: list[int]) -> str:
+        return "cast(split('" + ",".join(map(str, values)) + "', ',') AS array<bigint>)" if values else "cast(array() AS array<bigint>)"
+
+    df = docs.withColumn("tmp_coarse", F.expr(f"size(filter({array(cuts[::step])}, c -> c <= doc_id))"))
+    fine = f"slice({array(cuts)}, (tmp_coarse - 1) * {step} + 1, {step})"
+    df = df.withColumn("tmp_own", F.expr(f"CASE WHEN tmp_coarse > 0 THEN (tmp_coarse - 1) * {step} + size(filter({fine}, c -> c <= doc_id)) ELSE 0 END"))
+
+    def to(place: str, later: int) -> str:
+        return f"named_struct('range', {place}, 'later', {later})"
+
+    copies = f"""CASE WHEN doc_id = {first if first is not None else 0}L THEN array({to('tmp_own', 0)}, {to(len(cuts), 1)})
+        WHEN tmp_own > 0 AND element_at({array(cuts)}, greatest(tmp_own, 1)) = doc_id THEN array({to('tmp_own', 0)}, {to('tmp_own - 1', 1)}) ELSE array({to('tmp_own', 0)}) END"""
+    if not cuts:
+        copies = f"CASE WHEN doc_id = {first if first is not None else 0}L THEN array({to('0', 0)}, {to('0', 1)}) ELSE array({to('0', 0)}) END"
+    dealt = df.withColumn("tmp_to", F.explode(F.expr(copies)))
+    dealt = dealt.withColumn("tmp_range", F.col("tmp_to.range")).withColumn("tmp_later", F.col("tmp_to.later"))
+    return dealt.drop("tmp_to", "tmp_own", "tmp_coarse").repartition("tmp_range")
 
 
 def with_next(dealt: DataFrame, columns: list[str]) -> DataFrame:
