@@ -49,6 +49,9 @@ class Codec:
         self.control = {i for i in range(sp.vocab_size()) if sp.is_control(i)}
         bytes_of = {i: int(self.pieces[i][3:5], 16) for i in range(sp.vocab_size()) if sp.is_byte(i)}
         self.byte_of, self.byte_id = bytes_of, {b: i for i, b in bytes_of.items()}
+        #: Text of each id by itself; those of ``high`` are parts of a character.
+        self.high = {i for i, b in bytes_of.items() if b >= 0x80}
+        self.text = [chr(bytes_of[i]) if i in bytes_of else "" if i in self.control else " ⁇ " if i == self.unknown else p for i, p in enumerate(self.pieces)]
         self.score = {}
         self.automaton = ahocorasick.Automaton()
         for i, p in enumerate(self.pieces):
@@ -65,41 +68,37 @@ class Codec:
 
     def viterbi(self, s: str) -> list[int]:
         """Ids of the best segmentation of marked text; of equally good ones, the longer last piece."""
-        n = len(s)
-        best = [0.0] + [-1e30] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        n, low, floor = len(s), -1e30, self.floor
+        best, start_of, id_of = [0.0] + [low] * n, [0] * (n + 1), [-1] * (n + 1)
+        single = bytearray(n)  # whether a piece of one character ends there
         at = 0
         for end, (size, i, score) in self.automaton.iter(s):
             while at < end:  # every position before this match's end has its last match behind it
-                self._unknown(best, back, at)
+                if not single[at] and best[at] + floor > best[at + 1]:
+                    best[at + 1], start_of[at + 1], id_of[at + 1] = best[at] + floor, at, -1
                 at += 1
+            if size == 1:
+                single[end] = 1
             start = end + 1 - size
-            if size > 1 and best[start] == -1e30:
-                continue
             x = best[start] + score
             if x > best[end + 1]:
-                best[end + 1], back[end + 1] = x, (start, i)
+                best[end + 1], start_of[end + 1], id_of[end + 1] = x, start, i
         while at < n:
-            self._unknown(best, back, at)
+            if not single[at] and best[at] + floor > best[at + 1]:
+                best[at + 1], start_of[at + 1], id_of[at + 1] = best[at] + floor, at, -1
             at += 1
         out = []
         while n:
-            start, i = back[n]
+            start, i = start_of[n], id_of[n]
             if i >= 0:
                 out.append(i)
+            elif self.byte_id:  # a character without a piece
+                out.extend(self.byte_id.get(b, self.unknown) for b in reversed(s[start:n].encode("utf-8", "surrogatepass")))
             else:
-                raw = s[start:n].encode("utf-8", "surrogatepass")
-                out.extend(self.byte_id.get(b, self.unknown) for b in reversed(raw)) if self.byte_id else out.append(self.unknown)
+                out.append(self.unknown)
             n = start
         return out[::-1]
 
-    def _unknown(self, best: list[float], back: list[tuple[int, int]], at: int) -> None:
-        """An unknown character ends at ``at``, unless a piece of this one character does."""
-        if best[at + 1] == -1e30 or back[at + 1][0] != at:
-            x = best[at] + self.floor
-            if x > best[at + 1]:
-                best[at + 1], back[at + 1] = x, (at, -1)
-
     def mark(self, text: str) -> str:
         if not text:
             return ""
@@ -123,13 +122,12 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids; bytes that are no UTF-8 become U+FFFD, control ids nothing."""
-        parts = []
-        for i in ids:
-            if i in self.byte_of:
-                parts.append(bytes([self.byte_of[i]]))
-            elif i not in self.control:
-                parts.append((" ⁇ " if i == self.unknown else self.pieces[i]).encode())
-        s = b"".join(parts).decode("utf-8", "replace").replace(SPACE, " ")
+        if self.high.isdisjoint(ids):
+            s = "".join(map(self.text.__getitem__, ids))
+        else:
+            parts = (bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].encode() for i in ids)
+            s = b"".join(parts).decode("utf-8", "replace")
+        s = s.replace(SPACE, " ")
         return s[1:] if self.prefix and s.startswith(" ") else s
 
 
