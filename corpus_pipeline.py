@@ -36,8 +36,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component of close fingerprints; rows without id stay."""
-    found = simhash.near_duplicates(docs.filter("doc_id is not null"))
+    """Keep the document with the smallest id of each component of texts alike in 0.8 of their 5-word shingles; rows without id stay."""
+    found = simhash.similar_documents(docs.filter("doc_id is not null"), similarity=0.8, words=5)
     first = found.filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)

@@ -111,3 +111,51 @@ def test_components_on_documents(spark):
         mates = next((c for c in comps if f in c), {f})
         assert got[d]["component_id"] == min(x for x, g in fps.items() if g in mates)
     assert docs.select(F.count("*")).first()[0] == len(got)
+
+
+def plain_shingles(text, size=5):
+    words = text.lower().split()
+    return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def test_similar_documents(spark):
+    """Edited copies are found by their overlap, not by two bits; texts below the similarity stay apart."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(30):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(100, 300))]
+        copy = list(words)
+        for k in range(len(words) // 60):
+            copy[30 + 50 * k] = "edited"
+        other = list(words)
+        for k in range(0, len(words), 12):
+            other[k] = "changed"
+        texts += [" ".join(words), " ".join(copy).title(), " ".join(other)]
+    texts += ["same line again " * 50 + " ".join(f"a{k}" for k in range(60)), "same line again " * 50 + " ".join(f"b{k}" for k in range(60)), "", " \n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    sets = [plain_shingles(t) for t in texts]
+
+    def alike(a, b):
+        return not (sets[a] | sets[b]) or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+    want = {b: next((a for a in range(b) if alike(a, b)), b) for b in range(len(texts))}
+    assert got == want and sum(a != b for a, b in want.items()) >= 25
+    fps = [plain_fingerprint(t) for t in texts]
+    assert sum((fps[a] ^ fps[b]).bit_count() > 2 for b, a in want.items()) >= 15  # out of reach of op4's budget
+
+
+@pytest.mark.parametrize("least", [4, 2048])
+def test_candidates_with_shards(spark, least):
+    fps = sorted(balls(4))
+    rows = [(k, x - (1 << 64) if x >> 63 else x, 100) for k, x in enumerate(fps)]
+    links = simhash.candidate_links(spark.createDataFrame(rows, "vid long, fp long, n long"), 11, 0.8, near=10**6, least=least).collect()
+    want = {(a, b) for b in range(len(fps)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= 11}
+    assert {(r["u"], r["v"]) for r in links} == want
+    few = simhash.candidate_links(spark.createDataFrame(rows, "vid long, fp long, n long"), 11, 0.8, near=1, least=least).collect()
+    near = {frozenset(g) for g in plain_components(fps, 11)}
+    assert {(r["u"], r["v"]) for r in few} <= want
+    groups = {}
+    for r in graph.connected_components(spark.createDataFrame(few, "u long, v long")).collect():
+        groups.setdefault(r["root"], set()).add(fps[r["u"]])
+    assert {frozenset(g) for g in groups.values()} == near

@@ -1,4 +1,4 @@
-"""SimHash fingerprints and a Hamming self-join over a binary trie."""
+"""SimHash fingerprints, a Hamming self-join over a binary trie, and documents whose shingle sets overlap."""
 
 from __future__ import annotations
 
@@ -233,3 +233,195 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(of_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+# Documents that are alike by an exact measure ------------------------------------------------
+
+#: Odd multipliers that make one hash of the hashes of a shingle's words.
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+
+
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of ``size`` (at most 8) words; words are those of simhash()."""
+    words = (text or b"").lower().split()
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    n = len(words) - size + 1
+    total = np.zeros(n, np.uint64)
+    for k in range(size):
+        total += hashes[k : k + n] * _MIX[k]
+    return np.unique(total)
+
+
+def _vertices(docs: DataFrame, size: int, words: int) -> DataFrame:
+    """(id, vid, fp, n): hash of the text, fingerprint and number of distinct shingles of each (id, vid, text) row."""
+
+    def run(batches):
+        for b in batches:
+            texts = [t.as_py() for t in b.column(2).cast(pa.large_binary())]
+            fps = np.array([simhash(t, size) for t in texts], np.uint64).astype("<u8").view("<i8")
+            n = np.array([len(shingle_set(t, words)) for t in texts], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), pa.array(n)], names=["id", "vid", "fp", "n"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, vid long, fp long, n long")
+
+
+class _Sets:
+    """Disjoint sets of 0..n-1, joined in bulk."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Positions of the pairs that join two sets, when taken in order."""
+        a, b = self.label[i], self.label[j]
+        at = np.flatnonzero(a != b)
+        if not len(at):
+            return at
+        _, once = np.unique(np.stack([a[at], b[at]]), axis=1, return_index=True)
+        at, up, new = at[np.sort(once)], {}, []
+
+        def find(x):
+            while x in up:
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
+            return x
+
+        for k, x, y in zip(at.tolist(), a[at].tolist(), b[at].tolist(), strict=True):
+            p, q = find(x), find(y)
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                new.append(k)
+        if up:
+            move = np.arange(len(self.label))
+            for x in list(up):
+                move[x] = find(x)
+            self.label = move[self.label]
+        return np.array(new, np.int64)
+
+
+def close_pairs(rot: np.ndarray, n: np.ndarray, own: np.ndarray | None, budget: int, similarity: float, near: int, tile: int = 128):
+    """Index pairs within ``budget`` bits whose set sizes ``n`` allow the similarity; ``own`` marks one side, if there are two.
+
+    Of an index with more than ``near`` partners the nearest ones are returned,
+    and of the rest those that connect what isn't connected.
+    """
+    order = np.argsort(n, kind="stable")
+    sides = [order, order] if own is None else [order[own[order]], order[~own[order]]]
+    left, right = sides
+    sizes = n[right]
+    sets = _Sets(len(rot))
+    for k in range(0, len(left), tile):
+        rows = left[k : k + tile]
+        first = k if own is None else int(np.searchsorted(sizes, n[rows[0]] * similarity - 1e-6))
+        last = int(np.searchsorted(sizes, n[rows[-1]] / similarity + 1e-6, "right"))
+        for c in range(first, last, 1 << 16):
+            cols = right[c : min(last, c + (1 << 16))]
+            d = np.bitwise_count(rot[rows][:, None] ^ rot[cols][None, :])
+            i, j = np.nonzero(d <= budget)
+            d, x, y = d[i, j], rows[i], cols[j]
+            keep = np.minimum(n[x], n[y]) >= np.maximum(n[x], n[y]) * similarity - 1e-6
+            if own is None:
+                keep &= (c + j) > (k + i)
+            i, x, y, d = i[keep], x[keep], y[keep], d[keep]
+            by = np.lexsort((d, i))
+            i, x, y = i[by], x[by], y[by]
+            nearest = np.arange(len(i)) - np.searchsorted(i, i) < near
+            sets.join(x[nearest], y[nearest])
+            rest = np.flatnonzero(~nearest)
+            taken = rest[sets.join(x[rest], y[rest])]
+            yield np.concatenate([x[nearest], x[taken]]), np.concatenate([y[nearest], y[taken]])
+
+
+def _pair_nodes(budget: int, similarity: float, near: int):
+    """Batches of (r, a, p, q, h, rot, vid, n), sorted by the first four, to links (u, v) of vids."""
+
+    def runs(batches):
+        kept: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(8)])
+            cut = np.flatnonzero((x[:4, 1:] != x[:4, :-1]).any(0)) + 1
+            parts = np.split(x, cut, axis=1)
+            if kept and (kept[0][:4, 0] != x[:4, 0]).any():
+                yield np.concatenate(kept, axis=1)
+                kept = []
+            for part in parts[:-1]:
+                yield np.concatenate([*kept, part], axis=1)
+                kept = []
+            kept.append(parts[-1])
+        if kept:
+            yield np.concatenate(kept, axis=1)
+
+    def run(batches):
+        for g in runs(batches):
+            p, q = int(g[2, 0]), int(g[3, 0])
+            own = None if p == q else g[4] == p
+            for i, j in close_pairs(g[5].view(np.uint64), g[7], own, budget, similarity, near):
+                if len(i):
+                    u, v = g[6][i], g[6][j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    return run
+
+
+def candidate_links(vertices: DataFrame, budget: int, similarity: float, near: int = 8, least: int = 2048) -> DataFrame:
+    """Links (u, v) of ``vertices`` (vid, fp, n) within ``budget`` bits whose set sizes allow the similarity.
+
+    Two values within the budget agree on one of budget + 1 blocks of bits. The
+    blocks of a wide budget are narrow, so all values of a block are compared at
+    once instead of walking a trie. A block with over twice the mean of values
+    (``least`` at least) is dealt into shards, whose pairs are separate groups.
+    """
+    rows = []
+    for r, (start, width) in enumerate(_blocks(budget)):
+        rot = F.col("fp") if not start else F.shiftleft("fp", start).bitwiseOR(F.shiftrightunsigned("fp", BITS - start))
+        rows.append(F.struct(F.lit(r).alias("r"), F.shiftrightunsigned(rot, BITS - width).alias("a"), rot.alias("rot")))
+    items = vertices.select("vid", "n", F.explode(F.array(*rows)).alias("x")).select("x.*", "vid", "n")
+    counts = items.groupBy("r", "a").agg(F.count(F.lit(1)).alias("m"))
+    counts = materialise(counts)  # a few hundred nodes, as there are few values of a narrow block
+    most = max(least, 2 * (counts.agg(F.avg("m")).first()[0] or 0))
+    shards = counts.select("r", "a", F.ceil(F.col("m") / F.lit(float(most))).cast("int").alias("s"))
+    dealt = items.join(F.broadcast(shards), ["r", "a"]).withColumn("h", F.pmod(F.xxhash64("vid"), F.col("s")).cast("int"))
+    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    key = ["r", "a", "p", "q"]
+    groups = dealt.select("r", "a", F.least("h", "k").alias("p"), F.greatest("h", "k").alias("q"), "h", "rot", "vid", "n")
+    return groups.repartition(*key).sortWithinPartitions(*key).mapInArrow(_pair_nodes(budget, similarity, near), "u long, v long")
+
+
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, size: int = 3, budget: int = 11
+) -> DataFrame:
+    """(id, vid, component_id): each document with the smallest id reachable over texts that are alike.
+
+    Texts are alike if the sets of their shingles of ``words`` words have a
+    Jaccard similarity of at least ``similarity``; that is counted exactly, for
+    the pairs whose fingerprints (shingles of ``size`` words) differ in at most
+    ``budget`` bits. A short shingle changes fewer hashes an edit, so fingerprints
+    of 3 words find more of the pairs alike by 5 words than those of 5 words do.
+    vid is a hash of the text; equal texts are one vertex, a null text is empty,
+    two texts without words are alike, and a null id counts for no minimum.
+    """
+    named = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("vid"), F.col(text_col).alias("text"))
+    prints = materialise(_vertices(named, size, words))
+    vertices = materialise(prints.groupBy("vid").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("id").alias("least")))
+    links = materialise(candidate_links(vertices, budget, similarity).distinct())
+    linked = links.select(F.col("u").alias("vid")).union(links.select("v")).distinct()
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t.as_py(), words).astype("<u8").view("<i8") for t in b.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["vid", "s"])
+
+    texts = named.select("vid", "text").join(linked, "vid", "left_semi").groupBy("vid").agg(F.first("text").alias("text"))
+    sets = materialise(texts.mapInArrow(run, "vid long, s array<long>"))
+    both = links.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
+    both = both.select("u", "v", F.size(F.array_intersect("su", "sv")).alias("m"), (F.size("su") + F.size("sv")).alias("t"))
+    alike = both.filter(F.col("m") >= F.lit(similarity) * (F.col("t") - F.col("m")) - 1e-9)
+    roots = connected_components(alike.select("u", "v")).toDF("vid", "root")
+    rooted = vertices.select("vid", "least").join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_vid = rooted.join(least, "root").select("vid", "component_id")
+    return prints.join(of_vid, "vid").select(F.col("id").alias(id_col), "vid", "component_id")
