@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import packing, quality, secrets, simhash, toxicity
-from textloom.llm.common import discard, materialise, table
+from textloom.llm.common import discard, free_name, materialise, table
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -36,10 +36,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component of texts alike in 0.8 of their 5-word shingles; rows without id stay."""
-    found = simhash.similar_documents(docs.filter("doc_id is not null"), similarity=0.8, words=5)
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Keep one document of each component of texts alike in 0.8 of their 5-word shingles; rows without id stay.
+
+    It is the one with the smallest (doc_id, hash of the text), as an id may stand
+    for texts of two components; of such rows, the one with the smallest hash of all columns.
+    """
+    known, vid = docs.filter("doc_id is not null"), free_name(docs, "vid")
+    found = simhash.similar_documents(known, similarity=0.8, words=5)
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", F.col("vid").alias(vid))).alias("x")).select("x.*")
+    keyed = known.withColumn(vid, F.xxhash64(F.coalesce("text", F.lit("")))).join(first, ["doc_id", vid], "left_semi")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = keyed.groupBy("doc_id", vid).agg(F.min_by(row, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("row")).select("row.*")
     return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
 
 

@@ -39,6 +39,17 @@ def test_edge_rows(spark, edge_docs, no_docs, tmp_path):
     assert sorted(r["doc_id"] or 0 for r in deduped) == [0, 1, 2, 5, 7, 8]
 
 
+def test_repeated_ids_with_other_texts(spark, tmp_path):
+    """An id in two components keeps a row for each; which row stays doesn't hang on the order of rows."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a, "en"), (1, b, "en"), (2, a, "de"), (3, b, "de"), (3, c, "en"), (1, a, "fr"), (4, c, "en")]
+    got = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)
+        got.append(sorted(tuple(r) for r in P.drop_near_duplicates(spark, df, str(tmp_path)).collect()))
+    assert got[0] == got[1] and sorted((r[0], r[1]) for r in got[0]) == sorted([(1, a), (1, b), (3, c)])
+
+
 @pytest.mark.parametrize("name", ["imatch", "quotes", "secrets"])
 def test_native_operators_stay_in_the_jvm(name):
     source = open(importlib.import_module(f"textloom.llm.{name}").__file__).read()

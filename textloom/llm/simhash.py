@@ -394,14 +394,15 @@ def candidate_links(vertices: DataFrame, budget: int, similarity: float, near: i
 def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, size: int = 3, budget: int = 11
 ) -> DataFrame:
-    """(id, vid, component_id): each document with the smallest id reachable over texts that are alike.
+    """(id, vid, component, component_id): each document with its component of texts that are alike, and the smallest id in it.
 
     Texts are alike if the sets of their shingles of ``words`` words have a
     Jaccard similarity of at least ``similarity``; that is counted exactly, for
     the pairs whose fingerprints (shingles of ``size`` words) differ in at most
     ``budget`` bits. A short shingle changes fewer hashes an edit, so fingerprints
     of 3 words find more of the pairs alike by 5 words than those of 5 words do.
-    vid is a hash of the text; equal texts are one vertex, a null text is empty,
+    vid is a hash of the text, component the smallest vid of a component (ids may be
+    repeated, so that two components can have one smallest id); equal texts are one vertex, a null text is empty,
     two texts without words are alike, and a null id counts for no minimum.
     """
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("vid"), F.col(text_col).alias("text"))
@@ -423,5 +424,5 @@ def similar_documents(
     roots = connected_components(alike.select("u", "v")).toDF("vid", "root")
     rooted = vertices.select("vid", "least").join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_vid = rooted.join(least, "root").select("vid", "component_id")
-    return prints.join(of_vid, "vid").select(F.col("id").alias(id_col), "vid", "component_id")
+    of_vid = rooted.join(least, "root").select("vid", F.col("root").alias("component"), "component_id")
+    return prints.join(of_vid, "vid").select(F.col("id").alias(id_col), "vid", "component", "component_id")
