@@ -36,6 +36,12 @@ def test_query(spark, oracle, name):
         assert list(g) == pytest.approx(list(w), abs=2e-6) if any(isinstance(v, float) for v in g) and all(isinstance(v, (int, float, type(None))) for v in g) else all(a == b or (isinstance(a, float) and abs(a - b) < 2e-6) for a, b in zip(g, w, strict=True)), (g, w)
 
 
+def test_every_user_is_blinded(spark):
+    d = "/root/testdata/sf0.01"  # sf0.001 has no user above 14
+    got = sorted((r["case_id"], r["condition_id"]) for r in registry.QUERIES["blinded_items"](spark, d).collect())
+    assert got == sorted(duckdb.sql(f"SELECT DISTINCT user_id::VARCHAR, event_type FROM '{d}/events.parquet'").fetchall())
+
+
 def test_entry_imports(spark):
     import __spark_entry__ as e
 

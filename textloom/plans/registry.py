@@ -375,7 +375,7 @@ def stratified_sample(spark, d):
 
 @_query()
 def blinded_items(spark, d):
-    events = _t(spark, d, "events").filter("user_id <= 40").select(F.col("user_id").cast("string").alias("case_id"), F.col("event_type").alias("condition_id")).distinct()
+    events = _t(spark, d, "events").select(F.col("user_id").cast("string").alias("case_id"), F.col("event_type").alias("condition_id")).distinct()
     return evaluation.blinded_items(events)
 
 
