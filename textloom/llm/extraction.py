@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,14 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Elements whose content is no text of the page.
 RAW = set("script style title textarea".split())
 CONTAINER = (BLOCK - VOID - {"p", "html", "body"}) | set("noscript iframe svg template object canvas span".split())
-BOILER_TAGS = set("nav footer aside form button select dialog menu noscript iframe svg template object canvas head fieldset label".split())
+#: Elements made for something else than the article.
+BESIDE_TAGS = set("nav footer aside form button select dialog menu noscript iframe svg template object canvas head fieldset label".split())
+BESIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 MAIN_TAGS = {"article", "main"}
-BOILER_NAMES = set(
+ITEM_TAGS = set("li dt dd option".split())
+PARAGRAPH_TAGS = set("p pre blockquote figcaption summary caption".split())
+#: Words of class and id names that hint at something else than the article, and at the article.
+BESIDE_NAMES = set(
     """ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies
     consent gdpr notice notices alert comment comments commentlist reply replies respond discussion disqus sidebar sidenav menu nav
     navbar navigation topbar footer foot header masthead share sharing social related recommended breadcrumb breadcrumbs newsletter
@@ -31,131 +37,107 @@ BOILER_NAMES = set(
     search outbrain taboola notification toast paywall cookiebar cookiebanner cookienotice navmenu adsbygoogle""".split()
 )
 MAIN_NAMES = set("article content main post entry story body text".split())
-BOILER_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _HIDDEN = re.compile(r"""(?<![-\w])hidden(?![-\w]*=)|display\s*:\s*none""", re.I)
-_NAME = re.compile(r"[A-Za-z]+")
-_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def _names(value: str) -> set[str]:
-    """Words of a class or id in lower case, and the parts of those in camel case; digits divide."""
-    words = _NAME.findall(value)
-    return {w.lower() for w in words} | {p.lower() for w in words for p in _HUMP.split(w)}
+def name_hint(names: list[str]) -> float:
+    """How much an element's class and id names hint at something else than the article, from 0 to 1.
 
-
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "zone", "has_main", "heading")
-#: Small labelled sample: the features of a block and whether it is main text.
-LABELLED = """
-120 0.00 12 0.00 80 0.05 1 1 0 1 | 35 0.00 120 0.00 60 0.00 1 1 0 1 | 1 0.00 40 0.00 55 0.00 1 1 0 1 | 2 0.00 1 0.00 1 0.00 1 1 0 1
-8 0.00 10 0.00 90 0.00 1 1 1 1 | 3 0.00 0 0.00 3 0.00 1 1 1 1 | 60 0.40 30 0.00 40 0.10 1 1 0 1 | 14 0.30 70 0.00 20 0.00 1 1 0 1
-25 0.60 80 0.00 90 0.00 1 1 0 1 | 5 0.00 6 1.00 8 0.00 1 1 0 1 | 10 0.00 5 1.00 0 0.00 1 1 0 1 | 1 0.00 0 0.00 0 0.00 1 1 0 1
-90 0.00 0 0.00 0 0.00 1 1 0 1 | 6 0.50 30 0.00 25 0.00 1 1 0 1 | 45 0.02 2 0.00 2 0.00 1 1 0 1 | 4 0.00 200 0.00 9 0.20 1 1 0 1
-50 0.00 40 0.00 3 1.00 1 1 0 1 | 2 0.00 70 0.00 4 1.00 1 1 0 1 | 12 0.20 1 1.00 1 1.00 1 1 0 1 | 4 0.00 1 1.00 3 1.00 1 1 1 1
-80 0.00 60 0.00 2 1.00 0 0 0 1 | 35 0.10 50 0.00 5 1.00 0 0 0 1 | 28 0.00 2 1.00 1 1.00 0 0 0 1 | 22 0.00 33 0.00 1 1.00 -1 1 0 0
-3 1.00 4 1.00 2 1.00 1 1 0 0 | 6 1.00 5 1.00 7 1.00 1 1 0 0 | 2 1.00 90 0.00 3 1.00 1 1 0 0 | 5 1.00 3 1.00 60 0.00 1 1 0 0
-4 0.95 4 0.95 12 0.00 1 1 0 0 | 9 1.00 8 1.00 9 1.00 1 1 0 0 | 1 1.00 0 0.00 1 1.00 -1 1 0 0 | 1 1.00 1 1.00 1 1.00 -1 1 0 0
-11 0.00 1 1.00 10 0.00 -1 1 0 0 | 40 0.00 1 1.00 9 0.00 -1 1 0 0 | 12 0.00 60 0.00 0 0.00 -1 1 0 0 | 3 0.00 50 0.00 30 0.00 -1 1 0 0
-80 0.00 70 0.00 30 0.00 -1 1 0 0 | 150 0.00 40 0.00 35 0.00 -1 1 0 0 | 5 0.00 90 0.00 40 0.00 -1 1 1 0 | 30 0.50 4 0.00 6 0.00 -1 1 0 0
-7 0.00 100 0.00 20 0.00 -1 0 1 0 | 90 0.00 100 0.00 80 0.00 -1 0 0 0 | 2 1.00 2 1.00 2 1.00 -1 0 0 0 | 20 0.00 2 1.00 70 0.00 -1 0 0 0
-15 0.00 3 1.00 8 0.00 0 1 0 0 | 70 0.00 2 1.00 9 0.00 0 1 0 0 | 4 0.00 0 0.00 2 1.00 0 1 1 0 | 2 1.00 9 0.00 3 1.00 0 1 0 0
-10 0.00 90 0.00 3 1.00 0 1 0 0 | 1 0.00 1 0.00 60 0.00 0 1 0 0 | 25 0.20 90 0.00 12 0.00 0 1 0 0 | 6 0.00 30 0.00 0 0.00 0 1 1 0
-110 0.00 20 0.00 90 0.00 0 0 0 1 | 40 0.05 60 0.00 80 0.00 0 0 0 1 | 25 0.00 40 0.00 30 0.10 0 0 0 1 | 60 0.20 9 0.00 45 0.00 0 0 0 1
-12 0.00 50 0.00 70 0.00 0 0 0 1 | 3 0.00 60 0.00 90 0.00 0 0 0 1 | 8 0.00 2 1.00 80 0.00 0 0 1 1 | 5 0.00 0 0.00 40 0.00 0 0 1 1
-18 0.00 30 0.00 25 0.00 0 0 0 1 | 9 0.10 45 0.00 33 0.00 0 0 0 1 | 75 0.30 80 0.00 60 0.20 0 0 0 1 | 30 0.00 0 0.00 0 0.00 0 0 0 1
-2 1.00 2 1.00 2 1.00 0 0 0 0 | 4 0.80 3 1.00 5 0.90 0 0 0 0 | 1 1.00 0 0.00 1 1.00 0 0 0 0 | 12 0.90 10 1.00 11 1.00 0 0 0 0
-6 0.00 3 1.00 2 1.00 0 0 0 0 | 3 0.00 2 1.00 4 1.00 0 0 0 0 | 8 0.10 90 0.00 0 0.00 0 0 0 0 | 5 0.00 60 0.00 3 1.00 0 0 0 0
-7 0.60 40 0.00 2 1.00 0 0 0 0 | 20 0.80 60 0.00 15 0.80 0 0 0 0 | 4 0.00 2 0.00 3 0.00 0 0 0 0 | 30 0.90 3 1.00 5 1.00 0 0 0 0
-"""
-
-
-def labelled_sample() -> tuple[np.ndarray, np.ndarray]:
-    rows = np.array([[float(v) for v in r.split()] for r in re.split(r"[|\n]", LABELLED.strip())])
-    return rows[:, :-1], rows[:, -1].astype(int)
-
-
-class DecisionTree:
-    """Binary tree of threshold tests, grown greedily on Gini impurity; ties take the first feature."""
-
-    def __init__(self, depth: int = 8, least: int = 1):
-        self.depth, self.least = depth, least
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> DecisionTree:
-        self.root = self._grow(x, y, self.depth)
-        return self
-
-    def _grow(self, x, y, depth):
-        share = y.mean()
-        if depth == 0 or share in (0, 1):
-            return share >= 0.5
-        best = None
-        for f in range(x.shape[1]):
-            values = np.unique(x[:, f])
-            for cut in (values[1:] + values[:-1]) / 2:
-                low = x[:, f] < cut
-                n = int(low.sum())
-                if min(n, len(y) - n) < self.least:
-                    continue
-                p, q = y[low].mean(), y[~low].mean()
-                g = n * p * (1 - p) + (len(y) - n) * q * (1 - q)
-                if best is None or g < best[0] - 1e-12:
-                    best = (g, f, float(cut), low)
-        if best is None:
-            return share >= 0.5
-        _, f, cut, low = best
-        return f, cut, self._grow(x[low], y[low], depth - 1), self._grow(x[~low], y[~low], depth - 1)
-
-    def predict_one(self, row) -> bool:
-        node = self.root
-        while isinstance(node, tuple):
-            node = node[2] if row[node[0]] < node[1] else node[3]
-        return bool(node)
+    A name counts 1 if it or its last part is such a word ("comments",
+    "article-comments"), one half if another part is ("ad-slot"), and -1 if it
+    names the article; the mean over all names counts, so that one name among
+    others decides nothing.
+    """
+    total = n = 0.0
+    for name in names:
+        parts = [p.lower() for p in _PART.findall(name)]
+        if not parts:
+            continue
+        n += 1
+        if parts[-1] in BESIDE_NAMES or "".join(parts) in BESIDE_NAMES:
+            total += 1
+        elif MAIN_NAMES & set(parts):
+            total -= 1
+        elif BESIDE_NAMES & set(parts):
+            total += 0.5
+    return max(0.0, total / n) if n else 0.0
+
+
+class Block(NamedTuple):
+    """A flat text block: its text, words, words in links, and the kinds of element it stands in."""
+
+    text: str
+    words: int
+    linked: int
+    kind: str  # p paragraph, h heading, i list item, b text of another element
+    main: bool  # in an article or main element
+    beside: bool  # in a nav, footer, aside, form or the like
+    named: float  # strongest name hint of the containers around
+    own: float  # name hint of the paragraph or heading itself
+
+
+class _Around(NamedTuple):
+    main: bool = False
+    beside: bool = False
+    named: float = 0.0
+    hidden: bool = False
+    kind: str = "b"
+
+
+def _attributes(attributes: str) -> tuple[list[str], set[str]]:
+    names: list[str] = []
+    roles: set[str] = set()
+    for key, *value in _ATTRIBUTE.findall(attributes):
+        words = "".join(value).split()
+        if key.lower() == "role":
+            roles.update(w.lower() for w in words)
+        else:
+            names += words
+    return names, roles
+
+
+def _inside(around: _Around, tag: str, attributes: str) -> _Around:
+    """What holds inside of a container."""
+    names, roles = _attributes(attributes)
+    kind = "i" if tag in ITEM_TAGS else "p" if tag in PARAGRAPH_TAGS else around.kind if tag == "span" else "b"
+    if tag[0] == "h" and tag[1:] in ("1", "2", "3", "4", "5", "6"):
+        kind = "h"
+    return _Around(
+        around.main or tag in MAIN_TAGS or "main" in roles,
+        around.beside or tag in BESIDE_TAGS or bool(BESIDE_ROLES & roles) or (tag == "header" and not around.main),
+        around.named if tag in MAIN_TAGS else max(around.named, name_hint(names)),
+        around.hidden or bool(_HIDDEN.search(attributes)),
+        kind,
+    )
 
 
-@functools.lru_cache(1)
-def default_tree() -> DecisionTree:
-    return DecisionTree().fit(*labelled_sample())
-
+def blocks(page: str) -> list[Block]:
+    """Text blocks in page order; hidden elements and those whose content isn't text have none.
 
-def _zone(tag: str, attributes: str, zone: int, seen_main: bool) -> int:
-    """Zone of an element (1 main text, -1 none, 0 unknown) in an element of ``zone``."""
-    if tag in BOILER_TAGS:
-        return -1
-    names: set[str] = set()
-    for key, *value in _ATTRIBUTE.findall(attributes):
-        words = _names("".join(value))
-        if key.lower() == "role":
-            if BOILER_ROLES & words:
-                return -1
-            words &= {"main"}
-        names |= words
-    if BOILER_NAMES & names or _HIDDEN.search(attributes):
-        return -1
-    if tag == "header":
-        return zone if zone == 1 else -1
-    if tag in MAIN_TAGS and (zone >= 0 or not seen_main):
-        return 1
-    return 1 if zone == 0 and MAIN_NAMES & names and tag != "span" else zone
-
-
-def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
-    """Text blocks in page order: (text, words, words in links, zone, heading)."""
-    out: list[tuple[str, int, int, int, bool]] = []
+    One pass: an end tag is looked for among the open elements only if one of its
+    name is open, and closes all it passes, so any nesting takes linear time.
+    """
+    out: list[Block] = []
     run: list[tuple[str, bool]] = []
-    stack: list[tuple[str, int]] = []
-    links, heading, zone, seen_main = 0, False, 0, False
-    outside: int | None = None  # zone around an open paragraph, which the next block ends
+    stack: list[tuple[str, _Around]] = []
+    opened: dict[str, int] = {}
+    links, around = 0, _Around()
+    paragraph: tuple[bool, float] | None = None  # (hidden, hint) of an open paragraph, which the next block ends
 
     def close():
         nonlocal run
         if run:
             text = " ".join("".join(t for t, _ in run).split())
-            if text:
+            hidden = around.hidden or paragraph is not None and paragraph[0]
+            if text and not hidden:
                 words = len(text.split(" "))
                 linked = len("".join(t if a else " " for t, a in run).split())
-                out.append((text, words, min(words, linked), zone, heading))
+                kind = "p" if paragraph is not None and around.kind == "b" else around.kind
+                out.append(Block(text, words, min(words, linked), kind, around.main, around.beside, around.named, paragraph[1] if paragraph else 0.0))
             run = []
 
     at, n = 0, len(page)
@@ -186,61 +168,198 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
         closing, tag, attributes = bool(m[1]), m[2].lower(), m[3]
         if tag in BLOCK:
             close()
-            if outside is not None and tag != "br":
-                zone, outside = outside, None
+            if tag != "br":
+                paragraph = None
         if tag == "p" and not closing:
-            outside, zone = zone, _zone(tag, attributes, zone, seen_main)
+            paragraph = (bool(_HIDDEN.search(attributes)), name_hint(_attributes(attributes)[0]))
         if tag == "a":
             links = max(0, links - 1) if closing else 1
-        if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-            heading = not closing
         if tag in RAW and not closing:
             end = re.compile(f"</{tag}", re.I).search(page, at)
             at = n if not end else end.start()
             continue
         if tag in CONTAINER and not (not closing and attributes.rstrip().endswith("/") and tag in ("svg", "iframe")):
             if not closing:
-                inner = _zone(tag, attributes, zone, seen_main)
-                if inner != zone:
+                inner = _inside(around, tag, attributes)
+                if inner != around:
+                    close()
+                stack.append((tag, around))
+                opened[tag] = opened.get(tag, 0) + 1
+                around = inner
+            elif opened.get(tag):
+                while True:
+                    name, outer = stack.pop()
+                    opened[name] -= 1
+                    if name == tag:
+                        break
+                if outer != around:
                     close()
-                stack.append((tag, zone))
-                seen_main |= tag in MAIN_TAGS
-                zone = inner
-            else:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-                if k >= 0:
-                    if zone != stack[k][1]:
-                        close()
-                    zone = stack[k][1]
-                    del stack[k:]
-                    links = 0 if tag != "span" else links
+                around = outer
+                links = 0 if tag != "span" else links
     close()
     return out
 
 
+# The tree -----------------------------------------------------------------------------------
+
+FEATURES = (
+    "words", "links", "density", "paragraph", "heading", "item", "main", "beside", "named", "own", "clear",
+    "words_before", "links_before", "words_after", "links_after", "heading_after",
+)
+
+
+def features(found: list[Block]) -> np.ndarray:
+    """One row of FEATURES for each block; a missing neighbour has no words.
+
+    links is the share of words in links, density the words a line of 80 characters,
+    clear whether the page has prose outside of what names and tags set beside.
+    """
+    n = len(found)
+    x = np.zeros((n, len(FEATURES)))
+    words, links = np.array([b.words for b in found], float), np.array([b.linked / b.words for b in found])
+    heading = np.array([b.kind == "h" for b in found], float)
+    clear = any(not b.beside and b.named < 0.5 and 2 * b.linked < b.words and (b.kind == "p" or b.main or b.words >= 25) for b in found)
+    x[:, 0], x[:, 1] = words, links
+    x[:, 2] = [b.words / -(-len(b.text) // 80) for b in found]
+    x[:, 3:6] = [[b.kind == "p", b.kind == "h", b.kind == "i"] for b in found] if n else np.zeros((0, 3))
+    x[:, 6:10] = [[b.main, b.beside, b.named, b.own] for b in found] if n else np.zeros((0, 4))
+    x[:, 10] = clear
+    x[1:, 11], x[1:, 12] = words[:-1], links[:-1]
+    x[:-1, 13], x[:-1, 14], x[:-1, 15] = words[1:], links[1:], heading[1:]
+    return x
+
+
+#: The labelled table. A paragraph of lines is a page, a line a run of blocks:
+#: label (1 main text), kind, marks (m in article or main, s in nav, footer, aside, form, n in a container
+#: whose name hints at something else, o itself so named, - none), words, share of words in links, number of blocks.
+LABELLED = """
+0 i s  1-3 1 4-9 | 0 b n 3-25 0 0-1 | 1 h m 1-14 0 1 | 1 p m 1-250 0-.4 1-12 | 0 b s 3-40 0-.3 1
+0 i s  1-3 1 4-9 | 0 b - 3-25 0 0-1 | 1 h m 1-14 0 1 | 1 p m 1-250 0-.3 1-12 | 0 b - 3-40 0-.3 1
+0 i -  1-3 1 4-9 | 0 b - 3-25 0 0-1 | 1 h - 1-14 0 1 | 1 p - 1-250 0-.3 1-12 | 0 b - 3-40 0-.3 1
+0 b -  1-8 .8-1 1-3 | 0 b - 3-25 0 0-1 | 1 h - 2-14 0 1 | 1 p - 4-250 0-.3 1-9 | 1 h - 1-8 0 1 | 1 p - 1-250 0 1-6 | 0 i - 1-6 1 3-8 | 0 b - 2-30 0-.8 1-2
+0 b -  1-4 1 3-6 | 1 b - 30-250 0-.2 2-8 | 0 b - 2-14 0-.6 1
+0 b -  1-4 1 0-6 | 1 h - 2-12 0 1 | 1 b - 15-250 0-.2 1-9 | 0 b - 2-14 0-.6 0-1
+1 b -  4-400 0 1
+1 b -  10-400 0-.1 2-6
+1 p -  1-300 0-.2 1-6
+1 h m  1-12 0 1 | 1 p m 1-250 0-.2 2-8 | 0 h mn 1-3 0 0-1 | 0 p mn 2-80 0-.2 1-6
+1 h -  1-12 0 1 | 1 p - 8-250 0-.2 2-8 | 0 h n 1-3 0 0-1 | 0 b n 1-4 0-1 0-2 | 0 p n 2-80 0-.2 1-6
+0 h s  1-6 0 1 | 0 p s 2-60 0-.5 1-4 | 1 h m 1-12 0 1 | 1 p m 1-250 0-.2 2-8 | 0 h s 1-6 0 1 | 0 p s 3-60 0-1 1-3
+0 b s  1-12 0-1 1-2 | 1 h - 1-12 0 1 | 1 p - 1-250 0-.2 1-8 | 0 b s 1-6 0 1-5 | 0 p s 3-60 0-.4 0-2
+0 b n  1-12 0-1 1-2 | 0 i n 1-6 0-1 2-8 | 1 h - 1-12 0 1 | 1 p - 1-250 0-.2 1-8 | 0 p n 3-60 0-.4 1-3
+1 h m  1-12 0 1 | 1 p m 1-250 0-.3 1-4 | 1 i m 1-50 0-.4 2-8 | 1 p m 1-250 0 0-4
+1 h -  1-12 0 1 | 1 p - 5-250 0-.2 1-4 | 1 i - 3-50 0-.3 2-8 | 1 p - 5-250 0 0-4
+1 p m  10-200 0-.2 1-4 | 0 i m 1-8 .9-1 2-8 | 1 p m 10-200 0 0-3
+1 p m  1-200 0-.2 1-4 | 0 p mo 2-30 0-.5 1 | 1 p m 1-200 0 1-4
+1 p m  20-200 0-.2 1-4 | 1 p mo 45-250 0-.1 1 | 1 p m 20-200 0 1-4
+1 p -  20-200 0-.2 1-4 | 0 p o 2-30 0-.5 1 | 1 p - 20-200 0 1-4
+1 p m  1-200 0-.2 1-4 | 0 b mn 1-30 0-.8 1 | 1 p m 1-200 0 1-4
+1 p -  10-200 0-.2 1-4 | 0 b n 1-30 0-.8 1 | 1 p - 10-200 0 1-4
+1 p m  1-200 0-.2 1-4 | 0 b ms 1-30 0-.8 1-3 | 0 p ms 2-60 0-.5 0-2 | 1 p m 1-200 0 0-4
+0 i -  1-4 1 2-6 | 1 h n 1-12 0 1 | 1 p n 5-250 0-.2 2-9
+0 i s  1-4 1 2-6 | 1 p n 12-250 0-.2 3-9 | 0 b s 2-20 0-.5 1
+1 h m  1-12 0 1 | 1 b m 1-8 0 4-20 | 1 p m 5-200 0 0-3
+0 b -  1-4 1 0-4 | 1 b m 2-250 0-.2 1-8 | 0 b s 2-20 0-.5 1
+1 h m  1-9 0 1 | 1 p m 1-120 0-.3 1-3 | 1 h m 1-9 0 1 | 1 p m 1-120 0-.3 1-3 | 1 h m 1-9 0 1
+0 h -  2-12 1 1-5 | 0 p - 1-4 .9-1 2-5 | 1 h - 1-12 0 1 | 1 p - 6-250 0-.2 1-6
+"""
+
+
+def labelled_pages(draws: int = 60, seed: int = 1) -> list[tuple[list[Block], list[int]]]:
+    """Pages drawn from LABELLED: blocks with counts from the ranges (logarithmic for words), and their labels."""
+    rng = np.random.default_rng(seed)
+
+    def draw(span: str, log: bool = False) -> float:
+        low, _, high = span.partition("-")
+        a, b = float(low), float(high or low)
+        return float(np.exp(rng.uniform(np.log(a), np.log(b + 0.999)))) if log else float(rng.uniform(a, b))
+
+    out = []
+    for line in LABELLED.strip().split("\n"):
+        for _ in range(draws):
+            page, y = [], []
+            for run in line.split("|"):
+                label, kind, marks, words, share, times = run.split()
+                low, _, high = times.partition("-")
+                for _ in range(int(rng.integers(int(low), int(high or low) + 1))):
+                    n = int(draw(words, log=True))
+                    text = "x" * max(1, round(n * rng.uniform(4.5, 7)))
+                    hint = float(rng.choice([0.5, 1.0]))
+                    page.append(Block(text, n, round(n * draw(share)), kind, "m" in marks, "s" in marks, hint * ("n" in marks), hint * ("o" in marks)))
+                    y.append(int(label))
+            out.append((page, y))
+    return out
+
+
+def labelled_sample(draws: int = 60, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    pages = [p for p in labelled_pages(draws, seed) if p[0]]
+    return np.concatenate([features(b) for b, _ in pages]), np.concatenate([y for _, y in pages]).astype(int)
+
+
+class DecisionTree:
+    """Binary tree of threshold tests, grown greedily on Gini impurity; ties take the first feature."""
+
+    def __init__(self, depth: int = 12, least: int = 8):
+        self.depth, self.least = depth, least
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> DecisionTree:
+        self.root = self._grow(x, y.astype(float), self.depth)
+        return self
+
+    def _grow(self, x, y, depth):
+        n, share = len(y), y.mean()
+        if depth == 0 or share in (0, 1) or n < 2 * self.least:
+            return bool(share >= 0.5)
+        best = None
+        low = np.arange(1, n)
+        for f in range(x.shape[1]):
+            order = np.argsort(x[:, f], kind="stable")
+            v, hits = x[order, f], np.cumsum(y[order])[:-1]
+            p, q = hits / low, (hits[-1] + y[order[-1]] - hits) / (n - low)
+            g = low * p * (1 - p) + (n - low) * q * (1 - q)
+            g[(v[1:] == v[:-1]) | (low < self.least) | (n - low < self.least)] = np.inf
+            k = int(np.argmin(g))
+            if g[k] < np.inf and (best is None or g[k] < best[0] - 1e-9):
+                best = (float(g[k]), f, float((v[k] + v[k + 1]) / 2))
+        if best is None or best[0] > n * share * (1 - share) - 1e-9:
+            return bool(share >= 0.5)
+        _, f, cut = best
+        left = x[:, f] < cut
+        return f, cut, self._grow(x[left], y[left], depth - 1), self._grow(x[~left], y[~left], depth - 1)
+
+    def predict_one(self, row) -> bool:
+        node = self.root
+        while isinstance(node, tuple):
+            node = node[2] if row[node[0]] < node[1] else node[3]
+        return bool(node)
+
+
+@functools.lru_cache(1)
+def default_tree() -> DecisionTree:
+    return DecisionTree().fit(*labelled_sample())
+
+
 def main_text(page: str | None, tree: DecisionTree | None = None) -> str:
     """Main text of a page: its blocks that the tree takes, in order, joined by one space."""
     tree = tree or default_tree()
     found = blocks(page or "")
-    has_main = float(any(b[3] == 1 for b in found))
-    shape = [(0.0, 0.0), *((float(w), a / w) for _, w, a, _, _ in found), (0.0, 0.0)]
-    return " ".join(
-        b[0] for k, b in enumerate(found)
-        if tree.predict_one((*shape[k + 1], *shape[k], *shape[k + 2], b[3], has_main, b[4]))
-    )
+    return " ".join(b.text for b, row in zip(found, features(found).tolist(), strict=True) if tree.predict_one(row))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` without ``html_col``, with text and n_chars (code points).
 
-    A null or empty page has the text ''. Pages without a main element are judged
-    by words and link density of a block and its neighbours. Tags and references
-    that the page's end cuts off are dropped or kept as they stand. Nulls in other
-    columns and repeated rows pass; former columns text and n_chars are replaced.
+    The tree is grown once, on the driver, from the labelled table. What it knows
+    of a block are its words, link and text density, those of its neighbours, its
+    kind of element, whether it stands in an element made for the article or for
+    something else, and a hint from names. A null or empty page has the text ''.
+    Tags and references that the page's end cuts off are dropped or kept as they
+    stand. Nulls in other columns and repeated rows pass; former columns text and
+    n_chars are replaced.
     """
+    tree = default_tree()
 
     def run(batches):
-        tree = default_tree()
         for b in batches:
             texts = [main_text(t.as_py(), tree) for t in b.column(b.schema.get_field_index(html_col))]
             b = b.drop_columns([html_col])
