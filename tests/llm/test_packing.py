@@ -59,6 +59,18 @@ def test_ids_are_those_of_the_vocabulary(text):
     assert packing.encoder(packing.vocabulary())(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" ", " " * 100_000, " " * 2_000_000, "\t" * 2_000_000 + "x", "a" + "\n" * 2_000_000 + " b", " \t\r\n" * 300_000, "ab " * 300_000 + "\u00a0" * 1_000_000])
+def test_long_white_space(text):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.encoder(packing.vocabulary())(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_text_of_white_space_is_packed(spark):
+    texts = {1: " " * 1_000_000, 2: "a b", 3: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check(packing.harmonic_pack(docs).collect(), texts)
+
+
 def test_whole_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(7)
     rows = packing.harmonic_pack(docs).collect()
