@@ -96,26 +96,43 @@ def log_ratios(random: list[str] | None = None, ordinary: list[str] | None = Non
 
 
 SPANS = "array<struct<s:int,e:int,v:string>>"
+#: Characters of a candidate, and the mark that takes their place in a base match.
+TOKEN = "A-Za-z0-9+/_="
+#: Code points that are cut, and that are scored, at a time.
+CHUNK, SCORED = 4096, 1 << 16
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL that works ``value`` out once; a column named inside a lambda may be worked out at every call."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _running(values: str, op: str) -> str:
+    """SQL for running sums or maxima of an int array: each round adds what stands 2^k places before, so no array grows by appending."""
+    return _let("z", values, f"""aggregate(sequence(0, greatest(0, cast(ceil(log2(greatest(size(z), 1))) AS int) - 1)), z, (acc, k) ->
+        transform(acc, (x, i) -> CASE WHEN i >= shiftleft(1, k) THEN {op.format('x', 'acc[i - shiftleft(1, k)]')} ELSE x END))""")
 
 
 def _located(text: str, pattern: str, gate: str) -> Column:
-    """Leftmost non-overlapping matches as (s, e, v): code points from the gaps that split() leaves."""
-    p = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return F.expr(f"""
-      CASE WHEN {gate} THEN
-        aggregate(
-          zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, m) -> named_struct('g', g, 'm', m)),
-          named_struct('at', 0, 'out', cast(array() AS {SPANS})),
-          (acc, x) -> CASE WHEN x.m IS NULL THEN acc ELSE named_struct(
-            'at', acc.at + length(x.g) + length(x.m),
-            'out', concat(acc.out, array(named_struct('s', acc.at + length(x.g), 'e', acc.at + length(x.g) + length(x.m), 'v', x.m))))
-          END,
-          acc -> acc.out)
-      ELSE cast(array() AS {SPANS}) END""")
+    """Leftmost non-overlapping matches as (s, e, v): code points from running sums over matches and the gaps that split() leaves."""
+    p = _quoted(pattern)
+    lengths = f"zip_with(slice(split({text}, {p}, -1), 1, size(m)), m, (g, v) -> length(g) + length(v))"
+    spans = f"zip_with(m, {_running(lengths, '{} + {}')}, (v, e) -> named_struct('s', e - length(v), 'e', e, 'v', v))"
+    return F.expr(f"CASE WHEN {gate} THEN {_let('m', f'regexp_extract_all({text}, {p}, 0)', spans)} ELSE cast(array() AS {SPANS}) END")
 
 
 def _rlike(text: str, pattern: str) -> str:
-    return f"{text} rlike '" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{text} rlike {_quoted(pattern)}"
+
+
+def _marked(text: str, pattern: str, mark: str) -> str:
+    """SQL for ``text`` with each match v as ``mark`` says, of the same length."""
+    p = _quoted(pattern)
+    return f"array_join(zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, v) -> concat(g, coalesce({mark}, ''))), '')"
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, model: list[float] | None = None) -> DataFrame:
@@ -127,34 +144,44 @@ def find_secrets(docs: DataFrame, text_col: str = "text", threshold: float = 0.5
     random strings than under that of ordinary names. A null text counts as
     empty; empty texts have no spans. Rows and all other columns stay as they
     are, but for a former column named secret_spans, which is replaced.
+
+    The work is linear in the text but for a logarithm of the number of matches:
+    runs are scored in chunks of characters, and a run is known to be clear of base
+    matches because its characters aren't marked in a copy of the text.
     """
     ratios = ",".join(f"{x:.4f}" for x in (model or log_ratios()))
     tmp = free_name(docs, "tmp_")
-    df = docs.drop("secret_spans").withColumn(f"{tmp}t", F.coalesce(F.col(text_col), F.lit("")))
+    t, m = f"{tmp}t", f"{tmp}m"
+    df = docs.drop("secret_spans").withColumn(t, F.coalesce(F.col(text_col), F.lit("")))
     df = (
-        df.withColumn(f"{tmp}a", _located(f"{tmp}t", ASSIGN, _rlike(f"{tmp}t", ASSIGN)))
-        .withColumn(f"{tmp}c", _located(f"{tmp}t", ACCESS, f"contains({tmp}t, 'AKIA')"))
-        .withColumn(f"{tmp}x", _located(f"{tmp}t", HEX, _rlike(f"{tmp}t", HEX)))
-        .withColumn(f"{tmp}m", _located(f"{tmp}t", CANDIDATE, _rlike(f"{tmp}t", CANDIDATE)))
+        df.withColumn(f"{tmp}a", _located(t, ASSIGN, _rlike(t, ASSIGN)))
+        .withColumn(f"{tmp}c", _located(t, ACCESS, f"contains({t}, 'AKIA')"))
+        .withColumn(f"{tmp}x", _located(t, HEX, _rlike(t, HEX)))
+        .withColumn(m, _located(t, CANDIDATE, _rlike(t, CANDIDATE)))
     )
-    group2 = "regexp_extract(x.v, '" + ASSIGN.replace("\\", "\\\\").replace("'", "\\'") + "', 2)"
+
+    def long_value(match: str) -> str:
+        return f"length(regexp_extract({match}, {_quoted(ASSIGN)}, 2)) >= 12"
 
     def kept(col: str, k: int, where: str) -> str:
         return f"transform(filter({col}, x -> {where}), x -> named_struct('s', x.s, 'k', {k}, 'e', x.e, 'kind', '{KINDS[k]}'))"
 
-    base = f"concat({kept(tmp + 'a', 0, f'length({group2}) >= 12')}, {kept(tmp + 'c', 1, 'true')}, {kept(tmp + 'x', 2, 'true')})"
-
-    def symbol(at: str) -> str:
-        c = f"substr(x.v, {at}, 1)"
-        return f"CASE WHEN {c} rlike '[0-9]' THEN {len(LETTERS)} WHEN locate({c}, '{LETTERS}') > 0 THEN locate({c}, '{LETTERS}') - 1 ELSE {len(LETTERS) + 1} END"
-
-    ratio = f"""aggregate(sequence(1, length(x.v) - 1), cast(0 AS double), (sum, i) -> sum +
-        element_at(cast(split('{ratios}', ',') AS array<double>), ({symbol('i')}) * {SIZE} + ({symbol('i + 1')}) + 1))"""
-    clear = f"NOT exists({tmp}d, b -> b.s < x.e AND x.s < b.e)"
-    df = df.withColumn(f"{tmp}d", F.expr(base))
-    extra = kept(f"{tmp}m", 3, f"{clear} AND {ratio} > {threshold} * (length(x.v) - 1)")
-    df = df.withColumn("secret_spans", F.expr(f"array_sort(concat({tmp}d, CASE WHEN size({tmp}m) > 0 THEN {extra} ELSE array() END))"))
-    return df.drop(*(tmp + k for k in "tacxmd"))
+    base = f"concat({kept(tmp + 'a', 0, long_value('x.v'))}, {kept(tmp + 'c', 1, 'true')}, {kept(tmp + 'x', 2, 'true')})"
+    # token characters of base matches are marked; runs stay as long as they were, so the k-th run is the k-th candidate
+    told = f"translate({t}, char(1), char(2))"
+    told = _marked(told, ASSIGN, f"CASE WHEN {long_value('v')} THEN regexp_replace(v, '[{TOKEN}-]', char(1)) ELSE v END")
+    for pattern in (ACCESS, HEX):
+        told = _let("w", told, _marked("w", pattern, "repeat(char(1), length(v))"))
+    runs = f"regexp_extract_all({told}, '[{TOKEN}\\\\x01-]{{20,}}', 0)"
+    symbols = "cast(split('" + ",".join(str(_symbol(chr(c))) for c in range(128)) + "', ',') AS array<int>)"
+    chunk = f"transform(split(substr(x.v, {SCORED} * j + 1, {SCORED} + 1), ''), c -> element_at({symbols}, ascii(c) + 1))"
+    steps = f"zip_with(slice(y, 1, size(y) - 1), slice(y, 2, size(y) - 1), (p, q) -> element_at(cast(split('{ratios}', ',') AS array<double>), p * {SIZE} + q + 1))"
+    total = f"aggregate({steps}, cast(0 AS double), (sum, r) -> sum + r)"
+    ratio = f"aggregate(sequence(0, (length(x.v) - 2) div {SCORED}), cast(0 AS double), (all, j) -> all + {_let('y', chunk, total)})"
+    clear = f"filter(zip_with({m}, {runs}, (x, w) -> CASE WHEN contains(w, char(1)) THEN NULL ELSE x END), x -> x IS NOT NULL)"
+    extra = kept(clear, 3, f"{ratio} > {threshold} * (length(x.v) - 1)")
+    df = df.withColumn("secret_spans", F.expr(f"array_sort(concat({base}, CASE WHEN size({m}) > 0 THEN {extra} ELSE array() END))"))
+    return df.drop(*(tmp + k for k in "tacxm"))
 
 
 def span_text(spans: str) -> str:
@@ -163,13 +190,25 @@ def span_text(spans: str) -> str:
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
-    """``docs`` with every span of secrets replaced by ``mark``; overlapping spans become one. Null texts stay null."""
+    """``docs`` with every span of secrets replaced by ``mark``; overlapping spans become one. Null texts stay null.
+
+    The text is cut in chunks once, and what lies between spans is put together
+    from them, so a span costs a chunk and not the text.
+    """
     t = f"`{text_col}`"
-    merged = f"""aggregate(secret_spans, named_struct('at', 0, 'out', ''), (acc, x) -> CASE
-        WHEN x.e <= acc.at THEN acc
-        WHEN x.s < acc.at THEN named_struct('at', x.e, 'out', acc.out)
-        ELSE named_struct('at', x.e, 'out', concat(acc.out, substr({t}, acc.at + 1, x.s - acc.at), '{mark}')) END,
-        acc -> concat(acc.out, substr({t}, acc.at + 1)))"""
+    # parts are [a, b) in code points; c holds the chunks
+    part = f"""CASE WHEN b <= a THEN '' WHEN a div {CHUNK} = b div {CHUNK} THEN substr(get(c, cast(a div {CHUNK} AS int)), cast(a % {CHUNK} AS int) + 1, b - a)
+        ELSE concat(substr(get(c, cast(a div {CHUNK} AS int)), cast(a % {CHUNK} AS int) + 1), array_join(slice(c, cast(a div {CHUNK} AS int) + 2, cast(b div {CHUNK} - a div {CHUNK} AS int) - 1), ''),
+            substr(coalesce(get(c, cast(b div {CHUNK} AS int)), ''), 1, cast(b % {CHUNK} AS int))) END"""
+
+    def between(a: str, b: str) -> str:
+        return _let("a", a, _let("b", b, part))
+
+    # u: furthest end so far; a span that begins before the ends of those before it adds nothing but its own end
+    pieces = f"transform(secret_spans, (x, i) -> CASE WHEN i > 0 AND x.s < u[i - 1] THEN '' ELSE concat({between('CASE WHEN i = 0 THEN 0 ELSE u[i - 1] END', 'x.s')}, '{mark}') END)"
+    whole = f"array_join(concat({pieces}, array({between('element_at(u, -1)', f'length({t})')})), '')"
+    ends = _running("transform(secret_spans, x -> x.e)", "greatest({}, {})")
+    merged = _let("c", f"regexp_extract_all({t}, '(?s).{{1,{CHUNK}}}', 0)", _let("u", ends, whole))
     found = find_secrets(docs, text_col, **options)
     return found.withColumn(text_col, F.expr(f"CASE WHEN size(secret_spans) > 0 THEN {merged} ELSE {t} END")).drop("secret_spans")
 
