@@ -145,17 +145,61 @@ def test_similar_documents(spark):
     assert sum((fps[a] ^ fps[b]).bit_count() > 2 for b, a in want.items()) >= 15  # out of reach of op4's budget
 
 
-@pytest.mark.parametrize("least", [4, 2048])
-def test_candidates_with_shards(spark, least):
-    fps = sorted(balls(4))
-    rows = [(k, x - (1 << 64) if x >> 63 else x, 100) for k, x in enumerate(fps)]
-    links = simhash.candidate_links(spark.createDataFrame(rows, "vid long, fp long, n long"), 11, 0.8, near=10**6, least=least).collect()
-    want = {(a, b) for b in range(len(fps)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= 11}
-    assert {(r["u"], r["v"]) for r in links} == want
-    few = simhash.candidate_links(spark.createDataFrame(rows, "vid long, fp long, n long"), 11, 0.8, near=1, least=least).collect()
-    near = {frozenset(g) for g in plain_components(fps, 11)}
-    assert {(r["u"], r["v"]) for r in few} <= want
-    groups = {}
-    for r in graph.connected_components(spark.createDataFrame(few, "u long, v long")).collect():
-        groups.setdefault(r["root"], set()).add(fps[r["u"]])
-    assert {frozenset(g) for g in groups.values()} == near
+def brute_components(texts, similarity=0.8):
+    """Smallest index of each text's component, over all pairs that share a shingle."""
+    sets = [plain_shingles(t) for t in texts]
+    holders, up = {}, list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, s in enumerate(sets):
+        for x in s or {()}:
+            holders.setdefault(x, []).append(k)
+    for b, s in enumerate(sets):
+        shared = {}
+        for x in s or {()}:
+            for a in holders[x]:
+                if a < b:
+                    shared[a] = shared.get(a, 0) + 1
+        for a, n in shared.items():
+            if not s or n >= similarity * (len(s) + len(sets[a]) - n) - 1e-9:
+                p, q = find(a), find(b)
+                up[max(p, q)] = min(p, q)
+    return [find(k) for k in range(len(texts))]
+
+
+@pytest.mark.parametrize("most", [3, 2048])
+def test_similar_documents_equal_brute_force(spark, most):
+    """Chains and families of edited copies, many in one band: every component is whole, and no larger."""
+    rng = random.Random(5)
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for family in range(4):
+        words = [f"w{rng.randrange(900)}" for _ in range(120)]
+        for _ in range(25):  # each an edit of an earlier one: chains run below the similarity
+            texts.append(" ".join(words))
+            words = list(words)
+            words[rng.randrange(120)] = f"edit{rng.randrange(10**6)}"
+        base = [f"v{rng.randrange(900)}" for _ in range(100)]
+        for _ in range(20):  # alike in about 0.6 to 0.9
+            copy = list(base)
+            for k in rng.sample(range(100), rng.randrange(2, 6)):
+                copy[k] = f"other{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df, most=most).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_components(texts)
+    assert simhash.similar_documents(df.limit(0)).count() == 0
+
+
+def test_cross_pairs_of_shards():
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 3, (60, 100)).astype(np.uint8)
+    n, comp, own = rng.integers(80, 120, 60), rng.integers(0, 9, 60), rng.random(60) < 0.5
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if comp[a] != comp[b] and min(n[a], n[b]) >= 0.3 * max(n[a], n[b]) and (sig[a] == sig[b]).mean() >= 0.3 - 5 * (0.21 / 100) ** 0.5}
+    for tile in (7, 1024):
+        assert {(a, b) for i, j in simhash.cross_pairs(comp, n, sig, None, 0.3, tile) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == want
+        two = {tuple(sorted(x)) for i, j in simhash.cross_pairs(comp, n, sig, own, 0.3, tile) for x in zip(i.tolist(), j.tolist(), strict=True)}
+        assert two == {(a, b) for a, b in want if own[a] != own[b]}

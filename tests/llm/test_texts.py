@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import extraction, imatch, pieces, quotes
 
@@ -229,6 +230,36 @@ def test_long_conversations(spark):
     assert quotes.link_quotes(df).filter("reply_depth <> turn OR thread_turn <> 0").count() == 0
 
 
+def test_long_quotations_in_linear_time(spark):
+    """Tens of thousands of alternating lines, and a line of very many marks."""
+    lines = [f"> said {k}" if k % 2 else f"own {k}" for k in range(64_000)]
+    rows = [(1, 0, "u", "\n".join(lines)), (2, 0, "u", "> " * 100_000 + "deep\nrest"), (3, 0, "u", ">" * 100_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in quotes.parse_quotes(df).collect()}
+    assert [tuple(q) for q in got[1]["quotes"]] == [(1, f"said {k}") for k in range(1, 64_000, 2)]
+    assert got[1]["clean_text"] == "\n".join(lines[::2])
+    assert (got[2]["quote_depth"], got[2]["clean_text"]) == (100_000, "rest") and [tuple(q) for q in got[2]["quotes"]] == [(100_000, "deep")]
+    assert got[3]["clean_text"] == "" and got[3]["quotes"] == []
+
+
+def test_frequent_keys_are_dealt_out(spark):
+    """A third of the rows has one key: the join gives the same rows, and no partition holds them all."""
+    from textloom.llm.common import materialise, spread_join
+
+    big = materialise(spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 50 = 1 THEN NULL ELSE id END AS k", "id AS v"))
+    small = spark.range(20_000).selectExpr("id AS k", "id * 2 AS w")
+    for how in ("inner", "left", "left_semi"):
+        got, want = spread_join(big, small, ["k"], how), big.join(small, ["k"], how)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # or it would put small partitions together
+    try:
+        dealt = spread_join(big, small.hint("merge"), ["k"]).filter("v % 3 = 0")
+        most = max(dealt.groupBy(F.spark_partition_id().alias("p")).count().collect(), key=lambda r: r["count"])["count"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert most < 5000
+
+
 def test_frequent_passages_make_no_pairs(spark):
     """A passage that all say and all quote links each message to one original."""
     df = spark.range(400).selectExpr("id AS conv_id", "0L AS turn", "'u' AS role", "CASE WHEN id = 0 THEN 'same words' ELSE '> same words\nsame words' END AS text")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,11 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder.
 
-    A temporary one is set only where the session has none, as in tests.
+    A temporary one is set only where the session has none and runs in one process,
+    as in tests; on a cluster executors wouldn't see each other's files, so this raises.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="textloom-"))
     return sc.getCheckpointDir()
 
 
@@ -52,6 +57,54 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def reading(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df``, noted to read ``tables`` (or what they are noted to read) until it is written."""
+    known = getattr(df, "reads", [])
+    df.reads = known + [t for x in tables for t in ([x] if hasattr(x, "written_path") else getattr(x, "reads", []))]
+    return df
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """materialise(), after which the tables that ``df`` is noted to read are deleted."""
+    out = materialise(df)
+    release(df)
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the tables that ``df`` is noted to read, once its rows are no longer needed."""
+    for t in getattr(df, "reads", []):
+        discard(t)
+
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL that works ``value`` out once; a column named inside a lambda may be worked out at every call."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", ways: int = 32, least: int = 2000, share: int = 4096) -> DataFrame:
+    """``big`` joined to ``small`` (one row for each key); rows of a frequent key are dealt over ``ways`` tasks by a hash of the row.
+
+    A key is frequent if over ``least`` rows and over one in ``share`` of ``big``
+    have it. So there are fewer than ``share`` such keys, whatever ``big`` holds; they
+    are counted with partial sums, and only their rows in ``small`` are repeated.
+    ``big`` is read twice more, so it should be a written table.
+    """
+    n = big.count()
+    hot = []
+    if n > least:
+        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(least, n // share))
+        hot = counts.select(*keys).dropna().collect()
+    if not hot:
+        return big.join(small, keys, how)
+    named = F.broadcast(big.sparkSession.createDataFrame(hot, StructType([big.schema[k] for k in keys])).withColumn("tmp_hot", F.lit(True)))
+    salt = F.when(F.col("tmp_hot"), F.pmod(F.xxhash64(*big.columns), F.lit(ways)).cast("int")).otherwise(0)
+    left = big.join(named, keys, "left").withColumn("tmp_salt", salt).drop("tmp_hot")
+    salts = F.when(F.col("tmp_hot"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
+    right = small.join(named, keys, "left").withColumn("tmp_salt", F.explode(salts)).drop("tmp_hot")
+    return left.join(right, [*keys, "tmp_salt"], how).drop("tmp_salt")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` begins with it (whatever the case)."""
     taken = [c.lower() for c in df.columns]

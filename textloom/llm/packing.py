@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm.common import materialise
+from textloom.llm.common import materialise, reading
 
 #: Published split pattern of the byte-level vocabulary (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -167,8 +167,9 @@ def harmonic_pack(docs: DataFrame, capacity: int = 1024, path: str | None = None
         .withColumn("rest", F.when(F.col("rank") >= F.col("full") * F.col("per"), F.col("rank") - F.col("full") * F.col("per")))
         .join(places_df, ["length", "rest"], "left")
     )
-    return ranked.select(
+    out = ranked.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         F.coalesce("bin", F.col("base") + F.expr("rank div per")).alias("sequence_id"),
         F.coalesce("at", F.col("rank") % F.col("per") * F.col("length")).alias("offset"),
     )
+    return reading(out, pieces, shares)

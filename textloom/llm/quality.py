@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import free_name, materialise, sampled_labels, with_fields
+from textloom.llm.common import free_name, materialise, reading, sampled_labels, with_fields
 
 WORD_BUCKETS, SHAPE_BUCKETS = 10_000, 2_000
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
@@ -192,4 +192,5 @@ def importance_resampling(docs: DataFrame, labels: DataFrame, bound: int = 20_00
     ids = [i for i, y in sampled_labels(labels.filter("quality = 1"), "quality", bound)]
     ratios = fit_importance(docs, ids)
     weighted = log_weights(docs, ratios)
-    return resample(materialise(weighted if texts else weighted.drop("text")), keep)
+    weighted = materialise(weighted if texts else weighted.drop("text"))
+    return reading(resample(weighted, keep), weighted)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialise
+from textloom.llm.common import discard, let, materialise, reading, spread_join
 
-#: Marks of a quoted line: any number of '>' with single spaces between.
-MARKS = r"^[ \\t]*(?:>[ ]?)+"
+#: Marks of a quoted line: any number of '>' with single spaces between (possessive, so that it takes no stack).
+MARKS = r"^[ \\t]*+(?:>[ ]?)++"
 
 
 def _norm(x: str) -> str:
@@ -24,25 +24,20 @@ def parse_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
     text without quoted lines and without the lines that introduce a quotation
     ("... wrote:"), trimmed. A null text counts as empty.
     """
-    lines = F.expr(rf"split(coalesce(`{text_col}`, ''), '\\r\\n|\\n|\\r', -1)")
-    df = messages.withColumn("tmp_lines", lines)
+    lines = rf"split(coalesce(`{text_col}`, ''), '\\r\\n|\\n|\\r', -1)"
     level = f"length(regexp_replace(regexp_extract(x, '{MARKS}', 0), '[^>]', ''))"
-    df = df.withColumn("tmp_lines", F.expr(f"transform(tmp_lines, x -> named_struct('n', {level}, 't', regexp_replace(x, '{MARKS}', '')))"))
-    # runs: an aggregate over the lines that extends the last run or opens another
-    runs = """aggregate(tmp_lines, cast(array() AS array<struct<n:int,t:string>>), (acc, x) ->
-        CASE WHEN size(acc) > 0 AND element_at(acc, -1).n = x.n
-             THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('n', x.n, 't', concat(element_at(acc, -1).t, '\\n', x.t))))
-             ELSE concat(acc, array(named_struct('n', x.n, 't', x.t))) END)"""
+    df = messages.withColumn("tmp_lines", F.expr(f"transform({lines}, x -> named_struct('n', {level}, 't', regexp_replace(x, '{MARKS}', '')))"))
     quoted = "exists(tmp_lines, x -> x.n > 0)"
-    df = df.withColumn("tmp_runs", F.expr(f"CASE WHEN {quoted} THEN {runs} ELSE cast(array() AS array<struct<n:int,t:string>>) END"))
-    passages = f"filter(transform(filter(tmp_runs, r -> r.n > 0), r -> named_struct('level', r.n, 'passage', {_norm('r.t')})), q -> q.passage <> '')"
+    # runs are slices between the places where the level changes, so nothing grows by appending
+    starts = "filter(sequence(0, size(l) - 1), i -> i = 0 OR l[i].n <> l[i - 1].n)"
+    cut = f"zip_with(b, concat(slice(b, 2, size(b) - 1), array(size(l))), (i, j) -> named_struct('level', l[i].n, 'passage', CASE WHEN l[i].n > 0 THEN {_norm("array_join(transform(slice(l, i + 1, j - i), x -> x.t), chr(10))")} ELSE '' END))"
+    runs = let("l", "tmp_lines", let("b", starts, f"filter({cut}, q -> q.passage <> '')"))
     # an introducing line is followed by a quoted one
-    plain = """filter(tmp_lines, (x, i) -> x.n = 0 AND NOT (x.t rlike '(wrote|writes|said|schrieb|a écrit|escribió)\\\\s*:\\\\s*$' AND i + 1 < size(tmp_lines) AND tmp_lines[i + 1].n > 0))"""
-    df = df.withColumn("clean_text", F.expr(f"trim(BOTH '\\n\\t ' FROM CASE WHEN {quoted} THEN array_join(transform({plain}, x -> x.t), '\\n') ELSE coalesce(`{text_col}`, '') END)"))
-    return (
-        df.withColumn("quotes", F.expr(passages)).withColumn("quote_depth", F.expr("coalesce(array_max(transform(quotes, q -> q.level)), 0)"))
-        .drop("tmp_lines", "tmp_runs")
-    )
+    plain = """filter(l, (x, i) -> x.n = 0 AND NOT (i + 1 < size(l) AND l[i + 1].n > 0 AND x.t rlike '(wrote|writes|said|schrieb|a écrit|escribió)\\\\s*:\\\\s*$'))"""
+    clean = let("l", "tmp_lines", f"array_join(transform({plain}, x -> x.t), chr(10))")
+    df = df.withColumn("clean_text", F.expr(f"trim(BOTH '\\n\\t ' FROM CASE WHEN {quoted} THEN {clean} ELSE coalesce(`{text_col}`, '') END)"))
+    df = df.withColumn("quotes", F.expr(f"CASE WHEN {quoted} THEN {runs} ELSE cast(array() AS array<struct<level:int,passage:string>>) END"))
+    return df.withColumn("quote_depth", F.expr("coalesce(array_max(transform(quotes, q -> q.level)), 0)")).drop("tmp_lines")
 
 
 def passages_of(parsed: DataFrame) -> DataFrame:
@@ -78,11 +73,13 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     quoting = quoting.select("conv_id", "turn", "pos", F.col("q.level").alias("level"), F.expr("xxhash64(q.passage, 3)").alias("hash")).distinct()
     quoting = materialise(quoting)
     # only passages that somebody quotes are looked up
-    wanted = passages_of(known).join(quoting.select("hash").distinct(), "hash", "left_semi")
+    own = materialise(passages_of(known))
+    wanted = materialise(spread_join(own, quoting.select("hash").distinct(), ["hash"], "left_semi"))
+    discard(own)
     inside = wanted.groupBy("hash", "conv_id").agg(F.min("turn").alias("t"))
     overall = wanted.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("o"))
-    near = quoting.join(inside, ["hash", "conv_id"], "left").withColumn("t", F.when(F.col("t") < F.col("turn"), F.col("t")))
-    linked = near.join(overall, "hash", "left").select(
+    near = spread_join(quoting, overall, ["hash"], "left").join(inside, ["hash", "conv_id"], "left").withColumn("t", F.when(F.col("t") < F.col("turn"), F.col("t")))
+    linked = near.select(
         "conv_id", "turn", "pos", "level",
         F.when(F.col("t").isNotNull(), F.struct(F.col("conv_id"), F.col("t").alias("turn"))).when(F.col("o.conv_id") < F.col("conv_id"), F.col("o")).alias("o"),
     )
@@ -95,26 +92,30 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
         "conv_id", "turn", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.coalesce("o", "b").alias("p")
     )
     tree = materialise(tree.select("conv_id", "turn", "n_linked", F.col("p.conv_id").alias("parent_conv"), F.col("p.turn").alias("parent_turn")))
+    discard(quoting)
+    discard(wanted)
     # pointer doubling: after k rounds a message points 2^k steps up, or at its root
     at = tree.select("conv_id", "turn", F.coalesce("parent_conv", "conv_id").alias("to_conv"), F.coalesce("parent_turn", "turn").alias("to_turn"), F.when(F.col("parent_conv").isNull(), 0).otherwise(1).cast("long").alias("steps"))
     at = materialise(at)
+    written = [at]
     settled, active = at.filter("steps = 0"), at.filter("steps > 0")
     while active.take(1):  # those whose target is a root leave; only deep threads go on
         up = at.select(F.col("conv_id").alias("to_conv"), F.col("turn").alias("to_turn"), F.col("to_conv").alias("up_conv"), F.col("to_turn").alias("up_turn"), F.col("steps").alias("more"))
-        stepped = materialise(active.join(up, ["to_conv", "to_turn"]).select(
+        stepped = materialise(spread_join(active, up, ["to_conv", "to_turn"]).select(
             "conv_id", "turn", F.col("up_conv").alias("to_conv"), F.col("up_turn").alias("to_turn"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("moved")
         ))
+        written.append(stepped)
         settled = settled.union(stepped.filter("NOT moved").drop("moved"))
         active = stepped.filter("moved").drop("moved")
         at = settled.union(active)
     at = settled
     placed = tree.join(at, ["conv_id", "turn"]).withColumnsRenamed({"to_conv": "thread_conv", "to_turn": "thread_turn", "steps": "reply_depth"})
-    out = parsed.join(placed, ["conv_id", "turn"], "left")
-    return out.select(
+    out = parsed.join(placed, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "role", "clean_text", F.col("quote_depth").cast("long").alias("quote_depth"), F.size("quotes").cast("long").alias("n_quotes"),
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent_conv", "parent_turn",
         F.coalesce("thread_conv", "conv_id").alias("thread_conv"), F.coalesce("thread_turn", "turn").alias("thread_turn"), F.coalesce("reply_depth", F.lit(0)).cast("long").alias("reply_depth"),
     )
+    return reading(out, parsed, tree, *written)
 
 
 def _norm_sql(x: str) -> str:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialise
+from textloom.llm.common import discard, materialise, reading, settle, spread_join
 from textloom.llm.graph import connected_components
 
 BITS = 64
@@ -189,10 +189,12 @@ def hamming_links(fps: DataFrame, budget: int = 2, most: int = 1024, step: int =
     prefix = F.expr("shiftrightunsigned(rot, 64 - depth)")
     items = materialise(items)
     done: list[DataFrame] = []
+    written = [items]
     masks = [m for m in range(1 << step) if bin(m).count("1") <= budget]
     while True:
         nodes = items.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(prefix).alias("p"), F.max(prefix).alias("q"))
         large = materialise(nodes.filter((F.col("n") > most) & (F.col("depth") <= BITS - step) & ((F.col("a") == F.col("b")) | (F.col("p") != F.col("q")))).select(*key))
+        written.append(large)
         if not large.take(1):
             done.append(items)
             break
@@ -211,10 +213,11 @@ def hamming_links(fps: DataFrame, budget: int = 2, most: int = 1024, step: int =
             )
         )
         items = materialise(spread)
+        written.append(items)
     every = done[0]
     for d in done[1:]:
         every = every.union(d)
-    return every.repartition(*key).sortWithinPartitions(*key).mapInArrow(_walk(budget), "u long, v long")
+    return reading(every.repartition(*key).sortWithinPartitions(*key).mapInArrow(_walk(budget), "u long, v long"), *written)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, budget: int = 2) -> DataFrame:
@@ -228,11 +231,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = materialise(fingerprints(docs, id_col, text_col, size).toDF("id", "fp"))
     vertices = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(hamming_links(vertices, budget)).toDF("fp", "root")
-    rooted = vertices.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    links = settle(hamming_links(vertices, budget))
+    roots = connected_components(links)
+    discard(links)
+    of_fp = settle(component_minima(vertices, roots, "fp"))
+    return reading(spread_join(fps, of_fp.select("fp", "component_id"), ["fp"]).select(F.col("id").alias(id_col), "fp", "component_id"), fps, of_fp)
+
+
+def component_minima(vertices: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """(key, root, component_id): each vertex (key, least) with the root of its component and the smallest ``least`` in it."""
+    rooted = materialise(vertices.select(key, "least").join(roots.toDF(key, "root"), key, "left").withColumn("root", F.coalesce("root", key)))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return reading(spread_join(rooted, least, ["root"]).select(key, "root", "component_id"), roots, rooted)
 
 
 # Documents that are alike by an exact measure ------------------------------------------------
@@ -254,175 +264,179 @@ def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(total)
 
 
-def _vertices(docs: DataFrame, size: int, words: int) -> DataFrame:
-    """(id, vid, fp, n): hash of the text, fingerprint and number of distinct shingles of each (id, vid, text) row."""
-
-    def run(batches):
-        for b in batches:
-            texts = [t.as_py() for t in b.column(2).cast(pa.large_binary())]
-            fps = np.array([simhash(t, size) for t in texts], np.uint64).astype("<u8").view("<i8")
-            n = np.array([len(shingle_set(t, words)) for t in texts], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), pa.array(n)], names=["id", "vid", "fp", "n"])
-
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, vid long, fp long, n long")
+#: Bands of minima, and minima in a band: texts alike in 0.8 of their shingles share a band with probability 0.9996.
+BANDS, ROWS = 20, 5
+_ODD = (np.random.default_rng(8).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-class _Sets:
-    """Disjoint sets of 0..n-1, joined in bulk."""
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """The least of each of BANDS * ROWS hashes over a set of shingles; all ones for an empty set."""
+    out = np.full(BANDS * ROWS, ~np.uint64(0))
+    for k in range(0, len(shingles), 2048):
+        out = np.minimum(out, (shingles[k : k + 2048, None] * _ODD[0] + _ODD[1]).min(0))
+    return out
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
 
-    def join(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Positions of the pairs that join two sets, when taken in order."""
-        a, b = self.label[i], self.label[j]
-        at = np.flatnonzero(a != b)
-        if not len(at):
-            return at
-        _, once = np.unique(np.stack([a[at], b[at]]), axis=1, return_index=True)
-        at, up, new = at[np.sort(once)], {}, []
+def _vertices(docs: DataFrame, words: int) -> DataFrame:
+    """(id, vid, fp, n, sig, bands) of each (id, vid, text) row: fingerprint and number of the distinct shingles, a byte of each minimum, and the bands' hashes."""
 
-        def find(x):
-            while x in up:
-                up[x] = up.get(up[x], up[x])
-                x = up[x]
-            return x
+    def run(batches):
+        for b in batches:
+            fps, ns, sigs, bands = [], [], [], []
+            for t in b.column(2).cast(pa.large_binary()):
+                s = shingle_set(t.as_py(), words)
+                m = minima(s)
+                bits = np.unpackbits(s.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) if len(s) else np.zeros(BITS, np.int64)
+                fps.append(int(np.packbits(2 * bits > len(s), bitorder="little").view("<i8")[0]))
+                ns.append(len(s))
+                sigs.append((m >> np.uint64(40)).astype(np.uint8).tobytes())
+                bands.append((m.reshape(BANDS, ROWS) * _MIX[:ROWS]).sum(1, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["id", "vid", "fp", "n", "sig", "bands"],
+            )
 
-        for k, x, y in zip(at.tolist(), a[at].tolist(), b[at].tolist(), strict=True):
-            p, q = find(x), find(y)
-            if p != q:
-                up[max(p, q)] = min(p, q)
-                new.append(k)
-        if up:
-            move = np.arange(len(self.label))
-            for x in list(up):
-                move[x] = find(x)
-            self.label = move[self.label]
-        return np.array(new, np.int64)
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, vid long, fp long, n long, sig binary, bands array<long>")
 
 
-def close_pairs(rot: np.ndarray, n: np.ndarray, own: np.ndarray | None, budget: int, similarity: float, near: int, tile: int = 128):
-    """Index pairs within ``budget`` bits whose set sizes ``n`` allow the similarity; ``own`` marks one side, if there are two.
+def cross_pairs(comp: np.ndarray, n: np.ndarray, sig: np.ndarray, own: np.ndarray | None, similarity: float, tile: int = 1024):
+    """Index pairs of different components whose set sizes allow the similarity and whose signatures don't rule it out.
 
-    Of an index with more than ``near`` partners the nearest ones are returned,
-    and of the rest those that connect what isn't connected.
+    ``own`` marks one side, if there are two. Signatures are ruled out at five
+    standard deviations below ``similarity``.
     """
-    order = np.argsort(n, kind="stable")
-    sides = [order, order] if own is None else [order[own[order]], order[~own[order]]]
-    left, right = sides
-    sizes = n[right]
-    sets = _Sets(len(rot))
+    width = sig.shape[1]
+    enough = similarity - 5 * (similarity * (1 - similarity) / width) ** 0.5
+    left, right = (np.arange(len(n)),) * 2 if own is None else (np.flatnonzero(own), np.flatnonzero(~own))
     for k in range(0, len(left), tile):
-        rows = left[k : k + tile]
-        first = k if own is None else int(np.searchsorted(sizes, n[rows[0]] * similarity - 1e-6))
-        last = int(np.searchsorted(sizes, n[rows[-1]] / similarity + 1e-6, "right"))
-        for c in range(first, last, 1 << 16):
-            cols = right[c : min(last, c + (1 << 16))]
-            d = np.bitwise_count(rot[rows][:, None] ^ rot[cols][None, :])
-            i, j = np.nonzero(d <= budget)
-            d, x, y = d[i, j], rows[i], cols[j]
-            keep = np.minimum(n[x], n[y]) >= np.maximum(n[x], n[y]) * similarity - 1e-6
-            if own is None:
-                keep &= (c + j) > (k + i)
-            i, x, y, d = i[keep], x[keep], y[keep], d[keep]
-            by = np.lexsort((d, i))
-            i, x, y = i[by], x[by], y[by]
-            nearest = np.arange(len(i)) - np.searchsorted(i, i) < near
-            sets.join(x[nearest], y[nearest])
-            rest = np.flatnonzero(~nearest)
-            taken = rest[sets.join(x[rest], y[rest])]
-            yield np.concatenate([x[nearest], x[taken]]), np.concatenate([y[nearest], y[taken]])
-
-
-def _pair_nodes(budget: int, similarity: float, near: int):
-    """Batches of (r, a, p, q, h, rot, vid, n), sorted by the first four, to links (u, v) of vids."""
+        x = left[k : k + tile]
+        for c in range(0 if own is not None else k, len(right), tile):
+            y = right[c : c + tile]
+            may = (comp[x][:, None] != comp[y][None, :]) & (np.minimum(n[x][:, None], n[y][None, :]) >= similarity * np.maximum(n[x][:, None], n[y][None, :]) - 1e-6)
+            if own is None and c == k:
+                may &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
+            i, j = np.nonzero(may)
+            for z in range(0, len(i), 1 << 16):
+                p, q = x[i[z : z + (1 << 16)]], y[j[z : z + (1 << 16)]]
+                good = (sig[p] == sig[q]).mean(1) >= enough
+                yield p[good], q[good]
+
+
+def _pair_groups(similarity: float):
+    """Batches of (r, a, p, q, h, vid, n, comp, sig), sorted by the first four, to links (u, v) of vids."""
 
     def runs(batches):
-        kept: list[np.ndarray] = []
+        kept: list[pa.RecordBatch] = []
+
+        def joined():
+            return pa.Table.from_batches(kept)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(8)])
-            cut = np.flatnonzero((x[:4, 1:] != x[:4, :-1]).any(0)) + 1
-            parts = np.split(x, cut, axis=1)
-            if kept and (kept[0][:4, 0] != x[:4, 0]).any():
-                yield np.concatenate(kept, axis=1)
+            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)])
+            edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            if kept and any(kept[0].column(k)[0].as_py() != key[k, 0] for k in range(4)):
+                yield joined()
                 kept = []
-            for part in parts[:-1]:
-                yield np.concatenate([*kept, part], axis=1)
-                kept = []
-            kept.append(parts[-1])
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if lo:
+                    yield joined()
+                    kept = []
+                kept.append(batch.slice(lo, hi - lo))
         if kept:
-            yield np.concatenate(kept, axis=1)
+            yield joined()
 
     def run(batches):
         for g in runs(batches):
-            p, q = int(g[2, 0]), int(g[3, 0])
-            own = None if p == q else g[4] == p
-            for i, j in close_pairs(g[5].view(np.uint64), g[7], own, budget, similarity, near):
+            col = lambda name, g=g: g.column(name).to_numpy()
+            own = None if g.column("p")[0].as_py() == g.column("q")[0].as_py() else col("h") == col("p")
+            sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint8).reshape(g.num_rows, -1)
+            vid = col("vid")
+            for i, j in cross_pairs(col("comp"), col("n"), sig, own, similarity):
                 if len(i):
-                    u, v = g[6][i], g[6][j]
+                    u, v = vid[i], vid[j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
     return run
 
 
-def candidate_links(vertices: DataFrame, budget: int, similarity: float, near: int = 8, least: int = 2048) -> DataFrame:
-    """Links (u, v) of ``vertices`` (vid, fp, n) within ``budget`` bits whose set sizes allow the similarity.
+def alike(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links (u, v) whose texts (vid, text) have shingle sets of at least the Jaccard similarity, counted exactly."""
+    linked = links.select(F.col("u").alias("vid")).union(links.select("v")).distinct()
 
-    Two values within the budget agree on one of budget + 1 blocks of bits. The
-    blocks of a wide budget are narrow, so all values of a block are compared at
-    once instead of walking a trie. A block with over twice the mean of values
-    (``least`` at least) is dealt into shards, whose pairs are separate groups.
-    """
-    rows = []
-    for r, (start, width) in enumerate(_blocks(budget)):
-        rot = F.col("fp") if not start else F.shiftleft("fp", start).bitwiseOR(F.shiftrightunsigned("fp", BITS - start))
-        rows.append(F.struct(F.lit(r).alias("r"), F.shiftrightunsigned(rot, BITS - width).alias("a"), rot.alias("rot")))
-    items = vertices.select("vid", "n", F.explode(F.array(*rows)).alias("x")).select("x.*", "vid", "n")
-    counts = items.groupBy("r", "a").agg(F.count(F.lit(1)).alias("m"))
-    counts = materialise(counts)  # a few hundred nodes, as there are few values of a narrow block
-    most = max(least, 2 * (counts.agg(F.avg("m")).first()[0] or 0))
-    shards = counts.select("r", "a", F.ceil(F.col("m") / F.lit(float(most))).cast("int").alias("s"))
-    dealt = items.join(F.broadcast(shards), ["r", "a"]).withColumn("h", F.pmod(F.xxhash64("vid"), F.col("s")).cast("int"))
-    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    key = ["r", "a", "p", "q"]
-    groups = dealt.select("r", "a", F.least("h", "k").alias("p"), F.greatest("h", "k").alias("q"), "h", "rot", "vid", "n")
-    return groups.repartition(*key).sortWithinPartitions(*key).mapInArrow(_pair_nodes(budget, similarity, near), "u long, v long")
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t.as_py(), words).astype("<u8").view("<i8") for t in b.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["vid", "s"])
+
+    wanted = texts.join(linked, "vid", "left_semi").groupBy("vid").agg(F.first("text").alias("text"))
+    sets = materialise(wanted.mapInArrow(run, "vid long, s array<long>"))
+    half = materialise(spread_join(links, sets.toDF("u", "su"), ["u"]))
+    both = spread_join(half, sets.toDF("v", "sv"), ["v"])
+    both = both.select("u", "v", F.size(F.array_intersect("su", "sv")).alias("m"), (F.size("su") + F.size("sv")).alias("t"))
+    return reading(both.filter(F.col("m") >= F.lit(similarity) * (F.col("t") - F.col("m")) - 1e-9).select("u", "v"), sets, half)
 
 
 def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, size: int = 3, budget: int = 11
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, budget: int = 2, most: int = 2048
 ) -> DataFrame:
     """(id, vid, component, component_id): each document with its component of texts that are alike, and the smallest id in it.
 
-    Texts are alike if the sets of their shingles of ``words`` words have a
-    Jaccard similarity of at least ``similarity``; that is counted exactly, for
-    the pairs whose fingerprints (shingles of ``size`` words) differ in at most
-    ``budget`` bits. A short shingle changes fewer hashes an edit, so fingerprints
-    of 3 words find more of the pairs alike by 5 words than those of 5 words do.
+    Texts are alike if the sets of their shingles of ``words`` words have a Jaccard
+    similarity of at least ``similarity``, which is counted exactly for candidates.
+    Candidates come from the trie join of SimHash fingerprints, at ``budget`` or
+    fewer differing bits, and, as texts alike in 0.8 differ in about ten of 64 bits,
+    also from bands of minima of the shingles' hashes (BANDS, ROWS). In a first round
+    a text is held against the smallest text it shares a band with; then every
+    pair of a band that is still in two components is tried, unless sizes or
+    signatures rule it out. So groups of copies make one link a text, and no pair
+    of a shared band is left out. A band with over ``most`` texts is dealt into
+    shards, whose pairs are separate groups.
+
     vid is a hash of the text, component the smallest vid of a component (ids may be
     repeated, so that two components can have one smallest id); equal texts are one vertex, a null text is empty,
-    two texts without words are alike, and a null id counts for no minimum.
+    two texts without words are alike, and a null id counts for no minimum. An empty table gives an empty result.
     """
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("vid"), F.col(text_col).alias("text"))
-    prints = materialise(_vertices(named, size, words))
-    vertices = materialise(prints.groupBy("vid").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("id").alias("least")))
-    links = materialise(candidate_links(vertices, budget, similarity).distinct())
-    linked = links.select(F.col("u").alias("vid")).union(links.select("v")).distinct()
-
-    def run(batches):
-        for b in batches:
-            sets = [shingle_set(t.as_py(), words).astype("<u8").view("<i8") for t in b.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["vid", "s"])
-
-    texts = named.select("vid", "text").join(linked, "vid", "left_semi").groupBy("vid").agg(F.first("text").alias("text"))
-    sets = materialise(texts.mapInArrow(run, "vid long, s array<long>"))
-    both = links.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
-    both = both.select("u", "v", F.size(F.array_intersect("su", "sv")).alias("m"), (F.size("su") + F.size("sv")).alias("t"))
-    alike = both.filter(F.col("m") >= F.lit(similarity) * (F.col("t") - F.col("m")) - 1e-9)
-    roots = connected_components(alike.select("u", "v")).toDF("vid", "root")
-    rooted = vertices.select("vid", "least").join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_vid = rooted.join(least, "root").select("vid", F.col("root").alias("component"), "component_id")
-    return prints.join(of_vid, "vid").select(F.col("id").alias(id_col), "vid", "component", "component_id")
+    texts = named.select("vid", "text")
+    prints = materialise(_vertices(named, words))
+    vertices = materialise(prints.groupBy("vid").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.min("id").alias("least")))
+    # texts of one fingerprint meet at the smallest of them, and fingerprints by their smallest texts
+    of_fp = vertices.groupBy("fp").agg(F.min("vid").alias("v"))
+    close = settle(hamming_links(of_fp, budget))
+    first_of = of_fp.toDF("fp", "w")
+    by_trie = close.toDF("fp", "far").join(first_of, "fp").select(F.col("far").alias("fp"), F.col("w").alias("a")).join(first_of, "fp").select("a", F.col("w").alias("b"))
+    by_copy = spread_join(vertices.select("vid", "fp"), of_fp, ["fp"]).select(F.col("v").alias("a"), F.col("vid").alias("b"))
+    items = materialise(vertices.select("vid", F.posexplode("bands").alias("r", "a")))
+    groups = items.groupBy("r", "a").agg(F.min("vid").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    members = materialise(spread_join(items, groups, ["r", "a"]))
+    discard(items)
+    by_band = members.groupBy("vid").agg(F.min("least").alias("a")).select("a", F.col("vid").alias("b"))
+    links = by_trie.union(by_copy).union(by_band).filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    links = materialise(links)
+    discard(close)
+    found = settle(alike(links, texts, words, similarity))
+    roots = settle(connected_components(found))
+    # pairs of a band that are still in two components
+    placed = materialise(members.join(roots.toDF("vid", "root"), "vid", "left").withColumn("comp", F.coalesce("root", "vid")).select("vid", "r", "a", "m", "comp"))
+    discard(members)
+    split = placed.groupBy("r", "a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("r", "a")
+    open_ = spread_join(placed, split, ["r", "a"]).join(vertices.select("vid", "n", "sig"), "vid")
+    shards = F.ceil(F.col("m") / F.lit(float(most))).cast("int")
+    dealt = open_.withColumn("h", F.pmod(F.xxhash64("vid"), shards).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), shards - 1)))
+    key = ["r", "a", "p", "q"]
+    pairs = dealt.select("r", "a", F.least("h", "k").alias("p"), F.greatest("h", "k").alias("q"), "h", "vid", "n", "comp", "sig")
+    more = materialise(pairs.repartition(*key).sortWithinPartitions(*key).mapInArrow(_pair_groups(similarity), "u long, v long").distinct())
+    discard(placed)
+    more = settle(reading(more.join(links, ["u", "v"], "left_anti"), more, links))
+    if more.take(1):
+        also = settle(alike(more, texts, words, similarity))
+        discard(roots)
+        roots = connected_components(found.union(also))
+        discard(also)
+    of_vid = settle(component_minima(vertices, roots, "vid"))
+    for t in (vertices, more, found):
+        discard(t)
+    out = spread_join(prints.select("id", "vid"), of_vid, ["vid"]).select(F.col("id").alias(id_col), "vid", F.col("root").alias("component"), "component_id")
+    return reading(out, prints, of_vid)
