@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import packing, quality, secrets, simhash, toxicity
-from textloom.llm.common import discard, free_name, materialise, table
+from textloom.llm.common import discard, free_name, materialise, reading, settle, spread_join, table
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -25,33 +25,58 @@ def _restored(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that importance resampling draws."""
+    """Keep the documents that importance resampling draws.
+
+    Rows alike in id and text are kept or dropped together; a null or empty text has
+    weight 1 and is drawn like any other; without labels all rows stay; an empty
+    table stays empty. Columns pass as they are, whatever their names.
+    """
     drawn = quality.importance_resampling(_carried(docs), table(spark, sf_dir, "labels"))
-    return _restored(drawn.filter("kept"), docs)
+    return reading(_restored(drawn.filter("kept"), docs), drawn)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the factorization machine scores below 0.5."""
+    """Keep the documents that the factorization machine scores below 0.5.
+
+    A null or empty text has the score of a text without terms; repeated rows have
+    one score; without labels all rows stay; an empty table stays empty. Columns
+    pass as they are, whatever their names.
+    """
     return _restored(toxicity.toxicity(_carried(docs), table(spark, sf_dir, "labels")).filter("predicted = 0"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each component of texts alike in 0.8 of their 5-word shingles; rows without id stay.
 
-    It is the one with the smallest (doc_id, hash of the text), as an id may stand
-    for texts of two components; of such rows, the one with the smallest hash of all columns.
+    It is the row with the smallest (doc_id, hash of the text, hash of all columns):
+    an id may stand for texts of two components, and each keeps a row. Of rows that
+    are alike in all columns one stays. Texts that are null, empty or without words
+    are one component; an empty table stays empty. Only ids and hashes are looked
+    at; texts meet the list of dropped rows, the smaller part, in one anti join.
     """
-    known, vid = docs.filter("doc_id is not null"), free_name(docs, "vid")
-    found = simhash.similar_documents(known, similarity=0.8, words=5)
-    first = found.groupBy("component").agg(F.min(F.struct("doc_id", F.col("vid").alias(vid))).alias("x")).select("x.*")
-    keyed = known.withColumn(vid, F.xxhash64(F.coalesce("text", F.lit("")))).join(first, ["doc_id", vid], "left_semi")
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    kept = keyed.groupBy("doc_id", vid).agg(F.min_by(row, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("row")).select("row.*")
-    return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    vid, rid = free_name(docs, "vid"), free_name(docs, "rid")
+    keys = ["doc_id", vid, rid]
+    everything = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    known = docs.withColumns({vid: F.xxhash64(F.coalesce("text", F.lit(""))), rid: F.xxhash64(everything)}).filter("doc_id is not null")
+    found = simhash.similar_documents(docs.filter("doc_id is not null"), similarity=0.8, words=5)
+    component = found.select(F.col("vid").alias(vid), "component").distinct()
+    rows = settle(reading(spread_join(materialise(known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))), component, [vid]), found))
+    first = rows.groupBy("component").agg(F.min(F.struct(*keys)).alias("first"))
+    placed = materialise(spread_join(rows, first, ["component"]).select(*keys, "n", F.struct(*keys).eqNullSafe(F.col("first")).alias("stays")))
+    discard(rows)
+    kept = known.join(placed.filter("NOT stays").select(*keys), keys, "left_anti")
+    again = placed.filter("stays AND n > 1").select(*keys)
+    if again.take(1):
+        kept = kept.join(again, keys, "left_anti").unionByName(kept.join(again, keys, "left_semi").dropDuplicates(keys))
+    return reading(kept.select(docs.columns).unionByName(docs.filter("doc_id is null")), placed)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets in the texts; n_chars is counted anew."""
+    """Replace secrets in the texts; n_chars is counted anew.
+
+    All rows stay: null and empty texts as they are, repeated rows alike; n_chars
+    of a null text is left alone. Columns pass as they are, whatever their names.
+    """
     masked = _restored(secrets.redact_secrets(_carried(docs)), docs)
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
@@ -59,7 +84,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the token ids into sequences."""
+    """Pack the token ids into sequences of at most 1024: one row for each piece.
+
+    A null or empty text is one piece, its end id; repeated rows are documents of
+    their own; an empty table gives no rows. Columns besides doc_id and text aren't read.
+    """
     return packing.harmonic_pack(docs)
 
 
@@ -76,8 +105,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of ``documents`` after all stages; each stage's table is deleted once the next one is written."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        before, docs = docs, settle(stage(spark, docs, sf_dir))
         discard(before)  # the next table is whole and depends on nothing
-    return STAGES[-1][1](spark, docs, sf_dir)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    return reading(packed, packed, docs)
