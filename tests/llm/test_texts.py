@@ -5,6 +5,8 @@ import re
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from textloom.llm import extraction, imatch, pieces, quotes
@@ -28,6 +30,80 @@ def test_edited_texts_and_neighbours(spark):
     assert sum(r["near_edited"] > r["near_next"] for r in rows.values()) > 0.9 * len(rows)
 
 
+def plain_band(texts, least=2, rare=1e-4, share=0.05):
+    df = {}
+    for t in texts:
+        for w in plain_terms(t):
+            df[w] = df.get(w, 0) + 1
+    return {w for w, k in df.items() if max(least, rare * len(texts)) <= k <= max(least, share * len(texts))}
+
+
+def plain_terms(text):
+    return {w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w}
+
+
+def plain_print(text, inside):
+    """Terms of the band, sorted, hashed for each subset of each level."""
+    every = plain_terms(text)
+    kept = every & inside
+    place = {w: xxhash.xxh64_intdigest(w, 42) >> 40 for w in (kept if len(kept) >= 8 else every)}
+    out = []
+    for size in imatch.LEVELS:
+        for r in range(imatch.SUBSETS):
+            h, some = 42, False
+            for w in sorted(w for w, g in place.items() if g % size == r):
+                h, some = xxhash.xxh64_intdigest(w, h), True
+            out.append(f"{h & 0xFFFF:04x}" if some else imatch.NONE)
+    return out
+
+
+def plain_likeness(a, b):
+    n = imatch.SUBSETS
+    for k in reversed(range(len(imatch.LEVELS))):
+        pairs = [(x, y) for x, y in zip(a[k * n : k * n + n], b[k * n : k * n + n], strict=True) if (x, y) != (imatch.NONE, imatch.NONE)]
+        if len(pairs) >= (imatch.ENOUGH if k else 1):
+            return sum(x == y for x, y in pairs) / len(pairs)
+    return 1.0
+
+
+def test_fingerprints_equal_brute_force(spark):
+    """All columns, on documents and on short, empty, long and non-Latin texts."""
+    docs = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").select("text").collect()]
+    texts = [*docs, "", "...", "one", "Über straße ÜBER naïve", "日本語 テキスト 日本語", "a b c d e f g h i j k", " ".join(f"w{k}" for k in range(5000)), docs[0], docs[0] + " more"]
+    inside = plain_band(texts)
+    prints = [plain_print(t, inside) for t in texts]
+    rows = {r["doc_id"]: r for r in imatch.edit_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, t in enumerate(texts):
+        nxt, q = texts[(k + 1) % len(texts)], len(t) // 4
+        edited = plain_print(t[: len(t) - q] + nxt[:q], inside)
+        r = rows[k]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == ("".join(prints[k]), "".join(edited)), t[:60]
+        assert r["near_edited"] == pytest.approx(plain_likeness(prints[k], edited), abs=1e-12)
+        assert r["near_next"] == pytest.approx(plain_likeness(prints[k], prints[(k + 1) % len(texts)]), abs=1e-12)
+
+
+def test_the_band_is_one_of_terms(spark):
+    """Terms that share a slot are told apart; the band's ends are exact, and it is bounded by raising its lower end."""
+    def hashed(w):
+        h = xxhash.xxh64_intdigest(w, 42)
+        return h - (1 << 64) if h >> 63 else h
+
+    words = [f"t{k}" for k in range(3000)]
+    some = [hashed(w) for w in words[:8]]
+    slots = len(imatch.cuckoo_table(some))
+    inside = imatch.lexicon(some, "h")
+    df = spark.createDataFrame([(w, hashed(w)) for w in words], "w string, h long")
+    assert {r["w"] for r in df.filter(inside).collect()} == set(words[:8])
+    assert any(hashed(w) % slots == some[0] % slots for w in words[8:])
+    table, many = imatch.cuckoo_table(hashes := list(map(hashed, words))), len(words)
+    assert set(hashes) <= set(table) and 2 * many <= len(table) and all(h in (table[a], table[b]) for h in hashes for a, b in [imatch._slots(h, len(table))])
+    assert not any(h in (table[a], table[b]) for h in [0, 1, (2 << 20) + 1] for a, b in [imatch._slots(h, len(table))])
+    rows = [(f"all {'few' if k < 5 else ''} {'two' if k < 2 else ''} {'half' if k % 2 else ''} only{k}",) for k in range(100)]
+    texts = spark.createDataFrame(rows, "text string")
+    assert imatch.band(texts) == sorted(map(hashed, ("few", "two"))) and imatch.band(texts, share=0.5) == sorted(map(hashed, ("few", "two", "half")))
+    assert imatch.band(texts, rare=0.03) == [hashed("few")] and imatch.band(texts, most=1) == [hashed("few")] and imatch.band(texts.limit(0)) == []
+
+
 @pytest.mark.parametrize("rows", [1, 7, 5000])
 def test_ranges_hand_rows_on(spark, rows):
     """Many ranges, ids with gaps: the next row is found across every border."""

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Slots of the hashed lexicon; its bitmap has SLOTS / 8 bytes, whatever the corpus holds.
-SLOTS = 1 << 21
+from textloom.llm.common import discard, let, materialise
+
 #: A term is in one of SUBSETS subsets of a level with probability SUBSETS / size; sparse levels serve long texts.
+#: Each size is 4 times the one before, so a level's terms are among those of the denser one, in the same subset.
 LEVELS = (32, 128, 512, 2048, 8192)
 SUBSETS = 32
 NONE = "...."
@@ -17,56 +18,90 @@ ENOUGH = 10
 
 
 def terms(text: str) -> str:
-    """SQL for the distinct terms of a text, as (h, t) with a hash: runs of letters and digits in lower case."""
+    """SQL for the distinct terms of a text, as (t, h) with a hash: runs of letters and digits in lower case."""
     words = f"array_distinct(filter(split(lower(coalesce({text}, '')), '[^\\\\p{{L}}\\\\p{{N}}]+'), x -> x <> ''))"
     return f"transform({words}, x -> named_struct('t', x, 'h', xxhash64(x)))"
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", least: int = 2, share: float = 0.05) -> str:
-    """SQL array of longs: the bitmap of slots whose terms lie in the frequency band.
+def band(docs: DataFrame, text_col: str = "text", least: int = 2, rare: float = 1e-4, share: float = 0.05, most: int = 16_384) -> list[int]:
+    """Hashes of the terms within the band of inverse document frequency, sorted.
 
-    A slot's document frequency counts all documents; the band keeps ln(1/share) <=
-    idf <= ln(N/least). Counts are summed before the shuffle, at most one row for
-    each slot and task; SLOTS / 64 longs come to the driver.
+    A term's document frequency is counted exactly, over all documents, by its
+    64-bit hash; counts are summed before the shuffle. The band is ln(1/share) <=
+    idf <= ln(1/rare), without terms of fewer than ``least`` documents. A document
+    has so many distinct terms, so at most their mean over ``rare`` can be in the
+    band, however large the corpus is; if more than ``most`` are, the upper end
+    of idf comes down to the first power of two of documents that leaves no more.
     """
     text = f"`{text_col}`"
-    slots = docs.select(F.explode(F.expr(f"array_distinct(transform({terms(text)}, x -> cast(x.h & {SLOTS - 1} AS int)))")).alias("slot"))
     n = docs.count()
-    counts = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("df"))
-    band = counts.filter((F.col("df") >= least) & (F.col("df") <= max(least, share * n)))
-    words = band.groupBy(F.expr("slot div 64").alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, slot % 64)")).alias("bits")).collect()
-    bits = [0] * (SLOTS // 64)
-    for r in words:
-        bits[r["k"]] = r["bits"]
-    return "cast(split('" + ",".join(map(str, bits)) + "', ',') AS array<bigint>)"
-
-
-def with_fingerprint(df: DataFrame, bitmap: str, text_col: str, out: str, few: int = 8) -> DataFrame:
+    hashes = docs.select(F.explode(F.expr(f"transform({terms(text)}, x -> x.h)")).alias("h"))
+    low = max(least, rare * n)
+    counts = materialise(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter((F.col("df") >= low) & (F.col("df") <= max(least, share * n))))
+    sizes = {r["k"]: r["n"] for r in counts.groupBy(F.floor(F.log2("df")).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    k, total = max(sizes, default=0), 0
+    while k >= 0 and total + sizes.get(k, 0) <= most:
+        total += sizes.get(k, 0)
+        k -= 1
+    found = sorted(r["h"] for r in counts.filter(F.col("df") >= 2 ** (k + 1)).select("h").collect())
+    discard(counts)
+    return found
+
+
+def _slots(h: int, size: int) -> tuple[int, int]:
+    """The two places where a table of ``size`` (a power of two) may hold a hash."""
+    return h & (size - 1), ((h & ((1 << 64) - 1)) >> 20) & (size - 1)
+
+
+def cuckoo_table(hashes: list[int]) -> list[int]:
+    """A table in which each hash is in one of its two slots; an empty slot holds a value that is never looked for there."""
+    size = 1 << (2 * len(hashes) - 1).bit_length()
+    while True:
+        table: dict[int, int] = {}
+        for h in hashes:
+            at = _slots(h, size)[0]
+            for _ in range(200):
+                h, table[at] = table.get(at), h
+                if h is None:
+                    break
+                a, b = _slots(h, size)
+                at = b if at == a else a
+            else:
+                break
+        else:
+            return [table.get(k, 0 if k else (2 << 20) + 1) for k in range(size)]
+        size *= 2
+
+
+def lexicon(hashes: list[int], of: str) -> str:
+    """SQL for whether the hash ``of`` is one of ``hashes``: two look-ups that compare whole hashes."""
+    if not hashes:
+        return "false"
+    table = cuckoo_table(hashes)
+    values = "cast(split('" + ",".join(map(str, table)) + "', ',') AS array<bigint>)"
+    return "(" + " OR ".join(f"element_at({values}, cast({x} & {len(table) - 1} AS int) + 1) = {of}" for x in (of, f"shiftrightunsigned({of}, 20)")) + ")"
+
+
+def with_fingerprint(df: DataFrame, inside: str, text_col: str, out: str, few: int = 8) -> DataFrame:
     """``df`` with ``out``: array of len(LEVELS) * SUBSETS hashes, NONE for a subset the text has no term of.
 
-    The terms in the band are kept, or all terms of a text with fewer than ``few``
-    of those. Equal texts get equal fingerprints.
+    The terms in the band (``inside``: SQL for x.h) are kept, or all terms of a text
+    with fewer than ``few`` of those. They are sorted once, by subset and term,
+    with a mark before each subset; a sparser level is a filter of each subset.
+    Equal texts get equal fingerprints.
     """
-    w, kept = f"tmp_{out}_terms", f"tmp_{out}_kept"
-    inside = f"(shiftright(element_at({bitmap}, cast((x.h & {SLOTS - 1}) div 64 AS int) + 1), cast(x.h & 63 AS int)) & 1) = 1"
-    df = df.withColumn(w, F.expr(terms(f"`{text_col}`")))
-    df = df.withColumn(kept, F.expr(f"filter({w}, x -> {inside})"))
-    # sorted by term; a term's place in the levels comes from other bits of its hash
-    df = df.withColumn(kept, F.expr(f"transform(sort_array(CASE WHEN size({kept}) < {few} THEN {w} ELSE {kept} END), x -> named_struct('t', x.t, 'g', cast(shiftrightunsigned(x.h, 40) AS int)))"))
-    parts, drop, before = [], [w, kept], kept
-    for k, size in enumerate(LEVELS):
-        name = f"tmp_{out}_{k}"
-        if size > SUBSETS:
-            df = df.withColumn(name, F.expr(f"filter({before}, x -> x.g & {size - 1} < {SUBSETS})"))
-            drop.append(name)
-            before = name
-        digest = "lower(right(hex(xxhash64(transform(y, x -> x.t)) | 1152921504606846976), 4))"
-        # eight subsets at a time, so that a term isn't tried for each
-        eights = f"transform(sequence(0, {SUBSETS // 8 - 1}), q -> named_struct('q', 8 * q, 'f', filter(a, x -> shiftright(x.g & {size - 1}, 3) = q)))"
-        # bound as a, for a column named inside a lambda may be worked out at every call
-        subsets = f"element_at(transform(array({before}), a -> flatten(transform({eights}, e -> transform(sequence(0, 7), r -> filter(e.f, x -> x.g & {size - 1} = e.q + r))))), 1)"
-        parts.append(f"transform({subsets}, y -> CASE WHEN size(y) = 0 THEN '{NONE}' ELSE {digest} END)")
-    return df.withColumn(out, F.expr(f"concat({', '.join(parts)})")).drop(*drop)
+    g = "cast(shiftrightunsigned(x.h, 40) AS int)"  # a term's place comes from other bits of its hash
+    marks = f"transform(sequence(0, {SUBSETS - 1}), r -> named_struct('r', r, 't', '', 'g', 0))"
+    kept = let("w", terms(f"`{text_col}`"), let("f", f"filter(w, x -> {inside})", f"CASE WHEN size(f) < {few} THEN w ELSE f END"))
+    ordered = f"sort_array(concat(transform({kept}, x -> named_struct('r', {g} & {SUBSETS - 1}, 't', x.t, 'g', {g})), {marks}))"
+    at = "filter(sequence(1, size(a)), i -> element_at(a, i).t = '')"
+    subsets = let("a", ordered, let("b", at, f"zip_with(b, concat(slice(b, 2, {SUBSETS - 1}), array(size(a) + 1)), (i, j) -> slice(a, i + 1, j - i - 1))"))
+    digest = "right(hex(xxhash64(transform(y, x -> x.t)) | 1152921504606846976), 4)"
+    hashes = f"transform(l, y -> CASE WHEN size(y) = 0 THEN '{NONE}' ELSE {digest} END)"
+    found = hashes
+    for size in reversed(LEVELS[1:]):  # from the inside out: l is the level's subsets
+        found = f"concat({hashes}, {let('l', f'transform(l, y -> filter(y, x -> (x.g & {size - 1}) < {SUBSETS}))', found)})"
+    return df.withColumn(out, F.expr(let("l", subsets, found)))
 
 
 def likeness(a: str, b: str) -> str:
@@ -138,7 +173,7 @@ def with_next(dealt: DataFrame, columns: list[str]) -> DataFrame:
     return out.filter("tmp_later = 0").drop("tmp_range", "tmp_later")
 
 
-def edit_report(docs: DataFrame, least: int = 2, share: float = 0.05) -> DataFrame:
+def edit_report(docs: DataFrame, least: int = 2, rare: float = 1e-4, share: float = 0.05) -> DataFrame:
     """Fingerprints of each text of ``docs`` (doc_id, text) and of its edited text.
 
     The edited text has the last floor(n/4) code points replaced by as many first
@@ -149,14 +184,14 @@ def edit_report(docs: DataFrame, least: int = 2, share: float = 0.05) -> DataFra
     Columns besides doc_id and text aren't read.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bitmap = lexicon(docs, "text", least, share)
-    df = with_next(with_fingerprint(dealt_by_range(docs), bitmap, "text", "fp"), ["text", "fp"])
+    inside = lexicon(band(docs, "text", least, rare, share), "x.h")
+    df = with_next(with_fingerprint(dealt_by_range(docs), inside, "text", "fp"), ["text", "fp"])
     df = df.withColumn("n_chars", F.length("text").cast("long"))
     df = df.withColumn("edited", F.expr("concat(left(text, cast(n_chars - n_chars div 4 AS int)), left(coalesce(next_text, ''), cast(n_chars div 4 AS int)))"))
     df = df.drop("text", "next_text")
-    df = with_fingerprint(df, bitmap, "edited", "edited_fp")
+    df = with_fingerprint(df, inside, "edited", "edited_fp")
     return df.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.concat_ws("", "fp").alias("fingerprint"), F.concat_ws("", "edited_fp").alias("edited_fingerprint"),
+        F.lower(F.concat_ws("", "fp")).alias("fingerprint"), F.lower(F.concat_ws("", "edited_fp")).alias("edited_fingerprint"),
         F.expr(likeness("fp", "edited_fp")).alias("near_edited"), F.expr(likeness("fp", "coalesce(next_fp, fp)")).alias("near_next"),
     )

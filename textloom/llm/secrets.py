@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import free_name
+from textloom.llm.common import free_name, let
 
 # The base patterns. AKIA and hex runs are maximal, so a least
 # length inside the pattern finds the same matches as a filter after it.
@@ -106,14 +106,9 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _let(name: str, value: str, body: str) -> str:
-    """SQL that works ``value`` out once; a column named inside a lambda may be worked out at every call."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
 def _running(values: str, op: str) -> str:
     """SQL for running sums or maxima of an int array: each round adds what stands 2^k places before, so no array grows by appending."""
-    return _let("z", values, f"""aggregate(sequence(0, greatest(0, cast(ceil(log2(greatest(size(z), 1))) AS int) - 1)), z, (acc, k) ->
+    return let("z", values, f"""aggregate(sequence(0, greatest(0, cast(ceil(log2(greatest(size(z), 1))) AS int) - 1)), z, (acc, k) ->
         transform(acc, (x, i) -> CASE WHEN i >= shiftleft(1, k) THEN {op.format('x', 'acc[i - shiftleft(1, k)]')} ELSE x END))""")
 
 
@@ -122,7 +117,7 @@ def _located(text: str, pattern: str, gate: str) -> Column:
     p = _quoted(pattern)
     lengths = f"zip_with(slice(split({text}, {p}, -1), 1, size(m)), m, (g, v) -> length(g) + length(v))"
     spans = f"zip_with(m, {_running(lengths, '{} + {}')}, (v, e) -> named_struct('s', e - length(v), 'e', e, 'v', v))"
-    return F.expr(f"CASE WHEN {gate} THEN {_let('m', f'regexp_extract_all({text}, {p}, 0)', spans)} ELSE cast(array() AS {SPANS}) END")
+    return F.expr(f"CASE WHEN {gate} THEN {let('m', f'regexp_extract_all({text}, {p}, 0)', spans)} ELSE cast(array() AS {SPANS}) END")
 
 
 def _rlike(text: str, pattern: str) -> str:
@@ -171,13 +166,13 @@ def find_secrets(docs: DataFrame, text_col: str = "text", threshold: float = 0.5
     told = f"translate({t}, char(1), char(2))"
     told = _marked(told, ASSIGN, f"CASE WHEN {long_value('v')} THEN regexp_replace(v, '[{TOKEN}-]', char(1)) ELSE v END")
     for pattern in (ACCESS, HEX):
-        told = _let("w", told, _marked("w", pattern, "repeat(char(1), length(v))"))
+        told = let("w", told, _marked("w", pattern, "repeat(char(1), length(v))"))
     runs = f"regexp_extract_all({told}, '[{TOKEN}\\\\x01-]{{20,}}', 0)"
     symbols = "cast(split('" + ",".join(str(_symbol(chr(c))) for c in range(128)) + "', ',') AS array<int>)"
     chunk = f"transform(split(substr(x.v, {SCORED} * j + 1, {SCORED} + 1), ''), c -> element_at({symbols}, ascii(c) + 1))"
     steps = f"zip_with(slice(y, 1, size(y) - 1), slice(y, 2, size(y) - 1), (p, q) -> element_at(cast(split('{ratios}', ',') AS array<double>), p * {SIZE} + q + 1))"
     total = f"aggregate({steps}, cast(0 AS double), (sum, r) -> sum + r)"
-    ratio = f"aggregate(sequence(0, (length(x.v) - 2) div {SCORED}), cast(0 AS double), (all, j) -> all + {_let('y', chunk, total)})"
+    ratio = f"aggregate(sequence(0, (length(x.v) - 2) div {SCORED}), cast(0 AS double), (all, j) -> all + {let('y', chunk, total)})"
     clear = f"filter(zip_with({m}, {runs}, (x, w) -> CASE WHEN contains(w, char(1)) THEN NULL ELSE x END), x -> x IS NOT NULL)"
     extra = kept(clear, 3, f"{ratio} > {threshold} * (length(x.v) - 1)")
     df = df.withColumn("secret_spans", F.expr(f"array_sort(concat({base}, CASE WHEN size({m}) > 0 THEN {extra} ELSE array() END))"))
@@ -202,13 +197,13 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
             substr(coalesce(get(c, cast(b div {CHUNK} AS int)), ''), 1, cast(b % {CHUNK} AS int))) END"""
 
     def between(a: str, b: str) -> str:
-        return _let("a", a, _let("b", b, part))
+        return let("a", a, let("b", b, part))
 
     # u: furthest end so far; a span that begins before the ends of those before it adds nothing but its own end
     pieces = f"transform(secret_spans, (x, i) -> CASE WHEN i > 0 AND x.s < u[i - 1] THEN '' ELSE concat({between('CASE WHEN i = 0 THEN 0 ELSE u[i - 1] END', 'x.s')}, '{mark}') END)"
     whole = f"array_join(concat({pieces}, array({between('element_at(u, -1)', f'length({t})')})), '')"
     ends = _running("transform(secret_spans, x -> x.e)", "greatest({}, {})")
-    merged = _let("c", f"regexp_extract_all({t}, '(?s).{{1,{CHUNK}}}', 0)", _let("u", ends, whole))
+    merged = let("c", f"regexp_extract_all({t}, '(?s).{{1,{CHUNK}}}', 0)", let("u", ends, whole))
     found = find_secrets(docs, text_col, **options)
     return found.withColumn(text_col, F.expr(f"CASE WHEN size(secret_spans) > 0 THEN {merged} ELSE {t} END")).drop("secret_spans")
 
