@@ -250,3 +250,71 @@ def test_metric_table(spark):
     assert out.count() == 80 and out.filter("metric = 'judge_score_global'").first()["score"] == 4.0
     with pytest.raises(contracts.ContractError):
         evaluation.evaluation_metrics(joined, judged.limit(7))
+
+
+def plain_strata(values, strata=4):
+    order = sorted(range(len(values)), key=lambda i: (values[i] is not None, values[i] or 0, i))
+    place = {i: k for k, i in enumerate(order)}
+    return [min(place[i] * strata // len(values) + 1, strata) for i in range(len(values))]
+
+
+@pytest.mark.parametrize("kind,values", [
+    ("double", [k / 10 for k in range(12)]), ("double", [None, 0.5, None, 0.25, 0.5, 1e300, -1e300, 0.0, None]), ("long", [None] * 6 + [3, 1, 2, 2, 9, 7]), ("long", [None] * 7),
+    ("int", [5, 5, 5, 5, 5]), ("long", [-(2**63) + 5, 2**63 - 1, 0, -1, None]),
+])
+def test_strata_of_fractions_and_nulls(spark, kind, values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i long, v {kind}")
+    got = {r["i"]: r["stratum"] for r in evaluation.quartile_strata(df, "v", "i").collect()}
+    assert [got[i] for i in range(len(values))] == plain_strata(values)
+
+
+def test_split_needs_dates(spark):
+    df = spark.createDataFrame([(k, f"2025-01-0{k}" if k % 3 else None) for k in range(1, 10)], "i long, d string")
+    with pytest.raises(ValueError, match="3 of 9 rows"):
+        evaluation.chronological_split(df, "d", "i", 0.5)
+    dated = df.filter("d is not null")
+    assert sorted(r["i"] for r in evaluation.chronological_split(dated, "d", "i", 0.5).filter("split = 'test'").collect()) == [5, 7, 8]
+    assert evaluation.chronological_split(df.limit(0), "d", "i").count() == 0
+
+
+def test_places(spark):
+    rows = [(k % 7, None if k % 11 == 0 else f"s{k % 13}", k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b string, c long").repartition(7)
+    got = {r["c"]: r["position"] for r in evaluation.with_position(df, [F.col("a"), F.col("b"), F.col("c")]).collect()}
+    want = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or "", r[2]))
+    assert got == {r[2]: k for k, r in enumerate(want, 1)}
+    assert evaluation.with_position(df.limit(0), [F.col("a")]).count() == 0
+
+
+def test_histogram_works_its_value_out_once(spark):
+    from textloom.functions import text as T
+    from textloom.operators import profile
+
+    df = spark.createDataFrame([("a b c",), (None,), ("x " * 500,)], "t string").select(T.word_count("t").alias("n"))
+    plan = profile.histogram(df, "n", 200)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert [tuple(r) for r in profile.histogram(df, "n", 200).orderBy("bin").collect()] == [(0, "0-200", 2), (2, "400-600", 1)]
+
+
+def test_no_row_goes_through_python_objects():
+    """Neither places nor resumed work use RDDs."""
+    import inspect
+
+    from textloom.operators import order
+    from textloom.streaming import resumable
+
+    assert ".rdd" not in inspect.getsource(order) + inspect.getsource(resumable) + inspect.getsource(evaluation)
+
+
+def test_blinding_by_one_generator(spark):
+    import numpy as np
+
+    conditions = ("a", "b", "c", "d")
+    df = spark.createDataFrame([(f"k{i}", c, i % 2) for i in range(6) for c in reversed(conditions)], "case_id string, condition_id string, stratum int")
+    got = {(r["case_id"], r["blind_label"]): r["condition_id"] for r in evaluation.seeded_blinded_items(df, ["stratum", "case_id"], conditions, seed=7).collect()}
+    rng, want = np.random.default_rng(7), {}
+    for case in ("k0", "k2", "k4", "k1", "k3", "k5"):
+        want |= {(case, "ABCD"[place]): conditions[k] for place, k in enumerate(rng.permutation(4))}
+    assert got == want
+    with pytest.raises(ValueError, match="without all conditions"):
+        evaluation.seeded_blinded_items(df.filter("case_id <> 'k1' OR condition_id <> 'a'"), ["case_id"], conditions)

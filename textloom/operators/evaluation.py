@@ -7,79 +7,63 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType, LongType, StructField, StructType
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from textloom.functions import constants as K
-from textloom.operators.contracts import coverage_gaps, duplicate_keys, missing_keys, require_empty
+from textloom.operators.contracts import ContractError, coverage_gaps, duplicate_keys, missing_keys, require_empty
+from textloom.operators.order import kth_largest, with_position
 
 # Order ---------------------------------------------------------------------------
 
 
-def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """``df`` with the 1-based place of each row in a global order, without one task that sees all rows.
-
-    Rows are range-partitioned and sorted; a place is the rows of the partitions
-    before (one count for each) plus the place in the partition. Rows have to be
-    told apart by ``order``, and it must not depend on how they arrive.
-    """
-    spark = df.sparkSession
-    ranged = df.withColumns({f"tmp_o{k}": c for k, c in enumerate(order)})
-    keys = [f"tmp_o{k}" for k in range(len(order))]
-    indexed = ranged.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys).rdd.zipWithIndex()
-    schema = StructType([*df.schema.fields, StructField(name, LongType())])
-    return spark.createDataFrame(indexed.map(lambda x: (*x[0], x[1] + 1)), schema)
+def _nulls_first(df: DataFrame, name: str) -> Column:
+    """An integer column with nulls below all its values."""
+    low = df.agg(F.min(F.col(name).cast("long"))).first()[0]
+    return F.coalesce(F.col(name).cast("long"), F.lit((low or 0) - 1))
 
 
 def chronological_split(df: DataFrame, time: str, tie: str, share: float = K.TEST_SHARE) -> DataFrame:
     """``df`` with split: the last floor(n * share) rows by (time, tie) are 'test', the rest 'train'.
 
     The boundary row is found by narrowing a histogram of times, so no rows are
-    moved and none is sorted; where the share comes to 0 rows, all are 'train'.
+    moved and none is sorted; where the share comes to 0 rows, all are 'train'. A row
+    without a time has no place in the order, so it raises; an integer tie may be
+    null and then comes first among its like.
     """
-    n = df.count()
+    micros = F.unix_micros(F.to_timestamp(F.col(time)))
+    n, dated = df.agg(F.count(F.lit(1)), F.count(micros)).first()
+    if dated < n:
+        raise ContractError(f"{n - dated} of {n} rows have no {time}")
     test = int(n * share)
     if test == 0:
         return df.withColumn("split", F.lit("train"))
-    micros = F.unix_micros(F.to_timestamp(F.col(time)))
-    edge, left = _kth_largest(df.select(micros.alias("x")), test)
-    last, _ = _kth_largest(df.filter(micros == edge).select(F.col(tie).cast("long").alias("x")), left)
-    late = (micros > edge) | ((micros == edge) & (F.col(tie) >= last))
+    ties = _nulls_first(df, tie)
+    edge, left = kth_largest(df.select(micros.alias("x")), "x", test)
+    last, _ = kth_largest(df.filter(micros == edge).select(ties.alias("x")), "x", left)
+    late = (micros > edge) | ((micros == edge) & (ties >= last))
     return df.withColumn("split", F.when(late, "test").otherwise("train"))
 
 
-def _kth_largest(df: DataFrame, k: int, bins: int = 4096) -> tuple[int, int]:
-    """k-th largest value of the long column x, and k less the number of larger values."""
-    lo, hi = (int(v) for v in df.agg(F.min("x"), F.max("x")).first())
-    while lo < hi:
-        width = -(-(hi - lo + 1) // bins)
-        rows = df.filter(F.col("x").between(lo, hi)).groupBy(F.expr(f"(x - {lo}L) div {width}L").alias("b")).count().collect()
-        for b, c in sorted(((r["b"], r["count"]) for r in rows), reverse=True):
-            if k <= c:
-                lo, hi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
-                break
-            k -= c
-    return lo, k
-
-
 def quartile_strata(df: DataFrame, length: str, tie: str, strata: int = K.STRATA) -> DataFrame:
     """``df`` with stratum: min(floor(i * strata / n) + 1, strata) for the i-th row by (length, tie), from 0.
 
-    With an integer tie only the first row of each stratum is looked for, by
-    narrowing histograms, and no row moves; a text tie takes the rows' places.
+    Nulls come first, like the shortest. With an integer length and tie only the
+    first row of each stratum is looked for, by narrowing histograms, and no row
+    moves; others take the rows' places.
     """
     n = df.count()
     if n < strata:
         raise ValueError(f"{n} rows are too few for {strata} strata")
-    if not isinstance(df.schema[tie].dataType, IntegralType):
+    if not all(isinstance(df.schema[c].dataType, IntegralType) for c in (length, tie)):
         ranked = with_position(df, [F.col(length), F.col(tie)])
         return ranked.withColumn("stratum", F.least(F.floor((F.col("position") - 1) * strata / F.lit(n)) + 1, F.lit(strata)).cast("int")).drop("position")
-    stratum = F.lit(1)
+    size, ties, stratum = _nulls_first(df, length), _nulls_first(df, tie), F.lit(1)
     for k in range(1, strata):
         place = -(-k * n // strata)  # of the stratum's first row, from 0: as many rows come before it
-        edge, left = _kth_largest(df.select(F.col(length).cast("long").alias("x")), n - place)
-        last, _ = _kth_largest(df.filter(F.col(length) == edge).select(F.col(tie).cast("long").alias("x")), left)
-        stratum = stratum + F.when((F.col(length) > edge) | ((F.col(length) == edge) & (F.col(tie) >= last)), 1).otherwise(0)
+        edge, left = kth_largest(df.select(size.alias("x")), "x", n - place)
+        last, _ = kth_largest(df.filter(size == edge).select(ties.alias("x")), "x", left)
+        stratum = stratum + F.when((size > edge) | ((size == edge) & (ties >= last)), 1).otherwise(0)
     return df.withColumn("stratum", stratum.cast("int"))
 
 
@@ -89,14 +73,17 @@ def stratified_sample(df: DataFrame, stratum: str, key: Column, per_stratum: int
     return df.withColumn("tmp_key", key).withColumn("tmp_rk", rank).filter(F.col("tmp_rk") <= per_stratum).drop("tmp_rk", "tmp_key")
 
 
-def seeded_sample(df: DataFrame, stratum: str, case: str, order: list[str], per_stratum: int = K.CASES_PER_STRATUM, seed: int = K.SEED) -> DataFrame:
+def seeded_sample(df: DataFrame, stratum: str, case: str, order: list[str], per_stratum: int = K.CASES_PER_STRATUM, seed: int = K.SEED, most: int = 1_000_000) -> DataFrame:
     """Sample that a NumPy generator draws over strata in order, as a driver-side library would.
 
-    Only ids and strata of the evaluation set come to the driver; sampled rows are
-    joined back.
+    Only ids and strata of the evaluation set come to the driver, ``most`` of them at
+    the most: a larger table raises (stratified_sample has no such bound). Sampled
+    rows are joined back.
     """
     import numpy as np
 
+    if (n := df.count()) > most:
+        raise ValueError(f"{n} cases are more than the driver may hold ({most})")
     ids = df.select(*dict.fromkeys((stratum, case, *order))).toPandas().sort_values([stratum, *order])
     rng = np.random.default_rng(seed)
     drawn: list[str] = []
@@ -113,6 +100,27 @@ def blinded_items(sample: DataFrame, case: str = "case_id", condition: str = "co
     return sample.withColumn("blind_label", F.chr(rank + 64)).withColumn("item_id", F.concat_ws("_", case, "blind_label"))
 
 
+def seeded_blinded_items(sample: DataFrame, order: list[str], conditions: tuple[str, ...] = K.CONDITION_IDS, case: str = "case_id", condition: str = "condition_id", seed: int = K.SEED, most: int = 100_000) -> DataFrame:
+    """blinded_items() by the permutations of one NumPy generator, case after case, so that a published key can be made again.
+
+    Cases are taken by ``order``; each has to have all ``conditions``. Cases are those
+    of an evaluation sample, ``most`` at the most, as one generator serves them in turn.
+    """
+    import numpy as np
+
+    cases = [r[0] for r in sample.select(case, *(c for c in order if c != case)).distinct().orderBy(*order).select(case).limit(most + 1).collect()]
+    if len(cases) > most:
+        raise ValueError(f"over {most} cases: use blinded_items")
+    grid = sample.groupBy(case).agg(F.sort_array(F.collect_set(condition)).alias("c"), F.count(F.lit(1)).alias("n"))
+    whole = F.array(*[F.lit(c) for c in sorted(conditions)])
+    require_empty(grid.filter((F.col("c") != whole) | (F.col("n") != len(conditions))).select(case), "cases without all conditions")
+    rng, rows = np.random.default_rng(seed), []
+    for c in cases:
+        rows += [(c, conditions[int(k)], chr(65 + place)) for place, k in enumerate(rng.permutation(len(conditions)))]
+    key = sample.sparkSession.createDataFrame(rows, f"`{case}` string, `{condition}` string, blind_label string")
+    return sample.join(F.broadcast(key), [case, condition]).withColumn("item_id", F.concat_ws("_", case, "blind_label"))
+
+
 def blind_package(items: DataFrame, case: str = "case_id", condition: str = "condition_id", text: str = "candidate") -> tuple[DataFrame, DataFrame]:
     """(sample, key): cases with their blinded items (no condition in them), and what each item is."""
     key = items.select("item_id", case, "blind_label", F.col(condition).alias("true_condition_id"))
@@ -132,8 +140,10 @@ def join_predictions(cases: DataFrame, predictions: DataFrame, complete: bool =
     require_empty(duplicate_keys(predictions, "case_id", "condition_id"), "duplicate predictions")
     require_empty(missing_keys(predictions, cases, "case_id"), "predictions of unknown cases")
     if complete:
-        conditions = predictions.select("condition_id").distinct()
-        grid = cases.select("case_id").crossJoin(F.broadcast(conditions))  # a handful of conditions
+        conditions = [r[0] for r in predictions.select("condition_id").distinct().limit(1001).collect()]
+        if len(conditions) > 1000:
+            raise ContractError("over 1000 conditions")
+        grid = cases.select("case_id", F.explode(F.array(*[F.lit(c) for c in conditions]).cast("array<string>")).alias("condition_id"))
         require_empty(missing_keys(grid, predictions, "case_id", "condition_id"), "cases without prediction")
     return cases.join(predictions, "case_id")
 

@@ -70,10 +70,9 @@ def iqr_outliers(df: DataFrame, value: str, by: list[str] | tuple = ()) -> DataF
 def histogram(df: DataFrame, value: str, width: int, bins: int = 15) -> DataFrame:
     """(bin, label, n): values in [k w, (k+1) w), the first ``bins`` bins by position, empty ones left out."""
     k = F.floor(F.col(value) / width).cast("long")
-    return (
-        df.filter(F.col(value).isNotNull()).groupBy(k.alias("bin")).agg(F.count(F.lit(1)).alias("n")).filter((F.col("bin") >= 0) & (F.col("bin") < bins))
-        .select("bin", F.concat_ws("-", (F.col("bin") * width).cast("string"), ((F.col("bin") + 1) * width).cast("string")).alias("label"), "n")
-    )
+    # the bins are filtered by an aggregate: a filter on the key would go below and work ``value`` out again
+    counts = df.groupBy(k.alias("tmp_bin")).agg(F.count(F.lit(1)).alias("n"), F.max(k).alias("bin")).filter((F.col("bin") >= 0) & (F.col("bin") < bins))
+    return counts.select("bin", F.concat_ws("-", (F.col("bin") * width).cast("string"), ((F.col("bin") + 1) * width).cast("string")).alias("label"), "n")
 
 
 def with_ratio(pairs: DataFrame, source: str = "source", target: str = "target") -> DataFrame:

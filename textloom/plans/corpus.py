@@ -76,13 +76,14 @@ def statistics(metrics: DataFrame, primary: list[str], iterations: int = K.ITERA
 
 
 def prepare_human_evaluation(cases: DataFrame, predictions: DataFrame, per_stratum: int = K.CASES_PER_STRATUM) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sample, key, template) for blind rating: cases by length quartile, items in hashed order."""
+    """(sample, key, template) for blind rating: cases by length quartile, items by seeded permutations."""
     from textloom.functions.text import word_count
 
     strata = evaluation.quartile_strata(cases.withColumn("n_source", word_count("source")), "n_source", "case_id")
-    sample = evaluation.seeded_sample(strata, "stratum", "case_id", ["test_index", "case_id"], per_stratum)
+    sample = evaluation.seeded_sample(strata, "stratum", "case_id", ["n_source", "case_id"], per_stratum)
     joined = evaluation.join_predictions(sample.select("case_id", "source", "reference"), predictions.join(sample.select("case_id"), "case_id", "left_semi"))
-    items = evaluation.blinded_items(joined)
+    in_order = joined.join(sample.select("case_id", "stratum", "test_index"), "case_id")
+    items = evaluation.seeded_blinded_items(in_order, ["stratum", "test_index", "case_id"]).drop("stratum", "test_index")
     package, key = evaluation.blind_package(items)
     return package.join(sample.select("case_id", "stratum", "source", "reference"), "case_id"), key, evaluation.rating_grid(items)
 

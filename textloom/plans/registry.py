@@ -476,13 +476,13 @@ def judge_scores(spark, d):
 
 
 @_query(
-    """SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'truncated' WHEN 2 THEN 'empty' WHEN 3 THEN 'not json' ELSE CASE WHEN event_id % 9 = 0 THEN 'fidelidade_factual.score' END END AS problem FROM events WHERE event_id < 2000"""
+    """SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'truncated' WHEN 2 THEN 'empty' WHEN 3 THEN 'not json' ELSE CASE WHEN event_id % 9 = 0 THEN 'fidelidade_factual.score' END END AS problem FROM events"""
 )
 def judge_responses(spark, d):
     k = F.col("event_id") % 6
     content = F.when(k == 2, " ").when(k == 3, "no json").otherwise(F.to_json("answer"))
     choice = F.struct(F.when(k == 1, "length").otherwise("stop").alias("finish_reason"), F.struct(content.alias("content")).alias("message"))
-    df = _judged(spark, d).filter("event_id < 2000").withColumn("response", F.to_json(F.struct(F.array(choice).alias("choices"))))
+    df = _judged(spark, d).withColumn("response", F.to_json(F.struct(F.array(choice).alias("choices"))))
     return df.select("event_id", generation.judge_problem("response").alias("problem"))
 
 
@@ -661,3 +661,162 @@ def rouge_scores(spark, d):
 @_query()
 def rouge_lcs(spark, d):
     return evaluation.rouge(_pairs(spark, d), "source", "target").select("conv_id", "turn", "rougeL_f1")
+
+
+# Rules on constructed texts: each document stands for one case, and the SQL holds what has to come out -----------
+
+
+def _case_of(cases: list, column: str = "doc_id"):
+    """The case of a row, as an expression: cases follow each other by id."""
+    values = F.array(*[F.lit(c).cast("string") for c in cases])
+    return F.element_at(values, (F.pmod(F.col(column), F.lit(len(cases))) + 1).cast("int"))
+
+
+def _told(expected: list, column: str = "doc_id") -> str:
+    quoted = ["NULL" if e is None else "'" + e.replace("'", "''") + "'" for e in expected]
+    return f"CASE {column} % {len(expected)} " + " ".join(f"WHEN {k} THEN {e}" for k, e in enumerate(quoted)) + " END"
+
+
+#: A text for each cleaning rule, and the text that is left.
+_CLEANED = (
+    ("<p class='x'>Texto <b>forte</b></p> fim", "Texto forte fim"), ("Processo nº 0500148-54.2016.4.05.8200 segue", "segue"), ("visto (id 48772689) e id. 48772690 nos autos", "visto e nos autos"),
+    ("Data de Julgamento: hoje", ": hoje"), ("PROCESSO ELETRÔNICO DJe-123 DIVULG 23-05-2024", ""), ("publicado no DJe em maio", "publicado no em maio"), ("publicado DJe 26.09.2012 ontem", "publicado 26.09.2012 ontem"),
+    ("o divulg isolado", "o isolado"), ("Ação Civil Pública - ACP nº 5.2-3 movida pela DPU agora", "agora"), ("João Pessoa, 12 de março de 2021", "[DATA]"),
+    ("Súmula de julgamento Súmula de Julgamento: tudo", "Súmula de Julgamento: tudo"), ("Fim.  Súmula do julgamento: resto", "Fim"), ("Texto. Maria da Silva Souza Juíza Federal", "Texto"),
+    ("voto do Relator fulano", "voto do"), ("Texto final AMPARO SOCIAL TOTAL", "Texto final"), ("a\r\n\tc  d ", "a c d"), ("&eacute; &lt;b&gt; &amp;c", "é &c"), (None, ""), ("", ""),
+)
+
+
+@_query("SELECT doc_id, " + _told([e for _, e in _CLEANED]) + " AS text FROM documents")
+def cleaning_rules(spark, d):
+    return _t(spark, d, "documents").select("doc_id", cleaning.clean_text(_case_of([c for c, _ in _CLEANED])).alias("text"))
+
+
+#: A text for each masking layer, the masked text, and what its counters say.
+_MASKED = (
+    ("CPF 123.456.789-01 visto", "CPF [CPF] visto", {"cpfs": 1}), ("CNPJ 12.345.678/0001-99 visto", "CNPJ [CNPJ] visto", {"cnpjs": 1}), ("NPU 0500148-54.2016.4.05.8200 visto", "NPU [NPU] visto", {"npus": 1}),
+    ("conta corrente nº 12345-6 e ag. 1234-5", "[CONTA-DIGITO] e [CONTA-DIGITO]", {"contas": 2}), ("escreva a a.b+c@x-y.com hoje", "escreva a [EMAIL] hoje", {"emails": 1}),
+    ("ligue (83) 99999-1234 ou 83 3333-4444", "ligue [TELEFONE] ou [TELEFONE]", {"telefones": 2}),
+    ("Sr. João Silva Souza disse. Depois João Silva saiu", "Sr. [NOME_OCULTADO]. Depois [NOME_PESSOA] saiu", {"nomes_honorificos": 1, "nomes_proprios": 1}),
+    ("movido por FULANO DE TAL SILVA em face de X", "movido por [NOME_OCULTADO] em face de X", {"nomes_honorificos": 1}), ("AUTOR: MARIA DA SILVA RÉU: INSS", "AUTOR: [NOME_OCULTADO] RÉU: INSS", {"nomes_honorificos": 1}),
+    ("visto Maria José Lima e outros", "visto [NOME_PESSOA] e outros", {"nomes_proprios": 1}),
+    ("o Instituto Nacional Maria José Lima e Carlos Alberto Souza", "o Instituto Nacional Maria José Lima e [NOME_PESSOA]", {"nomes_proprios": 1}),
+    ("Rua das Flores, rua X bloco 3 nº 10", "Rua das Flores, [ENDEREÇO_COMPLETO] nº 10", {"logradouros": 1}), ("nada a mascarar aqui", "nada a mascarar aqui", {}), (None, "", {}),
+)
+
+
+@_query("SELECT doc_id, " + _told([e for _, e, _ in _MASKED]) + " AS text FROM documents")
+def masking_layers(spark, d):
+    texts = _t(spark, d, "documents").select("doc_id", _case_of([c for c, _, _ in _MASKED]).alias("text"))
+    return masking.mask_text(texts, "text")
+
+
+@_query(
+    "SELECT counter, sum(n)::BIGINT AS n FROM (SELECT counter, CASE WHEN doc_id % " + str(len(_MASKED)) + " = k THEN hits ELSE 0 END AS n FROM documents CROSS JOIN (VALUES "
+    + ", ".join(f"('{c}', {k}, {n.get(c, 0)})" for c in masking.COUNTERS for k, (_, _, n) in enumerate(_MASKED)) + ") h(counter, k, hits)) GROUP BY counter"
+)
+def mask_counters(spark, d):
+    """Counters of both texts of a pair, dropped pairs included; the pair's target is empty here."""
+    pairs = _t(spark, d, "documents").select(_case_of([c for c, _, _ in _MASKED]).alias("source"), F.lit("").alias("target"))
+    return masking.ranked_totals(masking.mask_totals(masking.mask_pairs(pairs)))
+
+
+#: Findings of the audit in the texts above: case, category, matches, first match. Cases of cleaning come first.
+_FOUND = (
+    (2, "4. ID PJe", 2, "id 48772689"), (6, "7. DJe com data residual", 1, "DJe 26.09.2012"), (1, "3. NPU (Número do Processo)", 1, "0500148-54.2016.4.05.8200"), (19, "1. CPF", 1, "123.456.789-01"),
+    (20, "2. CNPJ", 1, "12.345.678/0001-99"), (21, "3. NPU (Número do Processo)", 1, "0500148-54.2016.4.05.8200"), (23, "5. E-mail", 1, "a.b+c@x-y.com"), (24, "6. Telefone", 2, "(83) 99999-1234"),
+    (25, "8. Nomes privados", 1, "João Silva Souza"), (26, "8. Nomes privados", 1, "FULANO DE TAL SILVA"), (27, "8. Nomes privados", 1, "MARIA DA SILVA"),
+)
+_AUDITED = [c for c, _ in _CLEANED] + [c for c, _, _ in _MASKED]
+
+
+@_query(
+    "SELECT category, sum(n)::BIGINT AS n, count(*) AS rows, array_to_string(list_slice(list(example ORDER BY doc_id), 1, 3), ' | ') AS examples FROM documents JOIN (VALUES "
+    + ", ".join(f"({k}, '{c}', {n}, '{e}')" for k, c, n, e in _FOUND) + f") f(k, category, n, example) ON doc_id % {len(_AUDITED)} = k GROUP BY category"
+)
+def audit_categories(spark, d):
+    report = audit.audit_report(_t(spark, d, "documents").select(F.col("doc_id").alias("ordinal"), _case_of(_AUDITED).alias("text")), "text")
+    return report.filter("n > 0").withColumn("examples", F.array_join("examples", " | "))
+
+
+_LONG_TEXT = "um dois tres quatro cinco seis sete oito nove dez onze"
+_REJECTED = (
+    (None, "x", "empty_before"), ("", "x", "empty_before"), ("<b></b>", "a b c d e", "empty_after"), ("   ", "a b c d e", "empty_after"), (_LONG_TEXT, f" {_LONG_TEXT} ", "identical"), (_LONG_TEXT, "a b", "short"),
+    ("a b", "a b c d e", "short"), (_LONG_TEXT, "a b c d e", None),
+)
+
+
+@_query("SELECT doc_id, " + _told([r for _, _, r in _REJECTED]) + " AS reject_reason FROM documents")
+def reject_reasons(spark, d):
+    pairs = _t(spark, d, "documents").select("doc_id", _case_of([a for a, _, _ in _REJECTED]).alias("source"), _case_of([b for _, b, _ in _REJECTED]).alias("target"))
+    return cleaning.with_reject_reason(pairs).select("doc_id", "reject_reason")
+
+
+_TOPIC_TEXTS = tuple((f"sobre {keywords[-1].lower()} e mais. Outra frase com FGTS", topic) for topic, keywords in K.TOPIC_RULES) + (("nada disso. PENAL", "Outros"), (None, None), ("", "Outros"))
+
+
+@_query("SELECT doc_id, " + _told([t for _, t in _TOPIC_TEXTS]) + " AS topic FROM documents")
+def topic_rules(spark, d):
+    return _t(spark, d, "documents").select("doc_id", _case_of([c for c, _ in _TOPIC_TEXTS]).alias("text")).select("doc_id", F.when(F.col("text").isNotNull(), profile.topic_of("text")).alias("topic"))
+
+
+_ANOMALIES = (
+    (" Amparo assistencial. Sentença de improcedência. Recorre a parte-autora\n", "trunc_8w_exata"), ("Justiça Federal da 5ª Região - turma", "header_ementa"), ("despacho: nada", "despacho_ementa"), ("12) voto", "ementa_start_digit"),
+    ("3- DESPACHO", "ementa_start_digit"), ("palavra " * 301, "ementa_longa_anomala"), ("1. " + "palavra " * 300, "ementa_start_digit,ementa_longa_anomala"), ("palavra " * 300, ""), ("ementa comum", ""), (None, ""),
+)
+
+
+@_query("SELECT doc_id, " + _told([x for _, x in _ANOMALIES]) + " AS labels FROM documents")
+def anomaly_rules(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.array_join(profile.anomaly_labels(_case_of([c for c, _ in _ANOMALIES])), ",").alias("labels"))
+
+
+#: Comparisons of the parts: a family for every five, a metric each; the first 40 are primary.
+_COMPARED = f"""SELECT 'f' || (p_partkey % 5) AS family, 'm' || p_partkey AS metric, {_P} AS p, CASE WHEN p_partkey <= 40 THEN 'primary' ELSE 'secondary' END AS scope FROM part"""
+
+
+@_query(
+    f"""SELECT family, metric, scope, method, adjusted, adjusted < 0.05 AS significant FROM (
+    SELECT family, metric, scope, 'holm_bonferroni' AS method, max(step) OVER (PARTITION BY family ORDER BY p, metric ROWS UNBOUNDED PRECEDING) AS adjusted FROM (
+        SELECT *, least(1.0, p * (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, metric) + 1)) AS step FROM ({_COMPARED}) WHERE scope = 'primary')
+    UNION ALL SELECT family, metric, scope, 'benjamini_hochberg', least(1.0, min(step) OVER (PARTITION BY family ORDER BY p DESC, metric DESC ROWS UNBOUNDED PRECEDING)) FROM (
+        SELECT *, p * count(*) OVER (PARTITION BY family) / row_number() OVER (PARTITION BY family ORDER BY p, metric) AS step FROM ({_COMPARED}) WHERE scope = 'secondary'))""",
+    "adjusted",
+)
+def multiplicity_of_many(spark, d):
+    k = F.col("p_partkey")
+    compared = _p_values(spark, d).select(F.concat(F.lit("f"), k % 5).alias("family"), F.concat(F.lit("m"), k).alias("metric"), "p")
+    return inference.adjust(compared, [f"m{n}" for n in range(41)]).select("family", "metric", "scope", "method", "adjusted", "significant")
+
+
+@_query(
+    """SELECT event_id, least(floor((p - 1) * 4 / n) + 1, 4)::INTEGER AS stratum FROM (SELECT event_id, row_number() OVER (ORDER BY v NULLS FIRST, event_id) AS p, count(*) OVER () AS n
+    FROM (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS v FROM events))"""
+)
+def fractional_strata(spark, d):
+    """Strata of a double with nulls, which come first."""
+    events = _t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"))
+    return evaluation.quartile_strata(events, "v", "event_id").select("event_id", "stratum")
+
+
+@_query("SELECT doc_id, row_number() OVER (ORDER BY lang, source NULLS FIRST, doc_id) AS position FROM documents")
+def places_in_order(spark, d):
+    return evaluation.with_position(_t(spark, d, "documents").select("doc_id", "lang", "source"), [F.col("lang"), F.col("source"), F.col("doc_id")]).select("doc_id", "position")
+
+
+@_query("""SELECT p_partkey AS ordinal, CASE WHEN p_partkey % 4 = 1 THEN 'score' WHEN p_partkey % 4 = 2 THEN 'condition' END AS problem FROM part WHERE p_partkey % 4 IN (1, 2)""")
+def score_contract(spark, d):
+    """Scores that are not finite and conditions that aren't known, one row in four each."""
+    k = F.col("p_partkey")
+    score = F.when(k % 4 == 1, F.when(k % 8 == 1, F.lit(float("nan"))).otherwise(F.lit(float("-inf")))).otherwise(k / 2.0)
+    rows = _t(spark, d, "part").select("p_partkey", score.alias("score"), F.when(k % 4 == 2, "other").otherwise("qwen_ft").alias("condition_id"))
+    bad = contracts.invalid_scores(rows)
+    return bad.select(F.col("p_partkey").alias("ordinal"), F.when(F.col("condition_id") == "other", "condition").otherwise("score").alias("problem"))
+
+
+@_query("SELECT p_partkey AS id, (p_partkey % 8)::INTEGER AS rating FROM part WHERE p_partkey % 8 NOT BETWEEN 1 AND 5 OR p_partkey % 10 = 0")
+def rating_contract(spark, d):
+    """Ratings off the scale, and ratings of unknown criteria."""
+    k = F.col("p_partkey")
+    rows = _t(spark, d, "part").select(k.alias("id"), (k % 8).cast("int").alias("rating"), F.when(k % 10 == 0, "other").otherwise("fluencia").alias("criterion"))
+    return contracts.invalid_ratings(rows).select("id", "rating")

@@ -8,10 +8,11 @@ from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from textloom.operators.contracts import check_runner
 from textloom.operators.evaluation import pending, upsert_latest
+from textloom.operators.order import with_position
 from textloom.sources.sinks import write_json
 
 
@@ -79,10 +80,9 @@ def resume(
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             todo = cases
-        todo = todo.orderBy(*order)
         if limit is not None:
-            todo = todo.limit(limit)
-        plan = spark.createDataFrame(todo.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), StructType([*cases.schema.fields, StructField("tmp_place", LongType())])).persist()
+            todo = todo.orderBy(*order).limit(limit)
+        plan = with_position(todo, [F.col(c) for c in order], "tmp_place").withColumn("tmp_place", F.col("tmp_place") - 1).persist()
         total = plan.count()
         for at in range(0, total, flush_every):
             part = plan.filter(F.col("tmp_place").between(at, at + flush_every - 1)).drop("tmp_place")
@@ -114,7 +114,10 @@ def windowed_counts(stream: DataFrame, time_col: str, by: list[str], width: str
 
 
 def upsert_stream(stream: DataFrame, out: str, key: str, order: str, checkpoint: str):
-    """Keep the last row of each key under ``out``: every batch merges into a new version folder."""
+    """Keep the last row of each key under ``out``: every batch merges into a new version folder, and the last two are kept.
+
+    The one before the last is what a replayed batch merges with.
+    """
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         merged = batch
@@ -125,6 +128,9 @@ def upsert_stream(stream: DataFrame, out: str, key: str, order: str, checkpoint:
                 if "PATH_NOT_FOUND" not in str(e):
                     raise
         upsert_latest(merged, key, order).write.mode("overwrite").parquet(f"{out}/v{batch_id}")  # a replayed batch writes the same version
+        if batch_id > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/v{batch_id - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
