@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import free_name, materialise, reading, sampled_labels, with_fields
+from textloom.operators.order import kth_largest
 
 WORD_BUCKETS, SHAPE_BUCKETS = 10_000, 2_000
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
@@ -125,30 +126,6 @@ def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, with_fields(docs, log_weight="double"))
 
 
-def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> int | None:
-    """Exact k-th largest value of an integer column; None if there are fewer.
-
-    A histogram of at most ``bins`` counts is narrowed to the bin that holds it,
-    so that no sort, single task or driver holds the values.
-    """
-    if k < 1:
-        return None
-    x = F.col(col).cast("decimal(38,0)")
-    lo, hi, n = df.agg(F.min(x), F.max(x), F.count(x)).first()
-    if n < k:
-        return None
-    lo, hi = int(lo), int(hi)
-    while lo < hi:
-        width = -(-(hi - lo + 1) // bins)
-        rows = df.filter(f"cast(`{col}` AS decimal(38,0)) BETWEEN {lo}BD AND {hi}BD").groupBy(F.expr(f"cast((cast(`{col}` AS decimal(38,0)) - ({lo}BD)) div {width}BD AS int)").alias("b")).count().collect()
-        for b, c in sorted(((r["b"], r["count"]) for r in rows), reverse=True):
-            if k <= c:
-                lo, hi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
-                break
-            k -= c
-    return lo
-
-
 UNIT = 1 << 20
 
 
@@ -169,12 +146,13 @@ def resample(weighted: DataFrame, keep: int | None = None, seed: int = 29) -> Da
         # in fixed point: the sum of floats depends on their order
         share = F.round(F.least(F.lit(1.0), F.exp(F.least(F.lit(0.0), "log_weight"))) * UNIT).cast("long")
         keep = round((keyed.agg(F.sum(share)).first()[0] or 0) / UNIT)
-    edge = kth_largest(keyed, k, keep)
-    if edge is None:
+    found = kth_largest(keyed, k, keep)
+    if found is None:
         kept = F.lit(keep > 0)
     else:
+        edge, _ = found
         above = keyed.filter(F.col(k) > edge).count()
-        last = kth_largest(keyed.filter(F.col(k) == edge).select((-F.coalesce("doc_id", F.lit(-1)).cast("decimal(38,0)")).alias("i")), "i", keep - above)
+        last, _ = kth_largest(keyed.filter(F.col(k) == edge).select((-F.coalesce("doc_id", F.lit(-1)).cast("decimal(38,0)")).alias("i")), "i", keep - above)
         kept = (F.col(k) > edge) | ((F.col(k) == edge) & (-F.coalesce("doc_id", F.lit(-1)).cast("decimal(38,0)") >= F.lit(last)))
     return keyed.withColumn("kept", kept).withColumn("gumbel_key", F.col(k) / float(UNIT)).drop(k)
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import sampled_labels, with_fields
+from textloom.llm.common import discard, materialise, sampled_labels, with_fields
 
 DIMENSIONS = 1 << 18
 _WORD = re.compile(r"\w+")
@@ -104,11 +104,12 @@ class FactorizationMachine:
         return self
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 16_000, **options) -> FactorizationMachine:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 16_000, most_terms: int = 20_000_000, **options) -> FactorizationMachine:
     """Fit on at most ``bound`` labelled rows, none of fold 0.
 
-    Only term indices of those rows come to the driver, bounded by ``bound`` times
-    the distinct terms of a text.
+    Only term indices of those rows come to the driver, each at most DIMENSIONS of
+    four bytes. Their number is added up first; if they are over ``most_terms``, rows
+    are left out of the sample in order of a hash of the id until they are not.
     """
     spark = docs.sparkSession
     y_of = sampled_labels(labels, "toxic", bound)
@@ -121,8 +122,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 16_000, **opti
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, pa.binary())], names=["doc_id", "y", "terms"])
 
     picked = docs.select("doc_id", "text").join(ids, "doc_id")
+    termed = materialise(picked.mapInArrow(run, "doc_id long, y int, terms binary"))
+    sizes = sorted((r["h"], r["n"]) for r in termed.select(F.xxhash64("doc_id", F.lit(23)).alias("h"), (F.length("terms") / 4).cast("long").alias("n")).collect())
+    edge = next((h for (h, _), total in zip(sizes, np.cumsum([n for _, n in sizes]).tolist(), strict=True) if total > most_terms), None)
+    fitting = termed if edge is None else termed.filter(F.xxhash64("doc_id", F.lit(23)) < edge)
     # in a fixed order, so that the fit doesn't depend on how rows are dealt to tasks
-    got = sorted((r["doc_id"], r["y"], bytes(r["terms"])) for r in picked.mapInArrow(run, "doc_id long, y int, terms binary").collect())
+    got = sorted((r["doc_id"], r["y"], bytes(r["terms"])) for r in fitting.collect())
+    discard(termed)
     rows = [np.frombuffer(t, np.int32) for _, _, t in got]
     return FactorizationMachine(**options).fit(rows, np.array([y for _, y, _ in got], float))
 
