@@ -175,7 +175,7 @@ def search(
     cells = Cells({r["cell"]: r["n"] for r in counted}, len(two))
     total = int(cells.count.sum())
     enough = int(np.ceil(share * total))
-    shard = max(1, min(shard, -(-total // tasks)))
+    shard = max(1, min(shard, max(32 * k, -(-total // tasks))))  # a shard gives k rows a query: many more entries than that, whatever the tasks
     first_shard, parts = np.zeros(len(cells.cell), np.int64), np.maximum(1, -(-cells.count // shard))
     shards, filled = 0, 0
     for c, n in enumerate(cells.count.tolist()):
