@@ -58,8 +58,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keys = ["doc_id", vid, rid]
     everything = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     known = docs.withColumns({vid: F.xxhash64(F.coalesce("text", F.lit(""))), rid: F.xxhash64(everything)}).filter("doc_id is not null")
-    found = simhash.similar_documents(docs.filter("doc_id is not null"), similarity=0.8, words=5)
-    component = found.select(F.col("vid").alias(vid), "component").distinct()
+    found = simhash.similar_texts(simhash.named_texts(docs.filter("doc_id is not null")), similarity=0.8, words=5)
+    component = found.select(F.col("vid").alias(vid), F.col("root").alias("component"))
     rows = settle(reading(spread_join(materialise(known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))), component, [vid]), found))
     first = rows.groupBy("component").agg(F.min(F.struct(*keys)).alias("first"))
     placed = materialise(spread_join(rows, first, ["component"]).select(*keys, "n", F.struct(*keys).eqNullSafe(F.col("first")).alias("stays")))

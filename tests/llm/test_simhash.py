@@ -203,3 +203,45 @@ def test_cross_pairs_of_shards():
         assert {(a, b) for i, j in simhash.cross_pairs(comp, n, sig, None, 0.3, tile) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == want
         two = {tuple(sorted(x)) for i, j in simhash.cross_pairs(comp, n, sig, own, 0.3, tile) for x in zip(i.tolist(), j.tolist(), strict=True)}
         assert two == {(a, b) for a, b in want if own[a] != own[b]}
+
+
+@pytest.mark.parametrize("most", [40, 2048])
+def test_no_table_holds_the_pairs_of_a_family(spark, monkeypatch, most):
+    """240 edits of one text, few alike in 0.8: what is written grows with the texts, not with their pairs."""
+    rng = random.Random(9)
+    base, texts = [f"w{k}" for k in range(150)], []
+    for _ in range(240):
+        copy = list(base)
+        for k in rng.sample(range(150), rng.randint(2, 5)):
+            copy[k] = f"other{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    written, plain = [], simhash.materialise
+
+    def counted(df):
+        out = plain(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df, most=most).collect()}
+    want = brute_components(texts)
+    assert [got[k] for k in range(240)] == want and 10 < len(set(want)) < 230
+    assert max(written) <= 20 * len(texts)  # a row for each band
+
+
+def test_alike_forest():
+    """The forest spans the components of all pairs, or of the pairs of two sides."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 30))).astype(np.uint64) for _ in range(80)]
+    own = rng.random(80) < 0.3
+    for side in (None, own):
+        pairs = [(i, j) for i in range(80) for j in range(i) if side is None or own[i] != own[j]]
+        good = {(i, j) for i, j in pairs if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j])) - 1e-9}
+        forest = simhash.alike_forest(sets, 0.5, side)
+        assert {(max(p), min(p)) for p in forest} <= good
+        label = list(range(80))
+        for i, j in forest:
+            assert label[i] != label[j]  # no link within a tree
+            label = [label[i] if x == label[j] else x for x in label]
+        assert all(label[i] == label[j] for i, j in good) and len(forest) >= 5

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import discard, materialise, reading, settle, spread_join
@@ -103,12 +103,16 @@ def _forest(n: int, pairs) -> list[tuple[int, int]]:
             x = up[x]
         return x
 
+    label = np.arange(n)
     for i, j in pairs:
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        new = label[i] != label[j]
+        for x, y in zip(i[new].tolist(), j[new].tolist(), strict=True):
             p, q = find(x), find(y)
             if p != q:
                 up[p] = q
                 kept.append((x, y))
+        if len(i) > n:  # so many pairs pay for labels that spare those already joined
+            label = np.array([find(x) for x in range(n)])
     return kept
 
 
@@ -322,121 +326,208 @@ def cross_pairs(comp: np.ndarray, n: np.ndarray, sig: np.ndarray, own: np.ndarra
                 yield p[good], q[good]
 
 
-def _pair_groups(similarity: float):
-    """Batches of (r, a, p, q, h, vid, n, comp, sig), sorted by the first four, to links (u, v) of vids."""
+def _whole_groups(batches, keys: int):
+    """(table, edges) of batches sorted by their first ``keys`` columns: whole groups, and where each begins and the last ends."""
+    kept = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if kept is None else pa.concat_tables([kept, t])
+        key = np.stack([t.column(k).to_numpy().astype(np.int64) for k in range(keys)])
+        edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), t.num_rows]
+        if len(edges) > 2:
+            yield t.slice(0, edges[-2]), edges[:-1]
+        kept = t.slice(edges[-2])
+    if kept is not None:
+        yield kept, [0, kept.num_rows]
 
-    def runs(batches):
-        kept: list[pa.RecordBatch] = []
 
-        def joined():
-            return pa.Table.from_batches(kept)
+def _links(vid: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
+    u, v = vid[pairs[:, 0]], vid[pairs[:, 1]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)])
-            edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-            if kept and any(kept[0].column(k)[0].as_py() != key[k, 0] for k in range(4)):
-                yield joined()
-                kept = []
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if lo:
-                    yield joined()
-                    kept = []
-                kept.append(batch.slice(lo, hi - lo))
-        if kept:
-            yield joined()
+
+def _band_forests(similarity: float):
+    """Batches of (r, a, vid, n, sig), sorted by the first two, to links (u, v): a spanning forest of each group's cross_pairs()."""
 
     def run(batches):
-        for g in runs(batches):
-            col = lambda name, g=g: g.column(name).to_numpy()
-            own = None if g.column("p")[0].as_py() == g.column("q")[0].as_py() else col("h") == col("p")
-            sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint8).reshape(g.num_rows, -1)
-            vid = col("vid")
-            for i, j in cross_pairs(col("comp"), col("n"), sig, own, similarity):
-                if len(i):
-                    u, v = vid[i], vid[j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+        for t, edges in _whole_groups(batches, 2):
+            n = t.column("n").to_numpy()
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            found = []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                pairs = _forest(hi - lo, cross_pairs(np.arange(hi - lo), n[lo:hi], sig[lo:hi], None, similarity))
+                found += [(lo + i, lo + j) for i, j in pairs]
+            yield _links(t.column("vid").to_numpy(), np.array(found, np.int64).reshape(-1, 2))
 
     return run
 
 
-def alike(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links (u, v) whose texts (vid, text) have shingle sets of at least the Jaccard similarity, counted exactly."""
-    linked = links.select(F.col("u").alias("vid")).union(links.select("v")).distinct()
+def alike_forest(sets: list[np.ndarray], similarity: float, own: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Index pairs that span the components of the sets of at least the Jaccard similarity, counted exactly.
+
+    Each set is held once against all that no search has reached yet, so a group of
+    copies costs a single look at each. ``own`` marks one side, if only pairs of two
+    sides count.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    sets = [codes[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+    marked = np.zeros(len(codes), np.uint8)
+    alive, held, body, kept, queue = np.ones(len(sets), bool), np.arange(len(sets)), codes, [], []
+    start = 0
+    while True:
+        if not queue:
+            while start < len(sets) and not alive[start]:
+                start += 1
+            if start == len(sets):
+                return kept
+            alive[start] = False
+            queue.append(start)
+        i = queue.pop()
+        n = int(np.count_nonzero(alive))
+        if not n:
+            return kept
+        if 2 * n < len(held):
+            held = np.flatnonzero(alive)
+            body = np.concatenate([sets[k] for k in held])
+        marked[sets[i]] = 1
+        last = np.cumsum(sizes[held])
+        upto = np.concatenate([[0], np.cumsum(marked[body], dtype=np.int64)])
+        marked[sets[i]] = 0
+        shared = upto[last] - upto[last - sizes[held]]
+        good = alive[held] & (shared >= similarity * (sizes[i] + sizes[held] - shared) - 1e-9)
+        if own is not None:
+            good &= own[held] != own[i]
+        hits = held[good]
+        alive[hits] = False
+        kept += [(i, k) for k in hits.tolist()]
+        queue += hits.tolist()
+
+
+def _text_forests(similarity: float, words: int):
+    """Batches of (a, p, q, side, vid, text), sorted by the first three, to links (u, v): alike_forest() of each group.
+
+    side is 0 or 1, if pairs of two sides count, or 2.
+    """
 
     def run(batches):
-        for b in batches:
-            sets = [shingle_set(t.as_py(), words).astype("<u8").view("<i8") for t in b.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["vid", "s"])
+        for t, edges in _whole_groups(batches, 3):
+            side, found = t.column("side").to_numpy(), []
+            texts = t.column("text").cast(pa.large_binary())
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if hi - lo > 1:
+                    sets = [shingle_set(x.as_py(), words) for x in texts.slice(lo, hi - lo)]
+                    found += [(lo + i, lo + j) for i, j in alike_forest(sets, similarity, None if side[lo] == 2 else side[lo:hi] == 1)]
+            yield _links(t.column("vid").to_numpy(), np.array(found, np.int64).reshape(-1, 2))
 
-    wanted = texts.join(linked, "vid", "left_semi").groupBy("vid").agg(F.first("text").alias("text"))
-    sets = materialise(wanted.mapInArrow(run, "vid long, s array<long>"))
-    half = materialise(spread_join(links, sets.toDF("u", "su"), ["u"]))
-    both = spread_join(half, sets.toDF("v", "sv"), ["v"])
-    both = both.select("u", "v", F.size(F.array_intersect("su", "sv")).alias("m"), (F.size("su") + F.size("sv")).alias("t"))
-    return reading(both.filter(F.col("m") >= F.lit(similarity) * (F.col("t") - F.col("m")) - 1e-9).select("u", "v"), sets, half)
+    return run
 
 
-def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, budget: int = 2, most: int = 2048
-) -> DataFrame:
-    """(id, vid, component, component_id): each document with its component of texts that are alike, and the smallest id in it.
+def _forests_of(rows: DataFrame, similarity: float, words: int) -> DataFrame:
+    key = ["a", "p", "q"]
+    return rows.select(*key, "side", "vid", "text").repartition(*key).sortWithinPartitions(*key).mapInArrow(_text_forests(similarity, words), "u long, v long")
+
+
+def _across_shards(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (a, p, q, side, vid, text) of the pairs left to count in classes of several shards.
+
+    Of each class the texts of its largest component so far meet all others of the
+    class, and these meet each other; the largest one's texts needn't meet again.
+    """
+    wide = held.filter("shards > 1")
+    placed = materialise(wide.select("vid", "root", "shards").join(roots.toDF("vid", "comp"), "vid", "left").withColumn("comp", F.coalesce("comp", "vid")))
+    parts = placed.groupBy("root", "shards", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = parts.groupBy("root", "shards").agg(F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main")).filter("m > most")
+    share = lambda c: F.ceil(F.col("shards") * c / F.col("m")).cast("int")
+    main = main.select("root", "main", share(F.col("most")).alias("sa"), share(F.col("m") - F.col("most")).alias("sb"))
+    sided = spread_join(placed.drop("shards"), main, ["root"]).withColumn("own", F.col("comp") == F.col("main"))
+    sided = sided.withColumn("h", F.pmod(F.xxhash64("vid"), F.when(F.col("own"), F.col("sa")).otherwise(F.col("sb"))).cast("int"))
+    cell = lambda p, q, side: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), side.cast("int").alias("side"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    ours = F.transform(upto("sb"), lambda j: cell(F.col("h"), j, F.lit(1)))
+    theirs = F.transform(upto("sa"), lambda i: cell(i, F.col("h"), F.lit(0)))
+    each = F.transform(upto("sb"), lambda k: cell(-1 - F.least("h", k), F.greatest("h", k), F.when(F.col("h") == k, 2).when(F.col("h") < k, 1).otherwise(0)))
+    dealt = sided.select("vid", F.col("root").alias("a"), F.explode(F.when(F.col("own"), ours).otherwise(F.concat(theirs, each))).alias("x"))
+    return reading(dealt.select("vid", "a", "x.*").join(wide.select("vid", "text"), "vid"), placed)
+
+
+def similar_texts(named: DataFrame, similarity: float = 0.8, words: int = 5, budget: int = 2, most: int = 2048, weight: int = 1 << 20) -> DataFrame:
+    """(vid, root, component_id), written: each text of ``named`` (id, vid, text) with the smallest vid and the smallest id of its component.
 
     Texts are alike if the sets of their shingles of ``words`` words have a Jaccard
-    similarity of at least ``similarity``, which is counted exactly for candidates.
-    Candidates come from the trie join of SimHash fingerprints, at ``budget`` or
-    fewer differing bits, and, as texts alike in 0.8 differ in about ten of 64 bits,
-    also from bands of minima of the shingles' hashes (BANDS, ROWS). In a first round
-    a text is held against the smallest text it shares a band with; then every
-    pair of a band that is still in two components is tried, unless sizes or
-    signatures rule it out. So groups of copies make one link a text, and no pair
-    of a shared band is left out. A band with over ``most`` texts is dealt into
-    shards, whose pairs are separate groups.
-
-    vid is a hash of the text, component the smallest vid of a component (ids may be
-    repeated, so that two components can have one smallest id); equal texts are one vertex, a null text is empty,
-    two texts without words are alike, and a null id counts for no minimum. An empty table gives an empty result.
+    similarity of at least ``similarity``. Candidates come from the trie join of
+    SimHash fingerprints, at ``budget`` or fewer differing bits, and, as texts alike
+    in 0.8 differ in about ten of 64 bits, also from bands of minima of the shingles'
+    hashes (BANDS, ROWS). They only make classes: of a band's pairs that sizes and
+    signatures don't rule out, a spanning forest links the texts; a band of over
+    ``most`` texts is linked as a whole. Then each class's texts go once to one task,
+    which counts overlaps exactly and returns a spanning forest. So no step makes a
+    row for each pair of a group, and no pair of a shared band is left out.
+
+    A class of over ``most`` texts or ``weight`` shingles is dealt into shards. Pairs
+    of different shards are counted after that, but for those of the class's largest
+    component, which need no further link.
     """
-    named = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("vid"), F.col(text_col).alias("text"))
     texts = named.select("vid", "text")
-    prints = materialise(_vertices(named, words))
-    vertices = materialise(prints.groupBy("vid").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.min("id").alias("least")))
+    vertices = materialise(_vertices(named, words).groupBy("vid").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.min("id").alias("least")))
     # texts of one fingerprint meet at the smallest of them, and fingerprints by their smallest texts
     of_fp = vertices.groupBy("fp").agg(F.min("vid").alias("v"))
     close = settle(hamming_links(of_fp, budget))
     first_of = of_fp.toDF("fp", "w")
     by_trie = close.toDF("fp", "far").join(first_of, "fp").select(F.col("far").alias("fp"), F.col("w").alias("a")).join(first_of, "fp").select("a", F.col("w").alias("b"))
     by_copy = spread_join(vertices.select("vid", "fp"), of_fp, ["fp"]).select(F.col("v").alias("a"), F.col("vid").alias("b"))
-    items = materialise(vertices.select("vid", F.posexplode("bands").alias("r", "a")))
-    groups = items.groupBy("r", "a").agg(F.min("vid").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    members = materialise(spread_join(items, groups, ["r", "a"]))
-    discard(items)
-    by_band = members.groupBy("vid").agg(F.min("least").alias("a")).select("a", F.col("vid").alias("b"))
-    links = by_trie.union(by_copy).union(by_band).filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    links = materialise(links)
-    discard(close)
-    found = settle(alike(links, texts, words, similarity))
+    band = Window.partitionBy("r", "a")
+    members = vertices.select("vid", F.posexplode("bands").alias("r", "a")).withColumns({"m": F.count(F.lit(1)).over(band), "least": F.min("vid").over(band)})
+    members = materialise(members.filter("m > 1"))
+    by_band = members.filter(F.col("m") > most).select(F.col("least").alias("a"), F.col("vid").alias("b"))
+    signed = members.filter(F.col("m") <= most).join(vertices.select("vid", "n", "sig"), "vid").select("r", "a", "vid", "n", "sig")
+    by_sign = signed.repartition("r", "a").sortWithinPartitions("r", "a").mapInArrow(_band_forests(similarity), "u long, v long")
+    classes = settle(connected_components(by_trie.union(by_copy).union(by_band).toDF("u", "v").union(by_sign)))
+    for t in (close, members):
+        discard(t)
+    sized = materialise(classes.toDF("vid", "root").join(vertices.select("vid", "n"), "vid"))
+    discard(classes)
+    shards = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(float(most)), F.sum("n") / F.lit(float(weight)))).cast("int")
+    placed = spread_join(sized.drop("n"), sized.groupBy("root").agg(shards.alias("shards")), ["root"])
+    held = materialise(texts.join(placed, "vid").groupBy("vid", "root", "shards").agg(F.first("text").alias("text")))
+    discard(sized)
+    home = F.pmod(F.xxhash64("vid"), F.col("shards")).cast("int")
+    found = materialise(_forests_of(held.select(F.col("root").alias("a"), home.alias("p"), home.alias("q"), F.lit(2).alias("side"), "vid", "text"), similarity, words))
     roots = settle(connected_components(found))
-    # pairs of a band that are still in two components
-    placed = materialise(members.join(roots.toDF("vid", "root"), "vid", "left").withColumn("comp", F.coalesce("root", "vid")).select("vid", "r", "a", "m", "comp"))
-    discard(members)
-    split = placed.groupBy("r", "a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("r", "a")
-    open_ = spread_join(placed, split, ["r", "a"]).join(vertices.select("vid", "n", "sig"), "vid")
-    shards = F.ceil(F.col("m") / F.lit(float(most))).cast("int")
-    dealt = open_.withColumn("h", F.pmod(F.xxhash64("vid"), shards).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), shards - 1)))
-    key = ["r", "a", "p", "q"]
-    pairs = dealt.select("r", "a", F.least("h", "k").alias("p"), F.greatest("h", "k").alias("q"), "h", "vid", "n", "comp", "sig")
-    more = materialise(pairs.repartition(*key).sortWithinPartitions(*key).mapInArrow(_pair_groups(similarity), "u long, v long").distinct())
-    discard(placed)
-    more = settle(reading(more.join(links, ["u", "v"], "left_anti"), more, links))
-    if more.take(1):
-        also = settle(alike(more, texts, words, similarity))
+    if held.filter("shards > 1").take(1):
+        rest = _across_shards(held, roots)
+        also = settle(reading(_forests_of(rest, similarity, words), rest))
         discard(roots)
-        roots = connected_components(found.union(also))
+        roots = settle(connected_components(found.union(also)))
         discard(also)
-    of_vid = settle(component_minima(vertices, roots, "vid"))
-    for t in (vertices, more, found):
+    for t in (held, found):
         discard(t)
-    out = spread_join(prints.select("id", "vid"), of_vid, ["vid"]).select(F.col("id").alias(id_col), "vid", F.col("root").alias("component"), "component_id")
-    return reading(out, prints, of_vid)
+    of_vid = settle(component_minima(vertices, roots, "vid"))
+    discard(vertices)
+    return of_vid
+
+
+def named_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, vid, text): vid is a hash of the text, and a null text counts as empty."""
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("vid"), F.col(text_col).alias("text"))
+
+
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, budget: int = 2, most: int = 2048
+) -> DataFrame:
+    """(id, vid, component, component_id): each document with its component of texts that are alike, and the smallest id in it.
+
+    Texts are alike as in similar_texts(). vid is a hash of the text, component the
+    smallest vid of a component (ids may be repeated, so that two components can have
+    one smallest id); equal texts are one vertex, a null text is empty, two texts
+    without words are alike, and a null id counts for no minimum. An empty table
+    gives an empty result.
+    """
+    named = named_texts(docs, id_col, text_col)
+    of_vid = similar_texts(named, similarity, words, budget, most)
+    rows = materialise(named.select("id", "vid"))
+    out = spread_join(rows, of_vid, ["vid"]).select(F.col("id").alias(id_col), "vid", F.col("root").alias("component"), "component_id")
+    return reading(out, rows, of_vid)
