@@ -6,9 +6,21 @@ white space is spelled out here once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``c``, which is evaluated once however often ``f`` names it.
+
+    Spark finds no common parts below functions with lambdas (array_compact is one), so an
+    expression that is named k times there runs k times, with all that it is made of.
+    """
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 #: One white-space character as str.split() and str.strip() see it.
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 

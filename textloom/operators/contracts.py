@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import constants as K
-from textloom.functions.text import is_blank, strip
+from textloom.functions.text import is_blank, once, strip
 from textloom.operators.profile import wall_clock
 
 
@@ -84,74 +84,101 @@ RAW_JUDGE_KEYS = ("caso_id", "condicao_id", "model_id_api", "mensagem_usuario",
 
 
 def _keys_exactly(json: Column, keys) -> Column:
-    return F.coalesce(F.array_sort(F.json_object_keys(json)) == F.array(*[F.lit(k) for k in sorted(keys)]), F.lit(False))
+    return F.coalesce(F.sort_array(F.json_object_keys(json)) == F.array(*[F.lit(k) for k in sorted(keys)]), F.lit(False))
 
 
-def _is_text(json: Column, key: str) -> Column:
-    """A JSON string that isn't blank: numbers, objects and null don't count."""
-    raw = F.to_json(F.from_json(json, "map<string,variant>")[key])
+def _raw(fields: Column, key: str) -> Column:
+    """JSON of one of a record's ``fields`` (map<string,variant>)."""
+    return F.to_json(fields[key])
+
+
+def _is_text(json: Column, raw: Column, key: str) -> Column:
+    """A JSON string that isn't blank: numbers, objects and null don't count. ``raw`` is the field's JSON."""
     return F.coalesce(raw.startswith('"'), F.lit(False)) & ~is_blank(F.get_json_object(json, f"$.{key}"))
 
 
 def _is_int(raw: Column, low: int, high: int | None) -> Column:
     """A JSON integer in range; true and false count as 1 and 0, as in the model these records come from."""
-    n = F.when(raw == "true", 1).when(raw == "false", 0).otherwise(F.when(raw.rlike(r"^-?\d{1,18}$"), raw.try_cast("long")))
-    return F.coalesce((n >= low) & (n <= high if high is not None else F.lit(True)), F.lit(False))
 
+    def test(raw: Column) -> Column:
+        n = F.when(raw == "true", 1).when(raw == "false", 0).otherwise(F.when(raw.rlike(r"^-?\d{1,18}$"), raw.try_cast("long")))
+        return F.coalesce(n.between(low, high) if high is not None else n >= low, F.lit(False))
 
-def _raw(json: Column, key: str) -> Column:
-    return F.to_json(F.from_json(json, "map<string,variant>")[key])
+    return once(raw, test)
 
 
 def _violations(**checks: Column) -> Column:
     return F.array_compact(F.array(*(F.when(~ok, name) for name, ok in checks.items())))
 
 
+def _parsed(json: Column, violations) -> Column:
+    """``violations(json, fields)`` with the text made once and its fields (map<string,variant>) parsed once."""
+    return once(json, lambda j: once(F.from_json(j, "map<string,variant>"), lambda fields: violations(j, fields)))
+
+
 def case_violations(json: Column) -> Column:
-    return _violations(
-        keys=_keys_exactly(json, CASE_KEYS), caso_id=_is_text(json, "caso_id"), indice_teste=_is_int(_raw(json, "indice_teste"), 0, None),
-        fundamentacao=_is_text(json, "fundamentacao"), ementa_referencia=_is_text(json, "ementa_referencia"),
-    )
+    return _parsed(json, lambda j, f: _violations(
+        keys=_keys_exactly(j, CASE_KEYS), caso_id=_is_text(j, _raw(f, "caso_id"), "caso_id"), indice_teste=_is_int(_raw(f, "indice_teste"), 0, None),
+        fundamentacao=_is_text(j, _raw(f, "fundamentacao"), "fundamentacao"), ementa_referencia=_is_text(j, _raw(f, "ementa_referencia"), "ementa_referencia"),
+    ))
 
 
 def _condition_ok(json: Column, expected: str | None) -> Column:
-    c = strip(F.get_json_object(json, "$.condicao_id"))
-    return F.coalesce(c.isin(*K.CONDITION_IDS) & (F.lit(expected is None) | (c == F.lit(expected))), F.lit(False))
+    def test(c: Column) -> Column:
+        return F.coalesce(c.isin(*K.CONDITION_IDS) & (F.lit(expected is None) | (c == F.lit(expected))), F.lit(False))
+
+    return once(strip(F.get_json_object(json, "$.condicao_id")), test)
 
 
 def prediction_violations(json: Column, expected: str | None = None) -> Column:
-    return _violations(
-        keys=_keys_exactly(json, PREDICTION_KEYS), caso_id=_is_text(json, "caso_id"), condicao_id=_condition_ok(json, expected), ementa_gerada=_is_text(json, "ementa_gerada")
-    )
+    return _parsed(json, lambda j, f: _violations(
+        keys=_keys_exactly(j, PREDICTION_KEYS), caso_id=_is_text(j, _raw(f, "caso_id"), "caso_id"), condicao_id=_condition_ok(j, expected), ementa_gerada=_is_text(j, _raw(f, "ementa_gerada"), "ementa_gerada")
+    ))
+
+
+#: A dimension without violations as get_json_object writes it, its reason without escapes and with a visible ASCII character.
+_PLAIN_PART = r'^\{"score":[1-5],"justificativa":"[^"\\\x00-\x1f]*[!#-\[\]-~][^"\\\x00-\x1f]*"\}\z'
 
 
 def judge_answer_violations(json: Column, at: str = "$") -> Column:
     """Of a judge's answer: exactly the five dimensions, each with a score from 1 to 5 and a reason."""
-    answer = F.get_json_object(json, at) if at != "$" else json
-    checks = {"dimensions": _keys_exactly(answer, K.JUDGE_DIMENSIONS)}
-    for d in K.JUDGE_DIMENSIONS:
-        part = F.get_json_object(answer, f"$.{d}")
-        checks[f"{d}.keys"] = _keys_exactly(part, ("score", "justificativa"))
-        checks[f"{d}.score"] = _is_int(_raw(part, "score"), 1, 5)
-        checks[f"{d}.justificativa"] = _is_text(part, "justificativa")
-    return _violations(**checks)
+
+    def part_violations(d: str):
+        def found(part: Column, f: Column) -> Column:
+            return _violations(**{
+                f"{d}.keys": _keys_exactly(part, ("score", "justificativa")), f"{d}.score": _is_int(_raw(f, "score"), 1, 5), f"{d}.justificativa": _is_text(part, _raw(f, "justificativa"), "justificativa"),
+            })
+
+        # most parts are plain: one test of these spares them the parser
+        return lambda part: F.when(part.rlike(_PLAIN_PART), F.array().cast("array<string>")).otherwise(_parsed(part, found))
+
+    def violations(answer: Column) -> Column:
+        parts = (once(F.get_json_object(answer, f"$.{d}"), part_violations(d)) for d in K.JUDGE_DIMENSIONS)
+        return F.concat(_violations(dimensions=_keys_exactly(answer, K.JUDGE_DIMENSIONS)), *parts)
+
+    return once(F.get_json_object(json, at) if at != "$" else json, violations)
 
 
 def judge_record_violations(json: Column, expected: str | None = None) -> Column:
-    own = _violations(keys=_keys_exactly(json, JUDGE_KEYS), caso_id=_is_text(json, "caso_id"), condicao_id=_condition_ok(json, expected))
-    return F.concat(own, judge_answer_violations(json, "$.avaliacao"))
+    return _parsed(json, lambda j, f: F.concat(
+        _violations(keys=_keys_exactly(j, JUDGE_KEYS), caso_id=_is_text(j, _raw(f, "caso_id"), "caso_id"), condicao_id=_condition_ok(j, expected)),
+        judge_answer_violations(j, "$.avaliacao"),
+    ))
 
 
 def raw_judge_violations(json: Column) -> Column:
-    return _violations(
-        keys=_keys_exactly(json, RAW_JUDGE_KEYS), caso_id=_is_text(json, "caso_id"), condicao_id=_condition_ok(json, None),
-        model_id_api=_is_text(json, "model_id_api"), mensagem_usuario=_is_text(json, "mensagem_usuario"), resposta_bruta=F.coalesce(_raw(json, "resposta_bruta").startswith("{"), F.lit(False)),
-    )
+    return _parsed(json, lambda j, f: _violations(
+        keys=_keys_exactly(j, RAW_JUDGE_KEYS), caso_id=_is_text(j, _raw(f, "caso_id"), "caso_id"), condicao_id=_condition_ok(j, None), model_id_api=_is_text(j, _raw(f, "model_id_api"), "model_id_api"),
+        mensagem_usuario=_is_text(j, _raw(f, "mensagem_usuario"), "mensagem_usuario"), resposta_bruta=F.coalesce(_raw(f, "resposta_bruta").startswith("{"), F.lit(False)),
+    ))
 
 
 def broken_records(lines: DataFrame, violations: Column) -> DataFrame:
-    """(ordinal, violations) of JSON lines (ordinal, value) that break their contract."""
-    return lines.select("ordinal", violations.alias("violations")).filter(F.size("violations") > 0)
+    """(ordinal, violations) of JSON lines (ordinal, value) that break their contract.
+
+    Rows are dropped by the generator: a filter would be pushed below and repeat the checks.
+    """
+    return lines.select("ordinal", F.explode(F.filter(F.array(violations), lambda v: F.size(v) > 0)).alias("violations"))
 
 
 def check_runner(flush_every: int = 1, limit: int | None = None, max_retries: int = 1, backoff: float = 0.0) -> None:

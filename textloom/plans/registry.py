@@ -452,7 +452,7 @@ def prediction_contract(spark, d):
 
 def _judged(spark, d) -> DataFrame:
     """Judge records of the events: scores from the id; one in nine has a score of 6."""
-    e = _t(spark, d, "events")
+    e = spread(_t(spark, d, "events").select("event_id"))
     parts = []
     for k, dim in enumerate(K.JUDGE_DIMENSIONS):
         score = (F.col("event_id") * (k + 3)) % 5 + 1
