@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import constants as K
-from textloom.functions.text import is_blank
+from textloom.functions.text import is_blank, once
 from textloom.operators.contracts import coverage_gaps, judge_answer_violations, require_empty
 
 ANSWER = "struct<{}>".format(",".join(f"{d}:struct<score:int,justificativa:string>" for d in K.JUDGE_DIMENSIONS))
@@ -38,12 +38,14 @@ def response_text(response: dict) -> str:
 def judge_problem(response: Column | str) -> Column:
     """What is wrong with a judge's chat response, or null: 'truncated', 'empty', 'not json', or the first breach of contract."""
     response = F.col(response) if isinstance(response, str) else response
-    content = F.get_json_object(response, "$.choices[0].message.content")
-    parsed = F.try_parse_json(content)
-    return (
-        F.when(F.get_json_object(response, "$.choices[0].finish_reason") == "length", "truncated").when(is_blank(content), "empty")
-        .when(parsed.isNull() | ~F.startswith(F.ltrim(content), F.lit("{")), "not json").otherwise(F.try_element_at(judge_answer_violations(content), F.lit(1)))
-    )
+
+    def problem(content: Column, cut: Column) -> Column:
+        return (
+            F.when(cut, "truncated").when(is_blank(content), "empty")
+            .when(F.try_parse_json(content).isNull() | ~F.startswith(F.ltrim(content), F.lit("{")), "not json").otherwise(F.try_element_at(judge_answer_violations(content), F.lit(1)))
+        )
+
+    return once(response, lambda r: once(F.get_json_object(r, "$.choices[0].message.content"), lambda c: problem(c, F.get_json_object(r, "$.choices[0].finish_reason") == "length")))
 
 
 def judge_answer(response: Column | str) -> Column:
