@@ -1,13 +1,15 @@
 """Steps whose cost once grew with how often an expression is named: parsers, patterns and scans run once a row."""
 
+import html
 import json
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import constants as K
 from textloom.functions.text import once
-from textloom.operators import contracts, generation
+from textloom.operators import cleaning, contracts, generation
 
 PART = '{"score":4,"justificativa":"j"}'
 
@@ -52,3 +54,21 @@ def test_judge_parts(spark, part, bad):
     assert [r["violations"] for r in contracts.broken_records(df, contracts.judge_answer_violations(F.col("value"))).collect()] == ([bad] if bad else [])
     response = json.dumps({"choices": [{"finish_reason": "stop", "message": {"content": answer(part)}}]})
     assert spark.createDataFrame([(response,)], "r string").select(generation.judge_problem("r")).first()[0] == (bad[0] if bad else None)
+
+
+def references() -> list[str]:
+    """Every named reference as it is, cut, and run into letters; numbers on all borders; and what only looks like one."""
+    names = [f"&{n}{end}" for n in html5 for end in ("", "x", ";", " ")] + [f"&{n[:-1]}" for n in html5]
+    numbers = [*range(0x200), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFEFF, *range(0xFDC8, 0xFDF8), 0x1F600, *(p << 16 | q for p in range(17) for q in (0xFFFD, 0xFFFE, 0xFFFF, 1)), 0x110000, 10**7, 10**8, 10**30]
+    refs = names + [f"&#{z}{n}{end}" for n in numbers for z in ("", "00") for end in (";", "", "g")] + [f"&#{x}{n:x}{end}" for n in numbers for x in "xX" for end in (";", "", "g")]
+    return refs + ["&", "&;", "&#", "&#;", "&#x;", "&#xg;", "&&amp;", "&amp;amp;", "&٣;", "&#٣;", "&" + "a" * 40, "&not" + "b" * 40 + ";", "&\U0001f600;", "a&lt;b&gt", "&amp", "", "no reference", "&notit;&copy\n&reg\t"]
+
+
+def test_references_in_the_jvm(spark):
+    """References are those of html.unescape, and no text goes to a Python worker."""
+    texts = references()
+    texts += [" ".join(texts[i::97]) for i in range(97)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i long, t string").repartition(4)
+    out = df.select("i", "t", cleaning.unescape("t").alias("u"))
+    assert "Python" not in plan(spark.range(1).select(cleaning.unescape(F.col("id").cast("string")))) and "from_json" not in plan(out)
+    assert [(r["t"], r["u"]) for r in out.collect() if r["u"] != (None if r["t"] is None else html.unescape(r["t"]))] == []

@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import html
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from textloom.functions import constants as K
+from textloom.functions import references
 from textloom.functions.text import is_blank, java_pattern, strip, word_count
 
 
-@F.pandas_udf(StringType())  # a type, not its name: that would need a session at import
-def _unescape(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else html.unescape(t))
-
-
 def unescape(c: Column | str) -> Column:
-    """HTML references decoded by the full HTML5 table; only texts with '&' leave the JVM."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.when(c.contains("&"), _unescape(F.when(c.contains("&"), c))).otherwise(c)
+    """HTML references decoded by the full HTML5 table."""
+    return references.unescape(F.col(c) if isinstance(c, str) else c)
 
 
 def collapse_spaces(c: Column | str) -> Column:
