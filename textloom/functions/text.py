@@ -23,6 +23,7 @@ def once(c: Column, f: Callable[[Column], Column]) -> Column:
 
 #: One white-space character as str.split() and str.strip() see it.
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def java_pattern(pattern: str, flags: str = "") -> str:
@@ -34,8 +35,8 @@ def java_pattern(pattern: str, flags: str = "") -> str:
 
 
 def strip(c: Column | str) -> Column:
-    """str.strip()."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$(?![\\s\\S])", "")
+    """str.strip(); looks at the ends only."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def tokens(c: Column | str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import constants as K
-from textloom.functions.text import ngrams, strip, tokens, word_count
+from textloom.functions.text import SPACE, ngrams, once, strip, tokens, word_count
 
 
 def _nz(c: Column) -> Column:
@@ -176,13 +176,18 @@ def topic_distribution(df: DataFrame, topic: Column, top: int = 10, other: str =
 
 def anomaly_labels(c: Column | str) -> Column:
     """Labels of a target that is clearly broken; none for blank texts."""
+    # heads are compared, and letters never become fewer in upper case
+    n = max(len(K.TRUNCATED_TARGET), len(K.INSTITUTIONAL_HEADER)) + 1
+
+    def labels(t: Column, up: Column) -> Column:
+        return F.array_compact(F.array(
+            F.when(up == K.TRUNCATED_TARGET, "trunc_8w_exata"), F.when(up.startswith(K.INSTITUTIONAL_HEADER), "header_ementa"),
+            F.when(up.startswith("DESPACHO"), "despacho_ementa"), F.when(F.substr(t, F.lit(1), F.lit(1)).rlike("[0-9]") & t.rlike(r"^[0-9]+[).\-]"), "ementa_start_digit"),
+            F.when(F.size(F.split(t, f"{SPACE}+", K.LONG_TARGET_WORDS + 1)) > K.LONG_TARGET_WORDS, "ementa_longa_anomala"),
+        ))
+
     t = strip(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
-    up = F.upper(t)
-    return F.array_compact(F.array(
-        F.when(up == K.TRUNCATED_TARGET, "trunc_8w_exata"), F.when(up.startswith(K.INSTITUTIONAL_HEADER), "header_ementa"),
-        F.when(up.startswith("DESPACHO"), "despacho_ementa"), F.when(t.rlike(r"^[0-9]+[).\-]"), "ementa_start_digit"),
-        F.when(word_count(t) > K.LONG_TARGET_WORDS, "ementa_longa_anomala"),
-    ))
+    return once(t, lambda t: once(F.upper(F.substr(t, F.lit(1), F.lit(n))), lambda up: labels(t, up)))
 
 
 def anomaly_summary(df: DataFrame, split: str = "split", source: str = "source", target: str = "target") -> DataFrame:
