@@ -2,14 +2,16 @@
 
 import html
 import json
+import random
 from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import constants as K
-from textloom.functions.text import once
-from textloom.operators import cleaning, contracts, generation
+from textloom.functions import gates
+from textloom.functions.text import java_pattern, once
+from textloom.operators import audit, cleaning, contracts, generation, profile
 
 PART = '{"score":4,"justificativa":"j"}'
 
@@ -72,3 +74,40 @@ def test_references_in_the_jvm(spark):
     out = df.select("i", "t", cleaning.unescape("t").alias("u"))
     assert "Python" not in plan(spark.range(1).select(cleaning.unescape(F.col("id").cast("string")))) and "from_json" not in plan(out)
     assert [(r["t"], r["u"]) for r in out.collect() if r["u"] != (None if r["t"] is None else html.unescape(r["t"]))] == []
+
+
+def test_anomaly_labels_strip_once(spark):
+    df = spark.createDataFrame([(" 1) x ",), (" despacho y ",), ("w " * 300,), ("\tw" * 301 + "\n",), (None,), (" ",), ("ß" * 80,), (K.TRUNCATED_TARGET.lower(),), (K.TRUNCATED_TARGET + "x",), (K.INSTITUTIONAL_HEADER.lower() + " x",)], "t string")
+    out = df.select(profile.anomaly_labels("t").alias("l"))
+    assert [r["l"] for r in out.collect()] == [["ementa_start_digit"], ["despacho_ementa"], [], ["ementa_longa_anomala"], [], [], [], ["trunc_8w_exata"], [], ["header_ementa"]]
+    assert plan(out).count("trim(") == 1 and plan(out).count("upper(") == 1
+
+
+def test_audit_scans_once(spark):
+    """One scan of the texts; examples are the first by ordinal, however rows are dealt, and a null ordinal comes last."""
+    rows = [(None if i == 7 else i, f"x{i}@b.org" if i % 2 else "none") for i in range(400)]
+    report = audit.audit_report(spark.createDataFrame(rows, "ordinal long, t string").repartition(7), "t", (("mail", "[a-z0-9]+@[a-z]+[.]org", ""), ("none", "Q+", "")), names=False)
+    assert {r["category"]: (r["n"], r["rows"], r["examples"]) for r in report.collect()} == {"mail": (200, 200, ["x1@b.org", "x3@b.org", "x5@b.org"]), "none": (0, 0, [])}
+    docs = spark.read.schema("ordinal long, t string").parquet("/root/testdata/sf0.001/documents.parquet")
+    assert plan(audit.audit_report(docs, "t")).count("parquet") == 1
+
+
+def test_gates_change_nothing(spark):
+    """Patterns with a lead and behind a gate match where they match alone."""
+    bits = (
+        "123.456.789-09 12.345.678/0001-95 1234567-89.2020.4.05.8200 conta corrente nº 12345-6 ag. 1234-5 AG 1234-5 a.b@c-d.org a@b.c @ (83) 98765-4321 83 3333-4444 "
+        "id: 12345 ID.99999 ſr. Sr. dr. Ana Maria Souza réu Rui Ré ana maria AUTOR : movido por REPRESENTADA POR JOSE DA SILVA em face , ; São João Pessoa Luiz "
+        "rua das Flores nº 12 AV. Brasil CEP 5 ſítio bloco 3 lote 7 br-101 n 5 DJe 1.2.20 dje 01/02/2003 ٣٣٣.٣٣٣.٣٣٣-٣٣ x -   \n é"
+    ).split(" ")
+    rng = random.Random(5)
+    df = spark.createDataFrame([(rng.choice(["", " ", "\n"]).join(rng.choices(bits, k=rng.randint(1, 9))) if i % 3 else " ".join(rng.choices(bits, k=12)),) for i in range(2000)], "t string").repartition(4)
+    patterns = [(p, f) for p in {*gates.REQUIRED, *gates.FIRST} for f in ("", "i") if f == "" or p not in (K.EMAIL, K.PROPER_NAME)]
+    plain = [F.regexp_extract_all("t", F.lit(java_pattern(p, f)), F.lit(0)).alias(f"a{i}") for i, (p, f) in enumerate(patterns)]
+    fast = F.struct(*(F.regexp_extract_all("t", F.lit(gates.led(p, f)), F.lit(0)).alias(f"b{i}") for i, (p, f) in enumerate(patterns)))
+    may = gates.gated(F.col("t"), [p for p, _ in patterns], lambda m: F.array(*(m(p) for p, _ in patterns)))
+    seen = set()
+    for r in df.select("t", *plain, fast.alias("b"), may.alias("may")).collect():
+        for i, pf in enumerate(patterns):
+            assert r[f"a{i}"] == r["b"][f"b{i}"] and (r["may"][i] or not r[f"a{i}"]), (pf, r["t"])
+            seen |= {pf} if r[f"a{i}"] else set()
+    assert len({p for p, _ in seen}) == len({p for p, _ in patterns})
