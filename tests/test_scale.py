@@ -111,3 +111,24 @@ def test_gates_change_nothing(spark):
             assert r[f"a{i}"] == r["b"][f"b{i}"] and (r["may"][i] or not r[f"a{i}"]), (pf, r["t"])
             seen |= {pf} if r[f"a{i}"] else set()
     assert len({p for p, _ in seen}) == len({p for p, _ in patterns})
+
+
+def test_rules_behind_gates(spark):
+    """The chain of rules leaves what it leaves without gates and leads."""
+    bits = (
+        "<b> </b> < > Processo nº 0500148-54.2016 AUTOS n. 12/3 (id 48772689) ID: 12345 Data de Julgamento PROCESSO ELETRÔNICO DJe-123 dje s/n DJE 1.2.20 divulg "
+        "Ação Civil Pública - ACP nº 5.2 DPU João Pessoa, ſousa, 12 de março 2021 Súmula do julgamento SUMULA de julgamento: Fim. ; 2. Maria da Silva Souza Juíza Federal "
+        "juız Juiz Relator Desembargadora Excelentíssimo AMPARO SOCIAL TOTAL ÀÉ\xa0 \n \t fim"
+    ).split(" ")
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices(bits, k=rng.randint(1, 14))) + rng.choice(["", "\n", " ", "."]) for _ in range(3000)] + [f"x {t}" for t in ("", "Maria da Silva Juíza Federal", "A SÚMULA DE JULGAMENTO", "AB CD EF\n\n")] + [None, ""]
+    plain = F.col("t")
+    for _, pattern, to, flags in K.CLEANING_RULES:
+        plain = F.regexp_replace(plain, java_pattern(pattern, flags), to)
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4).select("t", plain.alias("a"), cleaning.apply_rules("t").alias("b"))
+    assert [(r["t"], r["a"], r["b"]) for r in df.collect() if r["a"] != r["b"]] == []
+
+
+def test_rules_are_gated(spark):
+    """Each rule is behind a test, begins with one, or is known to be cheap."""
+    assert {name for name, p, *_ in K.CLEANING_RULES if not (p in gates.REQUIRED or p in gates.FIRST or p in gates.ENDING)} == set()

@@ -21,10 +21,19 @@ REQUIRED = {
     K.CPF: _NUMBERED, K.CNPJ: _NUMBERED, K.NPU: _NUMBERED, K.ACCOUNT: _NUMBERED, K.PHONE: _NUMBERED, K.EMAIL: "@",
     K.ADDRESS: r"(?:[nN][º°oO]?|[pPºoOeE])\s*\d", r"\bid[\s.]*[\s:]*\d{5,}": r"\d{5}", r"\bDJe\s+\d{1,2}[./]\d{1,2}[./]\d{2,4}": r"[dD][jJ][eE]\s+\d",
 }
+_RULES = {name: pattern for name, pattern, *_ in K.CLEANING_RULES}
+_STAMPED = "[dD][jJ][eE]|[uU][lL][gG]|[aA][cC][pP]"  # DJe, DIVULG, julgamento, ACP: letters that have no third form
+_TITLED = "[rR][eE][lL][aA][tT][oO][rR]|[jJ][uU][iIıİíÍ]|[mM][bB][aA][rR][gG][aA][dD]|[xX][cC][eE][lL][eE][nN][tT]"
+REQUIRED |= {_RULES["html_tags"]: "<", _RULES["ids_pje"]: r"\d{4}", _RULES["data_cidade"]: r"\d{4}"}
+REQUIRED |= {_RULES[r]: _STAMPED for r in ("dje_carimbo_longo", "dje_simples", "dje_data", "divulg_isolado", "acp_dpu", "sumula_julgamento_duplicada", "sumula_julgamento")}
+REQUIRED |= {_RULES[r]: _TITLED for r in ("assinatura_magistrado_nome_titulo", "honorificos_juiz")}
+#: Pattern -> white space that may follow its matches at the end of the text, and how they end before it.
+ENDING = {_RULES["capslock_assinatura"]: (" \n\r\t\xa0", "^[A-ZÀ-Þ]{2}$")}
 #: Pattern -> the first character of each of its matches; the long s is an s to patterns that ignore case.
 FIRST = {
     K.CPF: r"\d", K.CNPJ: r"\d", K.NPU: r"\d", K.PHONE: r"[(\d]", K.HONORIFIC_NAME: "[sSſdDaArRpP]", K.AUDIT_HONORIFIC_NAME: "[sSſdDaArRpP]",
     K.CONTEXT_NAME: "[AmrS]", K.PROPER_NAME: "[A-ZÀ-Ÿ]", K.ADDRESS: "[rRaApPtTbBsSſfF]",
+    _RULES["metadados_processuais"]: "(?-i:[pP][rR]|[aA][uU])",
 }
 
 
@@ -45,5 +54,29 @@ def gated(text: Column, patterns, f: Callable[[Callable[[str], Column]], Column]
     needs = list(dict.fromkeys(r for r in map(_required, patterns) if r))
     if not needs:
         return f(lambda pattern: F.lit(True))
-    tests = F.array(*(text.contains(r) if r == "@" else text.rlike(java_pattern(r)) for r in needs))
+    tests = F.array(*(text.contains(r) if len(r) == 1 else text.rlike(java_pattern(r)) for r in needs))
     return once(tests, lambda found: f(lambda pattern: F.get(found, F.lit(needs.index(_required(pattern)))) if _required(pattern) else F.lit(True)))
+
+
+def rewrite(c: Column, layers) -> Column:
+    """Rewrites (name, pattern, flags, replacement) in order, each sees what the ones before left.
+
+    What patterns require is looked for in the text as it comes: replacements hold
+    none of it, and set off what they join by a space or brackets.
+    """
+
+    def layer(text: Column, may: Column, pattern: str, flags: str, to: str) -> Column:
+        def replaced(t: Column) -> Column:
+            end = ENDING.get(pattern)
+            test = F.substr(F.rtrim(t, F.lit(end[0])), F.lit(-2)).rlike(end[1]) if end else may
+            return F.when(test, F.regexp_replace(t, led(pattern, flags), to)).otherwise(t)
+
+        return once(text, replaced)
+
+    def chain(first: Column, may_match) -> Column:
+        out = first
+        for _, pattern, flags, to in layers:
+            out = layer(out, may_match(pattern), pattern, flags, to)
+        return out
+
+    return once(c, lambda first: gated(first, [p for _, p, *_ in layers], lambda may_match: chain(first, may_match)))

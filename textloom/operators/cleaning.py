@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions import constants as K
 from textloom.functions import references
-from textloom.functions.text import is_blank, java_pattern, strip, word_count
+from textloom.functions.gates import rewrite
+from textloom.functions.text import is_blank, strip, word_count
 
 
 def unescape(c: Column | str) -> Column:
@@ -17,7 +18,7 @@ def unescape(c: Column | str) -> Column:
 
 def collapse_spaces(c: Column | str) -> Column:
     """Line ends and tabs to a space, runs of spaces to one, stripped; other spaces inside stay."""
-    return strip(F.regexp_replace(F.regexp_replace(c, r"[\r\n\t]+", " "), r" {2,}", " "))
+    return strip(F.regexp_replace(c, r"[\r\n\t][ \r\n\t]*| [ \r\n\t]+", " "))
 
 
 def strip_tags(c: Column | str) -> Column:
@@ -26,10 +27,7 @@ def strip_tags(c: Column | str) -> Column:
 
 def apply_rules(c: Column | str, rules=K.CLEANING_RULES) -> Column:
     """The rewrites in order; each sees what the ones before left."""
-    c = F.col(c) if isinstance(c, str) else c
-    for _, pattern, to, flags in rules:
-        c = F.regexp_replace(c, java_pattern(pattern, flags), to)
-    return c
+    return rewrite(F.col(c) if isinstance(c, str) else c, [(name, pattern, flags, to) for name, pattern, to, flags in rules])
 
 
 def clean_text(c: Column | str, decode: bool = True) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import constants as K
-from textloom.functions.gates import gated, led
+from textloom.functions.gates import gated, led, rewrite
 from textloom.functions.text import SPACE, once, strip
 
 #: (counter, pattern, flags, replacement) of the layers that are plain rewrites, in order.
@@ -31,18 +31,7 @@ def has_context_marker(c: Column) -> Column:
 
 def mask_plain(c: Column | str, layers=PLAIN_LAYERS) -> Column:
     """The layers in order. A text is scanned by those that may match it; masks hold nothing that a later layer looks for."""
-    c = F.col(c) if isinstance(c, str) else c
-
-    def layer(text: Column, may: Column, pattern: str, flags: str, to: str) -> Column:
-        return once(text, lambda t: F.when(may, F.regexp_replace(t, led(pattern, flags), to)).otherwise(t))
-
-    def masked(first: Column, may_match) -> Column:
-        out = first
-        for _, pattern, flags, to in layers:
-            out = layer(out, may_match(pattern), pattern, flags, to)
-        return out
-
-    return once(c, lambda first: gated(first, [p for _, p, *_ in layers], lambda may_match: masked(first, may_match)))
+    return rewrite(F.col(c) if isinstance(c, str) else c, layers)
 
 
 def _windows(names: Column) -> Column:
